@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
-from scorelake.functions.detectors import fragile_selector
 from scorelake.functions.matching import found, mentions, occurrences
 from scorelake.functions.values import strip
 
@@ -55,10 +54,9 @@ def arbitrary_timeout(bare: Column) -> Column:
     return found(bare, fixed.ARBITRARY_WAIT, ("waitForTimeout", "setTimeout", "sleep"))
 
 
-def waiting_quality(bare: Column) -> Column:
+def waiting_quality(bare: Column, arbitrary: Column) -> Column:
     """1 for event-based waits only, 0.5 mixed, 0 for fixed sleeps only, else NULL."""
     good = found(bare, fixed.GOOD_WAIT, ("waitFor", "expect.poll", ".to"))
-    arbitrary = arbitrary_timeout(bare)
     return F.when(good, F.when(arbitrary, 0.5).otherwise(1.0)).when(arbitrary, 0.0)
 
 
@@ -88,13 +86,13 @@ _SMELL_NEEDLES = (
 )
 
 
-def code_smell(code: Column, bare: Column) -> Column:
+def code_smell(fragile: Column, bare: Column) -> Column:
     """A brittle selector, or one of the DOM-reaching smells."""
     smells = [
         found(bare, pattern, needles)
         for pattern, needles in zip(fixed.SMELLS, _SMELL_NEEDLES, strict=True)
     ]
-    return reduce(or_, smells, fragile_selector(code))
+    return reduce(or_, smells, fragile)
 
 
 def statements(code: Column) -> Column:

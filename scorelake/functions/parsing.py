@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake import fixed_values as fixed
 from scorelake.functions.values import strip
@@ -33,10 +34,11 @@ def code_block(text: Column, prefer: tuple[str, ...] = ()) -> Column:
     """
     blocks = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))
 
+    def first_in(found: Column, language: str) -> Column:
+        return F.get(F.filter(found, lambda b: _block_language(b) == language), F.lit(0))
+
     def choose(found: Column) -> Column:
-        wanted = [
-            F.get(F.filter(found, lambda b, w=w: _block_language(b) == w), F.lit(0)) for w in prefer
-        ]
+        wanted = [first_in(found, language) for language in prefer]
         return _block_body(F.coalesce(*wanted, F.get(found, F.lit(0))))
 
     # transform over a one-element array names the block list once, so the regex
@@ -55,28 +57,30 @@ def brace_span(text: Column) -> Column:
     return F.when(whole, F.substr(text, first, last - first + F.lit(1)))
 
 
-# JSON has no NaN or infinity, Python's reader accepts them. NaN becomes a marker
-# object (see judging.score_value), infinities the largest finite values.
-_NAN = {"nan": None}
-_CONSTANTS = {"NaN": _NAN, "Infinity": 1.7976931348623157e308, "-Infinity": -1.7976931348623157e308}
-
-
-def _canonical(candidate: str | None) -> str | None:
-    if candidate is None:
-        return None
-    try:
-        parsed = json.loads(candidate, parse_constant=_CONSTANTS.__getitem__)
-    except (ValueError, RecursionError):
-        return None
-    return json.dumps(parsed) if isinstance(parsed, dict) else None
+def _canonical_json(first: Column, second: Column) -> Column:
+    """Canonical text of the first candidate that is a valid JSON object.
 
-
-@F.pandas_udf("string")
-def _canonical_json(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Canonical text of the first candidate that is a valid JSON object."""
-    return pd.Series(
-        [_canonical(a) or _canonical(b) for a, b in zip(first, second, strict=True)], dtype=object
-    )
+    The functions are local so that they travel to the executors by value.
+    """
+    # JSON has no NaN or infinity, Python's reader accepts them. NaN becomes a marker
+    # object (see judging.score_value), infinities the largest finite values.
+    largest = 1.7976931348623157e308
+    constants = {"NaN": {"nan": None}, "Infinity": largest, "-Infinity": -largest}
+
+    def canonical(candidate):
+        if candidate is None:
+            return None
+        try:
+            parsed = json.loads(candidate, parse_constant=constants.__getitem__)
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(parsed) if isinstance(parsed, dict) else None
+
+    def batch(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = [canonical(x) or canonical(y) for x, y in zip(a, b, strict=True)]
+        return pd.Series(found, dtype=object)
+
+    return F.pandas_udf(batch, T.StringType())(first, second)
 
 
 def json_object(text: Column) -> Column:

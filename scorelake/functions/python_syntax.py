@@ -8,27 +8,29 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-
-def _parses(code: str | None) -> bool | None:
-    if code is None:
-        return None
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(code)
-    except SyntaxError:
-        return False
-    except (ValueError, RecursionError, MemoryError):
-        return None
-    return True
-
-
-@F.pandas_udf("boolean")
-def _python_parses(code: pd.Series) -> pd.Series:
-    return pd.Series([_parses(c) for c in code], dtype=object)
+from pyspark.sql import types as T
 
 
 def python_parses(code: Column) -> Column:
-    """Whether the text is valid Python; NULL for NULL and for unparsable bytes."""
-    return _python_parses(code)
+    """Whether the text is valid Python; NULL for NULL and for unreadable text.
+
+    The functions are local so that they travel to the executors by value.
+    """
+
+    def parses(text):
+        if text is None:
+            return None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+        except SyntaxError:
+            return False
+        except (ValueError, RecursionError, MemoryError):
+            return None
+        return True
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([parses(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(batch, T.BooleanType())(code)
