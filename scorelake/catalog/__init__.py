@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("summary_queries", "text_queries")
+MODULES = ("summary_queries", "text_queries", "planning_queries")
 
 
 def _merged(attribute: str) -> dict:

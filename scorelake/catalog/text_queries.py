@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from scorelake import fixed_values as fixed
 from scorelake.catalog import bindings
 from scorelake.catalog.bindings import with_bindings
-from scorelake.functions import detectors, judging, localization, parsing
+from scorelake.functions import detectors, localization, parsing
 from scorelake.functions.lexing import braces_balance, strip_comments, strip_noise
-from scorelake.operators import text_features
+from scorelake.operators import localize, text_features
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -345,16 +345,8 @@ SQL["judge_objects"] = with_bindings(
 def _localized(spark, sf_dir) -> DataFrame:
     given = bindings.localization_replies(spark, sf_dir)
     given = given.withColumn("document", parsing.json_object(F.col("reply")))
-    given = given.withColumn("span", localization.predicted_span(F.col("document")))
-    faults = F.col("payload.fault_lines")
-    return given.withColumns(
-        {
-            "predicted_line": F.coalesce(F.col("span.start"), F.lit(-1)),
-            "predicted_end_line": F.coalesce(F.col("span.end"), F.lit(-1)),
-            "localized": localization.covers(F.col("span"), faults),
-            "localized_within_1": localization.covers(F.col("span"), faults, 1),
-        }
-    )
+    spans = localize.with_span(given, "document")
+    return localize.with_hits(spans, F.col("payload.fault_lines"))
 
 
 _SPAN = """
@@ -390,13 +382,7 @@ SQL["localization_hits"] = with_bindings(
 
 def patch_sources(spark, sf_dir):
     """Patched source of each reply that names a valid span and a fix."""
-    given = _localized(spark, sf_dir)
-    fix = judging.text_value(parsing.json_field(F.try_parse_json("document"), "$.proposed_fix"))
-    payload = F.col("payload")
-    patched = localization.patched_source(
-        payload["source"], F.col("span"), fix, payload["test"], payload["module_name"]
-    )
-    return given.select("sample_id", patched.alias("patched"))
+    return localize.with_patch(_localized(spark, sf_dir), "document").select("sample_id", "patched")
 
 
 SQL["patch_sources"] = with_bindings(

@@ -17,31 +17,11 @@ def line_number(value: Column) -> Column:
     return F.when((kind == "integer") | digits, text.try_cast("bigint"))
 
 
-def predicted_span(reply_json: Column) -> Column:
-    """struct(start, end) of the predicted lines, or NULL when none is given.
-
-    One missing end copies the other, both missing fall back to ``line``, and a
-    reversed span is turned round.
-    """
-    doc = F.try_parse_json(reply_json)
-    start, end, line = (
-        line_number(json_field(doc, f"$.{name}")) for name in ("start_line", "end_line", "line")
-    )
-    first, last = F.coalesce(start, end, line), F.coalesce(end, start, line)
-    return F.when(
-        first.isNotNull(),
-        F.struct(F.least(first, last).alias("start"), F.greatest(first, last).alias("end")),
-    )
-
-
-def covers(span: Column, fault_lines: Column, slack: int = 0) -> Column:
+def covers(start: Column, end: Column, fault_lines: Column, slack: int = 0) -> Column:
     """Whether every known fault line lies in the span widened by ``slack``."""
-    inside = F.forall(
-        fault_lines,
-        lambda f: (f >= span["start"] - F.lit(slack)) & (f <= span["end"] + F.lit(slack)),
-    )
+    inside = F.forall(fault_lines, lambda f: f.between(start - F.lit(slack), end + F.lit(slack)))
     known = F.coalesce(F.size(fault_lines), F.lit(0)) > 0
-    return F.coalesce(span.isNotNull() & known & inside, F.lit(False))
+    return F.coalesce(start.isNotNull() & known & inside, F.lit(False))
 
 
 def localization_pass(exact: Column, near: Column, repair_ok: Column) -> Column:
@@ -56,33 +36,38 @@ def split_lines(text: Column) -> Column:
     )
 
 
-def patched_source(
-    source: Column, span: Column, fix: Column, test: Column, module_name: Column
+def repair_due(
+    lines: Column, start: Column, end: Column, fix: Column, test: Column, module_name: Column
 ) -> Column:
-    """Source with the predicted lines replaced by the fix; NULL when no attempt is due.
-
-    A one-line fix without indentation takes over that of the replaced line.
-    """
-    lines = split_lines(source)
-    start, end = span["start"].cast("int"), span["end"].cast("int")
-    attempt = (
+    """Whether a repair can be tried: a test, a fix, and a span inside the source."""
+    return (
         (F.coalesce(test, F.lit("")) != "")
         & (F.coalesce(module_name, F.lit("")) != "")
         & fix.isNotNull()
-        & (span["start"] >= 1)
-        & (span["end"] <= F.size(lines))
+        & (start >= 1)
+        & (end <= F.size(lines))
     )
+
+
+def fix_block(lines: Column, start: Column, end: Column, fix: Column) -> Column:
+    """Lines of the fix; a lone unindented line takes over the replaced line's indent."""
     fix_lines = F.when(fix == "", F.array(F.lit(""))).otherwise(split_lines(fix))
-    single = (start == end) & (F.size(fix_lines) == 1) & ~F.get(fix_lines, F.lit(0)).rlike(r"^[ \t]")
-    indent = F.regexp_extract(F.get(lines, start - F.lit(1)), r"(?U)^(\s*)", 1)
-    body = F.when(
-        single, F.array(F.concat(indent, strip(F.get(fix_lines, F.lit(0)))))
-    ).otherwise(fix_lines)
-    before = F.when(attempt, F.slice(lines, F.lit(1), start - F.lit(1)))
-    after = F.when(attempt, F.slice(lines, end + F.lit(1), F.size(lines) - end))
-    return F.when(
-        attempt, F.concat(F.array_join(F.concat(before, body, after), "\n"), F.lit("\n"))
-    )
+    indent = F.regexp_extract(F.get(lines, start.cast("int") - F.lit(1)), r"(?U)^(\s*)", 1)
+
+    def indented(block: Column) -> Column:
+        line = F.get(block, F.lit(0))
+        lone = (start == end) & (F.size(block) == 1) & ~line.rlike(r"^[ \t]")
+        return F.when(lone, F.array(F.concat(indent, strip(line)))).otherwise(block)
+
+    return F.get(F.transform(F.array(fix_lines), indented), F.lit(0))
+
+
+def replace_lines(lines: Column, start: Column, end: Column, block: Column) -> Column:
+    """The source text with lines start..end replaced by the block."""
+    first, last = start.cast("int"), end.cast("int")
+    before = F.slice(lines, F.lit(1), first - F.lit(1))
+    after = F.slice(lines, last + F.lit(1), F.size(lines) - last)
+    return F.concat(F.array_join(F.concat(before, block, after), "\n"), F.lit("\n"))
 
 
 def numbered_listing(source: Column) -> Column:
