@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("summary_queries", "text_queries", "planning_queries")
+MODULES = (
+    "summary_queries",
+    "text_queries",
+    "planning_queries",
+    "report_queries",
+    "judge_queries",
+    "validation_queries",
+    "source_queries",
+    "flow_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

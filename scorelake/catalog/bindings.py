@@ -77,14 +77,21 @@ _SCORED_COLUMNS = (
 )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows, one per line item."""
+# Arrival order of a line item, unique up to identical rows.
+ARRIVAL = (
+    "(((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 10000 + l_suppkey) * 64 "
+    "+ cast(l_quantity AS bigint) AS arrival"
+)
+
+
+def scored(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Scored rows, one per line item, with extra line-item columns where asked for."""
     columns = (
         f"{value} AS {name}" if rows is None else f"if({rows}, {value}, NULL) AS {name}"
         for name, rows, value in _SCORED_COLUMNS
     )
     keyed = table(spark, sf_dir, "lineitem").selectExpr(*_TASK_KEY, "*")
-    return keyed.selectExpr("model_slug", "track", "sample_id", "trial", *columns)
+    return keyed.selectExpr("model_slug", "track", "sample_id", "trial", *columns, *extra)
 
 
 _SCORED_SQL = """
@@ -232,7 +239,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity / 1024 AS cost",
         "if(l_partkey % 17 = 0, 'TimeoutError: slow', '') AS error",
         "if(l_partkey % 17 <> 0, raw, NULL) AS raw_output",
-        "l_orderkey * 8 + l_linenumber AS ingest_seq",
+        "((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 5 + ascii(l_returnflag) % 5 AS ingest_seq",
     )
 
 
@@ -250,7 +257,7 @@ v_responses AS (
     CASE WHEN l_partkey % 17 <> 0 THEN """
     + _fenced_sql("l_partkey", "(" + _snippet_sql("l_partkey", "l_returnflag") + ")")
     + """ END AS raw_output,
-    l_orderkey * 8 + l_linenumber AS ingest_seq
+    ((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 5 + ascii(l_returnflag) % 5 AS ingest_seq
   FROM lineitem_keyed
 )"""
 )
@@ -502,7 +509,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     reply = (
         F.when(key % 7 == 6, F.lit("no json here"))
-        .when(key % 7 == 5, F.concat(document, F.lit(" and {")))
+        .when(key % 7 == 5, F.concat(document, F.lit(" and {x}")))
         .otherwise(F.concat(F.lit("Here: "), document))
     )
     return table(spark, sf_dir, "documents").select("doc_id", "text", reply.alias("reply"))
@@ -510,7 +517,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPLIES_SQL = """
 v_replies AS (
-  SELECT doc_id, text, doc_id % 7 < 6 AS valid,
+  SELECT doc_id, text, doc_id % 7 < 5 AS valid,
     CASE doc_id % 5 WHEN 0 THEN (doc_id % 9) / 8.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE WHEN 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
     doc_id % 4 IN (0, 2) AS flag
   FROM documents
@@ -546,8 +553,57 @@ v_labels AS (
   FROM labels JOIN documents USING (doc_id)
 )"""
 
+_ARRIVED_SQL = _SCORED_SQL.split("v_scored AS (")[1].join(["v_arrived AS (", ""]).replace(
+    "SELECT model_slug, track, sample_id, trial,",
+    f"SELECT model_slug, track, sample_id, trial, l_linenumber, {ARRIVAL},",
+    1,
+)
+
+
+def flow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses whose samples are parts, with output fit for the sample's track."""
+    number = F.col("l_partkey") + F.col("l_linenumber")
+    code = fenced(number, snippet(number, F.col("l_returnflag")))
+    return (
+        table(spark, sf_dir, "lineitem")
+        .withColumns({"code": code, "track": _track("l_partkey")})
+        .selectExpr(
+            _TASK_KEY[0],
+            "track",
+            "concat('p', l_partkey) AS sample_id",
+            _TASK_KEY[3],
+            "'openrouter' AS provider",
+            "cast((l_partkey + l_linenumber) % 4 AS int) AS attempts",
+            "cast(l_quantity * 5 AS bigint) AS tokens_in",
+            "cast(l_quantity * 10 AS bigint) AS tokens_out",
+            "(l_quantity + l_linenumber) / 8 AS latency_s",
+            "l_quantity / 1024 AS cost",
+            "CASE track WHEN 'bug_localization' THEN concat('{\"line\": ', l_partkey % 50 + 1, ', \"proposed_fix\": \"done(1)\"}') "
+            "WHEN 'test_case_design' THEN '{\"test_cases\": []}' ELSE code END AS raw_output",
+        )
+    )
+
+
+def flow_logs(responses: DataFrame) -> DataFrame:
+    """One execution log per response key; every eleventh sample has none."""
+    keys = responses.select(*fixed.KEY_COLUMNS).distinct()
+    part = "cast(substring(sample_id, 2) AS bigint)"
+    blob = (
+        f"concat('{{\"tests_total\": 5, \"tests_failing_on_correct\": ', {part} % 2, ', \"collection_ok\": true, "
+        f"\"coverage_pct\": 50, \"mutants_total\": 4, \"mutants_killed\": ', {part} % 5, '}}')"
+    )
+    return keys.filter(f"{part} % 11 <> 0").selectExpr(
+        *fixed.KEY_COLUMNS,
+        f"cast(({part} + trial) % 3 AS int) AS exit_code",
+        f"{part} % 7 = 0 AS timed_out",
+        f"concat('{fixed.RESULT_MARKER}\\n', {blob}) AS stdout",
+        "'' AS stderr",
+    )
+
+
 SQL = {
     "scored": (_SCORED_SQL,),
+    "arrived": (_SCORED_SQL, _ARRIVED_SQL),
     "texts": (_TEXTS_SQL,),
     "responses": (_SCORED_SQL, _RESPONSES_SQL),
     "models": (_MODELS_SQL,),

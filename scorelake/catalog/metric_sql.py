@@ -88,24 +88,30 @@ def python_round(expr: str) -> str:
 
 _HEADLINE = ", ".join(f"'{t}'" for t in fixed.HEADLINE_TRACKS)
 
-# CTEs that end in `summary`: the whole table, unrounded.
-SUMMARY = f"""
-per_track AS ({grouped('v_scored', 'model_slug, track')}),
-per_model AS ({grouped('v_scored', 'model_slug')}),
-per_trial AS ({grouped('v_scored', 'model_slug, track, trial')}),
-track_spread AS (SELECT model_slug, track, greatest(count(composite), 1) AS n_trials,
-  stddev_samp(composite) AS composite_std FROM per_trial GROUP BY 1, 2),
-trial_headline AS (SELECT model_slug, trial, avg(composite) AS composite FROM per_trial
+
+def summary_ctes(relation: str = "v_scored", suffix: str = "") -> str:
+    """CTEs that end in ``summary<suffix>``: the whole table, unrounded."""
+    x = suffix
+    return f"""
+per_track{x} AS ({grouped(relation, 'model_slug, track')}),
+per_model{x} AS ({grouped(relation, 'model_slug')}),
+per_trial{x} AS ({grouped(relation, 'model_slug, track, trial')}),
+track_spread{x} AS (SELECT model_slug, track, greatest(count(composite), 1) AS n_trials,
+  stddev_samp(composite) AS composite_std FROM per_trial{x} GROUP BY 1, 2),
+trial_headline{x} AS (SELECT model_slug, trial, avg(composite) AS composite FROM per_trial{x}
   WHERE track IN ({_HEADLINE}) GROUP BY 1, 2),
-model_spread AS (SELECT model_slug, greatest(count(composite), 1) AS n_trials,
-  stddev_samp(composite) AS composite_std FROM trial_headline GROUP BY 1),
-headline AS (SELECT model_slug, avg(composite) AS composite FROM per_track
+model_spread{x} AS (SELECT model_slug, greatest(count(composite), 1) AS n_trials,
+  stddev_samp(composite) AS composite_std FROM trial_headline{x} GROUP BY 1),
+headline{x} AS (SELECT model_slug, avg(composite) AS composite FROM per_track{x}
   WHERE track IN ({_HEADLINE}) GROUP BY 1),
-summary AS (
+summary{x} AS (
   SELECT p.*, n_trials, composite_std, {tier(python_round('p.composite'))} AS tier
-  FROM per_track p JOIN track_spread USING (model_slug, track)
+  FROM per_track{x} p JOIN track_spread{x} USING (model_slug, track)
   UNION ALL BY NAME
   SELECT p.* EXCLUDE (composite), 'ALL' AS track, h.composite, n_trials, composite_std,
     {tier('h.composite')} AS tier
-  FROM per_model p LEFT JOIN headline h USING (model_slug) JOIN model_spread USING (model_slug)
+  FROM per_model{x} p LEFT JOIN headline{x} h USING (model_slug) JOIN model_spread{x} USING (model_slug)
 )"""
+
+
+SUMMARY = summary_ctes()

@@ -133,38 +133,69 @@ def leaks_any(text: Column, terms) -> Column:
     return hit
 
 
+def _anchors(terms: DataFrame) -> DataFrame:
+    """Terms with the piece of text that any prompt holding the term must show.
+
+    The inner words of a term are whole words of the prompt too. A term anchors at
+    its first inner words, as many as the largest power of two up to 8; a term
+    without inner words at its opening characters.
+    """
+    words = F.expr("regexp_extract_all(_term, '(?U)\\\\w+', 0)")
+    split = (
+        terms.select("term_id", F.lower("term").alias("_term"))
+        .filter("_term <> ''")
+        .withColumn("_words", words)
+        .withColumn("_inner", F.expr("slice(_words, 2, greatest(size(_words) - 2, 0))"))
+    )
+    units = F.expr("if(size(_inner) > 0, least(size(_inner), 8), length(_term))")
+    width = F.expr("cast(shiftleft(1, cast(floor(log2(_units)) AS int)) AS int)")
+    kind = F.expr("concat(if(size(_inner) > 0, 'w', 'c'), _width)")
+    piece = "if(size(_inner) > 0, array_join(slice(_inner, 1, _width), ' '), left(_term, _width))"
+    return (
+        split.withColumn("_units", units)
+        .withColumn("_width", width)
+        .withColumn("_kind", kind)
+        .withColumn("_anchor", F.expr(f"concat(_kind, ':', {piece})"))
+        .select("term_id", "_term", "_kind", "_anchor")
+    )
+
+
 def leak_scan(prompts: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs (prompt_id, term_id) where the prompt contains the term, case-folded.
 
     ``prompts`` is (prompt_id, text), ``terms`` (term_id, term). A prompt and a term
-    are compared only when they share the term's opening window: the longest power
-    of two that fits the term, so at least half of it. Distinct windows of the
-    prompts meet those of the terms in an equi-join, which broadcasts the terms
-    when they are few and shuffles when they are not.
+    are compared only when they share the term's anchor: distinct word runs of the
+    prompts meet the anchors in an equi-join, which broadcasts the terms when they
+    are few and shuffles when they are not.
     """
-    lowered = prompts.select("prompt_id", F.lower("text").alias("_text"))
-    folded = terms.select("term_id", F.lower("term").alias("_term")).filter("_term <> ''")
-    keyed = folded.withColumn(
-        "_width", F.expr("cast(shiftleft(1, cast(floor(log2(length(_term))) AS int)) AS int)")
-    ).withColumn("_window", F.expr("left(_term, _width)"))
-    # One row per power of two up to the longest term: a handful, whatever the terms.
-    widths = sorted(r["_width"] for r in keyed.select("_width").distinct().collect())
-    if not widths:
+    anchored = _anchors(terms)
+    # One row per kind and power of two: a handful, whatever the terms.
+    kinds = sorted(r["_kind"] for r in anchored.select("_kind").distinct().collect())
+    if not kinds:
         pair = T.StructType([prompts.schema["prompt_id"], terms.schema["term_id"]])
         return prompts.sparkSession.createDataFrame([], pair)
-    windows = F.expr(
-        "array_distinct(flatten(array("
-        + ", ".join(
-            f"if(length(_text) >= {w}, transform(sequence(1, length(_text) - {w - 1}), "
-            f"i -> substring(_text, i, {w})), array())"
-            for w in widths
-        )
-        + ")))"
-    )
-    # Texts stay behind while windows are matched and come back for the candidates.
+    lowered = prompts.select("prompt_id", F.lower("text").alias("_text"))
+    split = lowered.withColumn("_words", F.expr("regexp_extract_all(_text, '(?U)\\\\w+', 0)"))
+
+    def pieces(kind: str) -> str:
+        width = int(kind[1:])
+        if kind == "w1":
+            found = "_words"
+        elif kind[0] == "w":
+            found = (
+                f"if(size(_words) >= {width}, transform(sequence(1, size(_words) - {width - 1}), "
+                f"i -> array_join(slice(_words, i, {width}), ' ')), array())"
+            )
+        else:
+            # Overlapping character windows in one pass.
+            found = f"regexp_extract_all(_text, '(?s)(?=(.{{{width}}}))', 1)"
+        return f"transform({found}, p -> concat('{kind}:', p))"
+
+    shown = F.expr(f"array_distinct(flatten(array({', '.join(pieces(k) for k in kinds)})))")
+    # Texts stay behind while anchors are matched and come back for the candidates.
     candidates = (
-        lowered.select("prompt_id", F.explode(windows).alias("_window"))
-        .join(keyed, "_window")
+        split.select("prompt_id", F.explode(shown).alias("_anchor"))
+        .join(anchored, "_anchor")
         .select("prompt_id", "term_id", "_term")
     )
     return (
