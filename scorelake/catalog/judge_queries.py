@@ -43,7 +43,8 @@ SQL["runner_logs"] = with_bindings(
 def unit_verdicts(spark, sf_dir):
     """Unit-test columns of a scored row, with the failure defaults."""
     logs = bindings.exec_results(spark, sf_dir)
-    verdict = execution.unit_verdict(F.col("stdout"), F.col("stderr"), F.lit(4))
+    logs = execution.with_blob(logs, "stdout")
+    verdict = execution.unit_verdict("stdout", "stderr", "4")
     return logs.select("event_id", *(c.alias(n) for n, c in verdict.items()))
 
 
@@ -63,7 +64,8 @@ SQL["unit_verdicts"] = with_bindings(
 def unit_feedback(spark, sf_dir):
     """Feedback text of each unit-test run."""
     logs = bindings.exec_results(spark, sf_dir)
-    verdict = execution.unit_verdict(F.col("stdout"), F.col("stderr"), F.lit(4))
+    logs = execution.with_blob(logs, "stdout")
+    verdict = execution.unit_verdict("stdout", "stderr", "4")
     judged = logs.select("event_id", *(c.alias(n) for n, c in verdict.items()))
     columns = {n: F.col(n) for n in verdict}
     return judged.select("event_id", execution.unit_feedback(columns).alias("feedback"))
@@ -207,15 +209,13 @@ SELECT event_id, event_id % 3 = 0 OR (event_id % 2 = 0 AND event_id % 5 <> 0 AND
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return bindings.replies(spark, sf_dir).select(
-        "doc_id", parsing.judge_json(F.col("reply")).alias("document")
-    )
+    given = bindings.replies(spark, sf_dir)
+    return parsing.with_judge_json(given, "reply", "document").select("doc_id", "document")
 
 
 def judge_scores(spark, sf_dir):
     """Clamped score and pass verdict of each reply."""
-    reply = judging.rubric_reply(F.col("document"))
-    scored = _documents(spark, sf_dir).select("doc_id", reply["score"].alias("score"), reply["note"].alias("note"))
+    scored = judging.with_rubric_reply(_documents(spark, sf_dir), "document").drop("document")
     return scored.withColumn("passed", F.col("score") >= fixed.DESIGN_PASS)
 
 
@@ -230,8 +230,8 @@ SQL["judge_scores"] = with_bindings(
 
 def hallucination_flags(spark, sf_dir):
     """Truthiness of each reply's flag."""
-    reply = judging.hallucination_reply(F.col("document"))
-    return _documents(spark, sf_dir).select("doc_id", reply["flag"].alias("hallucinated"))
+    flagged = judging.with_hallucination_reply(_documents(spark, sf_dir), "document")
+    return flagged.select("doc_id", F.col("flag").alias("hallucinated"))
 
 
 SQL["hallucination_flags"] = with_bindings(
@@ -241,8 +241,7 @@ SQL["hallucination_flags"] = with_bindings(
 
 def review_scores(spark, sf_dir):
     """Per-criterion scores and notes with their mean; missing criteria score 0."""
-    reply = judging.review_reply(F.col("document"))
-    return _documents(spark, sf_dir).select("doc_id", *(c.alias(n) for n, c in reply.items()))
+    return judging.with_review_reply(_documents(spark, sf_dir), "document").drop("document")
 
 
 SQL["review_scores"] = with_bindings(
@@ -292,8 +291,8 @@ def replayed_replies(spark, sf_dir):
     asked = replies.select("doc_id", key.alias("request_key"))
     return asked.join(fields, "request_key", "left").select(
         "doc_id",
-        F.expr("if(_found, _score, 0D)").alias("score"),
-        F.expr("coalesce(_flag, false)").alias("flag"),
+        F.expr("if(_found, score, 0D)").alias("score"),
+        F.expr("coalesce(flag, false)").alias("flag"),
     )
 
 

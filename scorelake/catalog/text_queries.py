@@ -139,8 +139,8 @@ SELECT page_id, no_comments, bare, {_BALANCED.format(b='bare', t=_trim('html'))}
 
 def static_tests(spark, sf_dir):
     """Syntax, assertion and import checks of every extracted code block."""
-    scans = _scans(spark, sf_dir).withColumn("language", F.lit("typescript"))
-    return text_features.with_static_tests(scans, "code").select(
+    scans = _scans(spark, sf_dir)
+    return text_features.with_static_tests(scans, "code", "_bare").select(
         "doc_id", "static_parses", "static_has_assert", "static_no_network"
     )
 
@@ -154,8 +154,8 @@ SQL["static_tests"] = _over_scans(
 
 def python_syntax(spark, sf_dir):
     """Python syntax check of every extracted code block (rows only: no SQL twin)."""
-    scans = _scans(spark, sf_dir).withColumn("language", F.lit("python"))
-    return text_features.with_static_tests(scans, "code").select("doc_id", "static_parses")
+    parsed = _parsed(spark, sf_dir)
+    return text_features.with_static_tests(parsed, "code").select("doc_id", "static_parses")
 
 
 def selector_robustness(spark, sf_dir):
@@ -301,7 +301,7 @@ SQL["text_job"] = _over_scans(
 def json_objects(spark, sf_dir):
     """Fields of the JSON object in each localization reply, fenced or inline."""
     given = bindings.localization_replies(spark, sf_dir)
-    document = given.select("sample_id", parsing.json_object(F.col("reply")).alias("document"))
+    document = parsing.with_json_object(given, "reply", "document")
     return document.select(
         "sample_id",
         F.get_json_object("document", "$.line").alias("line"),
@@ -326,7 +326,7 @@ SQL["json_objects"] = with_bindings(
 def judge_objects(spark, sf_dir):
     """Validity and fields of judge replies; trailing braces make a reply invalid."""
     given = bindings.replies(spark, sf_dir)
-    document = given.select("doc_id", parsing.judge_json(F.col("reply")).alias("document"))
+    document = parsing.with_judge_json(given, "reply", "document")
     return document.select(
         "doc_id",
         (F.col("document") != "{}").alias("valid"),
@@ -344,7 +344,7 @@ SQL["judge_objects"] = with_bindings(
 
 def _localized(spark, sf_dir) -> DataFrame:
     given = bindings.localization_replies(spark, sf_dir)
-    given = given.withColumn("document", parsing.json_object(F.col("reply")))
+    given = parsing.with_json_object(given, "reply", "document")
     spans = localize.with_span(given, "document")
     return localize.with_hits(spans, F.col("payload.fault_lines"))
 

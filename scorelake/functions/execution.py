@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
@@ -26,10 +26,7 @@ def _log_tail(stdout: Column, stderr: Column, chars: int) -> Column:
 
 
 def runner_blob(stdout: Column, marker: str = fixed.RESULT_MARKER) -> Column:
-    """The runner's one-line JSON after the marker as a struct, NULL when absent.
-
-    ``FAILFAST`` would end the job on a bad line, so bad lines read as NULL structs.
-    """
+    """The runner's one-line JSON after the marker as a struct; NULL when absent or bad."""
     position = F.locate(marker, stdout)
     rest = strip(F.substr(stdout, position + F.lit(len(marker))))
     line = F.regexp_extract(rest, r"^([^\n\r]*)", 1)
@@ -39,33 +36,38 @@ def runner_blob(stdout: Column, marker: str = fixed.RESULT_MARKER) -> Column:
     return F.when(valid & nonempty, blob)
 
 
-def unit_verdict(stdout: Column, stderr: Column, n_mutants: Column) -> dict[str, Column]:
-    """Unit-test columns of a scored row; ``mutants_killed`` is NULL on failure."""
-    blob = runner_blob(stdout)
-    ok = blob.isNotNull()
+def with_blob(df: DataFrame, stdout: str, marker: str = fixed.RESULT_MARKER) -> DataFrame:
+    """Adds ``_blob``, the parsed runner line; the verdict columns read it many times."""
+    return df.withColumn("_blob", runner_blob(F.col(stdout), marker))
 
-    def count(name: str) -> Column:
-        return F.coalesce(blob[name], F.lit(0.0)).cast("int")
 
-    total, failing = count("tests_total"), count("tests_failing_on_correct")
-    mutants, killed = count("mutants_total"), count("mutants_killed")
-    valid = F.coalesce(blob["collection_ok"], F.lit(False)) & (failing == 0) & (total > 0)
+def unit_verdict(stdout: str, stderr: str, n_mutants: str) -> dict[str, Column]:
+    """Unit-test columns of a scored row; needs ``_blob``.
 
-    def either(success: Column, failure: Column) -> Column:
-        return F.when(ok, success).otherwise(failure)
+    ``mutants_killed`` is NULL when the run failed.
+    """
+    ok = "_blob IS NOT NULL"
 
-    return {
+    def count(name: str) -> str:
+        return f"CAST(coalesce(_blob.{name}, 0D) AS INT)"
+
+    total, failing = count("tests_total"), count("tests_failing_on_correct")
+    mutants, killed = count("mutants_total"), count("mutants_killed")
+    valid = f"{ok} AND coalesce(_blob.collection_ok, false) AND {failing} = 0 AND {total} > 0"
+    log = f"coalesce(nullif({stderr}, ''), {stdout}, '')"
+    columns = {
         "exec_ok": ok,
-        "tests_total": either(total, F.lit(0)),
-        "tests_failing_on_correct": either(failing, F.lit(0)),
-        "mutants_total": either(mutants, n_mutants),
-        "mutants_killed": F.when(ok, killed),
-        "mutants_surviving": either(mutants - killed, n_mutants),
-        "coverage_pct": either(F.coalesce(blob["coverage_pct"], F.lit(0.0)), F.lit(0.0)),
-        "runs_and_valid": either(valid, F.lit(False)),
-        "passed": either(valid, F.lit(False)),
-        "exec_error": F.when(~ok, _log_tail(stdout, stderr, fixed.EXEC_ERROR_CHARS)),
+        "tests_total": f"if({ok}, {total}, 0)",
+        "tests_failing_on_correct": f"if({ok}, {failing}, 0)",
+        "mutants_total": f"if({ok}, {mutants}, {n_mutants})",
+        "mutants_killed": f"if({ok}, {killed}, NULL)",
+        "mutants_surviving": f"if({ok}, {mutants} - {killed}, {n_mutants})",
+        "coverage_pct": "coalesce(_blob.coverage_pct, 0D)",
+        "runs_and_valid": valid,
+        "passed": valid,
+        "exec_error": f"if({ok}, NULL, right({log}, {fixed.EXEC_ERROR_CHARS}))",
     }
+    return {name: F.expr(text) for name, text in columns.items()}
 
 
 def unit_feedback(verdict: dict[str, Column]) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
-from scorelake.functions.execution import head
-from scorelake.functions.parsing import json_field, json_kind
+from scorelake.functions import json_values as json
 
 
 def message(role: str, content: Column) -> Column:
@@ -63,78 +62,57 @@ def request_key(model_id: Column, messages: Column) -> Column:
     return F.sha2(F.to_json(F.struct(model_id.alias("id"), messages.alias("messages"))), 256)
 
 
-def score_value(value: Column) -> Column:
-    """A judge score in 0..1: numbers clamp, true is 1, text and gaps are 0, NaN is NULL."""
-    kind = json_kind(value)
-    as_number = F.try_variant_get(value, "$", "double")
-    raw = (
-        F.when(kind.isin("integer", "number"), as_number)
-        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean").cast("double"))
-        .when(
-            (kind == "object") & (json_kind(json_field(value, "$.nan")) == "null"),
-            F.lit(None).cast("double"),
-        )
-        .otherwise(0.0)
-    )
-    return F.when(raw.isNotNull(), F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+def _with_fields(df: DataFrame, document: str, paths) -> DataFrame:
+    """Adds ``_doc`` and a type-name column per path."""
+    df = df.withColumn("_doc", F.expr(f"try_parse_json({document})"))
+    return df.withColumns({kind: F.expr(json.kind_sql("_doc", path)) for kind, path in paths.items()})
 
 
-def text_value(value: Column) -> Column:
-    """A reply field as text, empty when missing."""
-    kind = json_kind(value)
-    text = F.try_variant_get(value, "$", "string")
-    return (
-        F.when(kind.isNull(), F.lit(""))
-        .when(kind == "null", F.lit("None"))
-        .when(kind == "boolean", F.initcap(text))
-        .when(kind.isin("object", "array"), F.to_json(value))
-        .otherwise(text)
-    )
+def _note(path: str, kind: str, chars: int) -> str:
+    return f"left({json.text_sql('_doc', path, kind)}, {chars})"
 
 
-def truthy(value: Column) -> Column:
-    """JSON truthiness: zero, empty, null and missing are false; text "false" is true."""
-    kind = json_kind(value)
-    return F.coalesce(
-        F.when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(kind.isin("integer", "number"), F.try_variant_get(value, "$", "double") != 0)
-        .when(kind == "string", F.try_variant_get(value, "$", "string") != "")
-        .when(kind.isin("object", "array"), ~F.to_json(value).isin("{}", "[]")),
-        F.lit(False),
+def with_rubric_reply(df: DataFrame, document: str) -> DataFrame:
+    """Adds ``score`` and ``note`` of a reply to a rubric."""
+    paths = {"_score_kind": "$.score", "_note_kind": "$.rationale"}
+    return (
+        _with_fields(df, document, paths)
+        .withColumns(
+            {
+                "score": F.expr(json.score_sql("_doc", "$.score", "_score_kind")),
+                "note": F.expr(_note("$.rationale", "_note_kind", fixed.JUDGE_NOTE_CHARS)),
+            }
+        )
+        .drop("_doc", *paths)
     )
 
 
-def rubric_reply(reply_json: Column) -> dict[str, Column]:
-    doc = F.try_parse_json(reply_json)
-    return {
-        "score": score_value(json_field(doc, "$.score")),
-        "note": head(text_value(json_field(doc, "$.rationale")), fixed.JUDGE_NOTE_CHARS),
-    }
-
-
-def hallucination_reply(reply_json: Column) -> dict[str, Column]:
-    doc = F.try_parse_json(reply_json)
-    return {
-        "flag": truthy(json_field(doc, "$.hallucinated")),
-        "note": head(text_value(json_field(doc, "$.rationale")), fixed.JUDGE_NOTE_CHARS),
-    }
-
-
-def review_reply(reply_json: Column) -> dict[str, Column]:
-    """Per-criterion score and note, and their mean; a missing criterion scores 0."""
-    doc = F.try_parse_json(reply_json)
-    out: dict[str, Column] = {}
-    scores = []
-    for name in fixed.REVIEW_CRITERIA:
-        entry = json_field(doc, f"$.{name}")
-        is_entry = json_kind(entry) == "object"
-        score = F.when(is_entry, score_value(json_field(doc, f"$.{name}.score"))).otherwise(0.0)
-        note = F.when(is_entry, text_value(json_field(doc, f"$.{name}.note"))).otherwise("")
-        out[f"review_{name}"] = score
-        out[f"review_{name}_note"] = head(note, fixed.REVIEW_NOTE_CHARS)
-        scores.append(score)
-    total = scores[0]
-    for score in scores[1:]:
-        total = total + score
-    out["review_score"] = total / F.lit(len(scores))
-    return out
+def with_hallucination_reply(df: DataFrame, document: str) -> DataFrame:
+    """Adds ``flag``: whether the reply reports invented symbols."""
+    paths = {"_flag_kind": "$.hallucinated"}
+    flag = F.expr(json.truthy_sql("_doc", "$.hallucinated", "_flag_kind"))
+    return _with_fields(df, document, paths).withColumn("flag", flag).drop("_doc", *paths)
+
+
+def with_review_reply(df: DataFrame, document: str) -> DataFrame:
+    """Adds per-criterion scores and notes and their mean; a missing criterion scores 0."""
+    names = list(fixed.REVIEW_CRITERIA)
+    paths = {}
+    for name in names:
+        paths[f"_{name}"] = f"$.{name}"
+        paths[f"_{name}_score"] = f"$.{name}.score"
+        paths[f"_{name}_note"] = f"$.{name}.note"
+    columns = {}
+    for name in names:
+        is_entry = f"startswith(_{name}, 'OBJECT')"
+        score = json.score_sql("_doc", f"$.{name}.score", f"_{name}_score")
+        note = _note(f"$.{name}.note", f"_{name}_note", fixed.REVIEW_NOTE_CHARS)
+        columns[f"review_{name}"] = F.expr(f"if({is_entry}, {score}, 0D)")
+        columns[f"review_{name}_note"] = F.expr(f"if({is_entry}, {note}, '')")
+    mean = " + ".join(f"review_{name}" for name in names)
+    return (
+        _with_fields(df, document, paths)
+        .withColumns(columns)
+        .withColumn("review_score", F.expr(f"({mean}) / {len(names)}"))
+        .drop("_doc", *paths)
+    )

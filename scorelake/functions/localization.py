@@ -5,18 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scorelake.functions.parsing import json_field, json_kind
 from scorelake.functions.values import strip
 
 
-def line_number(value: Column) -> Column:
-    """A JSON integer or a digit string; booleans, fractions and the rest are missing."""
-    kind = json_kind(value)
-    text = strip(F.try_variant_get(value, "$", "string"))
-    digits = (kind == "string") & text.rlike(r"^\d+$")
-    return F.when((kind == "integer") | digits, text.try_cast("bigint"))
-
-
 def covers(start: Column, end: Column, fault_lines: Column, slack: int = 0) -> Column:
     """Whether every known fault line lies in the span widened by ``slack``."""
     inside = F.forall(fault_lines, lambda f: f.between(start - F.lit(slack), end + F.lit(slack)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,38 +83,28 @@ def _canonical_json(first: Column, second: Column) -> Column:
     return F.pandas_udf(batch, T.StringType())(first, second)
 
 
-def json_object(text: Column) -> Column:
-    """The JSON object in a reply, fenced candidate first; ``{}`` when there is none.
+def with_json_object(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the JSON object in a reply, fenced candidate first; ``{}`` when there is none.
 
-    Only the validity check runs in Python (Arrow batches): the JVM readers accept
-    trailing text and reject repeated keys. Fields are read natively afterwards.
+    NULL texts give ``{}``. Only the validity check runs in Python (Arrow batches):
+    the JVM readers accept trailing text and reject repeated keys. Fields are read
+    natively afterwards. The candidates are columns of their own so that the block
+    search runs once.
     """
-    fenced = brace_span(code_block(text, fixed.CODE_LANGUAGES["none"]))
-    plain = F.when(F.contains(text, F.lit(_FENCE)), brace_span(text))
-    return F.coalesce(_canonical_json(fenced, plain), F.lit("{}"))
-
-
-def judge_json(text: Column) -> Column:
-    """The JSON object in a judge reply: brace span only, no fence step."""
-    none = F.lit(None).cast("string")
-    return F.coalesce(_canonical_json(brace_span(text), none), F.lit("{}"))
-
-
-def json_field(document: Column, path: str) -> Column:
-    """One field of a variant document, still a variant."""
-    return F.try_variant_get(document, path, "variant")
-
-
-def json_kind(value: Column) -> Column:
-    """Type of a variant: number, string, boolean, null, object, array; NULL if absent."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name.isNull(), F.lit(None).cast("string"))
-        .when(name == "VOID", "null")
-        .when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "BIGINT", "integer")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("DECIMAL") | (name == "DOUBLE") | (name == "FLOAT"), "number")
+    reply = F.col(text)
+    df = df.withColumn("_fenced", code_block(reply, fixed.CODE_LANGUAGES["none"]))
+    df = df.withColumns(
+        {
+            "_first": brace_span(F.col("_fenced")),
+            "_second": F.when(F.contains(reply, F.lit(_FENCE)), brace_span(reply)),
+        }
     )
+    found = _canonical_json(F.col("_first"), F.col("_second"))
+    return df.withColumn(name, F.coalesce(found, F.lit("{}"))).drop("_fenced", "_first", "_second")
+
+
+def with_judge_json(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the JSON object in a judge reply: brace span only, no fence step."""
+    df = df.withColumn("_first", brace_span(F.col(text)))
+    found = _canonical_json(F.col("_first"), F.lit(None).cast("string"))
+    return df.withColumn(name, F.coalesce(found, F.lit("{}"))).drop("_first")

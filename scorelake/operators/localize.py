@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import localization as rules
-from scorelake.functions.judging import text_value
-from scorelake.functions.parsing import json_field, json_kind
+from scorelake.functions.json_values import kind_sql, line_sql, value_sql
 
 _SCRATCH = ("_doc", "_given_start", "_given_end", "_given_line")
 
@@ -18,13 +17,12 @@ def with_span(df: DataFrame, document: str = "parsed") -> DataFrame:
     One missing end copies the other, both missing fall back to ``line``, and a
     reversed span is turned round.
     """
-    df = df.withColumn("_doc", F.try_parse_json(F.col(document)))
+    df = df.withColumn("_doc", F.expr(f"try_parse_json({document})"))
     df = df.withColumns(
         {
-            f"_given_{name.removesuffix('_line')}": rules.line_number(
-                json_field(F.col("_doc"), f"$.{name}")
-            )
-            for name in ("start_line", "end_line", "line")
+            "_given_start": F.expr(line_sql("_doc", "$.start_line")),
+            "_given_end": F.expr(line_sql("_doc", "$.end_line")),
+            "_given_line": F.expr(line_sql("_doc", "$.line")),
         }
     )
     first = F.expr("coalesce(_given_start, _given_end, _given_line)")
@@ -48,12 +46,14 @@ def with_hits(df: DataFrame, fault_lines: Column) -> DataFrame:
 
 def with_patch(df: DataFrame, document: str, payload: str = "payload") -> DataFrame:
     """Adds ``patched``: the source to test, NULL when no repair is due; needs the span."""
-    fix = json_field(F.try_parse_json(F.col(document)), "$.proposed_fix")
+    doc = f"try_parse_json({document})"
+    is_text = f"{kind_sql(doc, '$.proposed_fix')} = 'STRING'"
+    fix = F.expr(f"if({is_text}, {value_sql(doc, '$.proposed_fix', 'string')}, NULL)")
     fields = F.col(payload)
     start, end = F.col("_start"), F.col("_end")
     df = df.withColumns(
         {
-            "_fix": F.when(json_kind(fix) == "string", text_value(fix)),
+            "_fix": fix,
             "_lines": rules.split_lines(fields["source"]),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake import fixed_values as fixed
 from scorelake.dimensions import judge_dimension
 from scorelake.functions import judging
-from scorelake.functions.parsing import judge_json
+from scorelake.functions.parsing import with_judge_json
 
 _KEY = list(fixed.KEY_COLUMNS)
 
@@ -23,10 +23,8 @@ def judges_of(rows: DataFrame) -> DataFrame:
 
 
 def _judge_name(judges: dict[str, str]) -> Column:
-    name = F.lit(None).cast("string")
-    for track, judge in judges.items():
-        name = F.when(F.col("track") == track, judge).otherwise(name)
-    return name
+    cases = " ".join(f"WHEN '{track}' THEN '{judge}'" for track, judge in judges.items())
+    return F.expr(f"CASE track {cases} END")
 
 
 def with_request_keys(rows: DataFrame, model_id: str) -> DataFrame:
@@ -67,19 +65,11 @@ def read_replies(replies: DataFrame) -> DataFrame:
     A failed reply (NULL text) reads as an empty object. Of repeated keys one reply
     is kept.
     """
-    text = F.coalesce(F.col("reply"), F.lit("{}"))
     unique = replies.groupBy("request_key").agg(F.max("reply").alias("reply"))
-    parsed = unique.select("request_key", judge_json(text).alias("_json"))
-    rubric = judging.rubric_reply(F.col("_json"))
-    check = judging.hallucination_reply(F.col("_json"))
-    review = judging.review_reply(F.col("_json"))
-    return parsed.select(
-        "request_key",
-        rubric["score"].alias("_score"),
-        rubric["note"].alias("_note"),
-        check["flag"].alias("_flag"),
-        *(c.alias(f"_{n}") for n, c in review.items()),
-    )
+    parsed = with_judge_json(unique, "reply", "_json").drop("reply")
+    read = judging.with_rubric_reply(parsed, "_json")
+    read = judging.with_review_reply(judging.with_hallucination_reply(read, "_json"), "_json")
+    return read.drop("_json")
 
 
 def with_judgements(keyed: DataFrame, replies: DataFrame) -> DataFrame:
@@ -89,37 +79,39 @@ def with_judgements(keyed: DataFrame, replies: DataFrame) -> DataFrame:
     the optimizer may split a request that very many rows share.
     """
     fields = read_replies(replies)
-    main = fields.withColumnRenamed("request_key", "_main_key")
+    reply_columns = [c for c in fields.columns if c != "request_key"]
+    main = fields.select(
+        F.col("request_key").alias("_main_key"),
+        F.lit(True).alias("_found"),
+        *(F.col(c).alias(f"_main_{c}") for c in reply_columns),
+    )
     side = fields.select(
         F.col("request_key").alias("_side_key"),
-        F.col("_flag").alias("_side_flag"),
-        F.col("_note").alias("_side_note"),
-        F.lit(True).alias("_side_found"),
+        F.col("flag").alias("_side_flag"),
+        F.col("note").alias("_side_note"),
     )
     joined = (
-        keyed.join(main.withColumn("_found", F.lit(True)), "_main_key", "left")
+        keyed.join(main, "_main_key", "left")
         .join(side, "_side_key", "left")
+        .withColumns({"_judge": _judge_name(MAIN_JUDGE), "_side": _judge_name(SIDE_JUDGE)})
     )
     # A found NULL score is a NaN reply and stays NULL; a missing reply scores 0.
-    score = F.expr("if(_found, _score, 0D)")
-    note = F.expr("coalesce(_note, '')")
-    judge = _judge_name(MAIN_JUDGE)
-    design = judge.isin("design", "test_case_design")
-    side_due = _judge_name(SIDE_JUDGE).isNotNull()
+    score, note = "if(_found, _main_score, 0D)", "coalesce(_main_note, '')"
+    design = "_judge IN ('design', 'test_case_design')"
+    explained = "_judge = 'explanation'"
     columns = {
-        "hallucinated": F.when(side_due, F.coalesce(F.col("_side_flag"), F.lit(False))),
-        "hallucination_note": F.when(side_due, F.coalesce(F.col("_side_note"), F.lit(""))),
-        "design_judge": F.when(design, score),
-        "design_note": F.when(design, note),
-        "explanation_judge": F.when(judge == "explanation", score),
-        "explanation_note": F.when(judge == "explanation", note),
-        "_design_passed": F.when(judge == "test_case_design", score >= fixed.DESIGN_PASS),
+        "hallucinated": "if(_side IS NULL, NULL, coalesce(_side_flag, false))",
+        "hallucination_note": "if(_side IS NULL, NULL, coalesce(_side_note, ''))",
+        "design_judge": f"if({design}, {score}, NULL)",
+        "design_note": f"if({design}, {note}, NULL)",
+        "explanation_judge": f"if({explained}, {score}, NULL)",
+        "explanation_note": f"if({explained}, {note}, NULL)",
+        "_design_passed": f"if(_judge = 'test_case_design', {score} >= {fixed.DESIGN_PASS}D, NULL)",
     }
     for name in fixed.JUDGE_COLUMNS["review"]:
         missing = "''" if name.endswith("_note") else "0D"
-        value = F.expr(f"if(_found, _{name}, {missing})")
-        columns[name] = F.when(judge == "review", value)
-    rated = joined.withColumns(columns)
+        columns[name] = f"if(_judge = 'review', if(_found, _main_{name}, {missing}), NULL)"
+    rated = joined.withColumns({n: F.expr(text) for n, text in columns.items()})
     scratch = [c for c in rated.columns if c.startswith("_") and c != "_design_passed"]
     return rated.drop(*scratch)
 

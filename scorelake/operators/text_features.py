@@ -6,27 +6,30 @@ layer's columns are computed once and reused by the next.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
 from scorelake.functions import craft, detectors
 from scorelake.functions.lexing import braces_balance, strip_comments, strip_noise
-from scorelake.functions.parsing import code_block, json_object
+from scorelake.functions.parsing import code_block, with_json_object
 from scorelake.functions.python_syntax import python_parses
 
 
-def parse_output(df: DataFrame, raw: str = "raw_output", track: str = "track") -> DataFrame:
-    """Adds ``parsed``: code for code tracks, canonical JSON text for the others."""
-    text = F.coalesce(F.col(raw), F.lit(""))
-    is_unit = F.col(track) == "unit_test_gen"
-    is_e2e = F.col(track).isin(*fixed.E2E_TRACKS)
-    code = F.when(is_unit, code_block(text, fixed.CODE_LANGUAGES["python"])).when(
-        is_e2e, code_block(text, fixed.CODE_LANGUAGES["typescript"])
+def parse_output(df: DataFrame, raw: str = "raw_output") -> DataFrame:
+    """Adds ``code`` for code tracks and ``parsed``, which is JSON text for the others.
+
+    ``code`` stays free of Python: it is NULL on JSON tracks, and only their texts
+    reach the Python check.
+    """
+    unit, e2e = "track = 'unit_test_gen'", f"track IN {fixed.E2E_TRACKS}"
+    text = F.expr(f"coalesce({raw}, '')")
+    code = F.when(F.expr(unit), code_block(text, fixed.CODE_LANGUAGES["python"])).when(
+        F.expr(e2e), code_block(text, fixed.CODE_LANGUAGES["typescript"])
     )
-    # The JSON check runs in Python: code rows hand it NULL instead of their text.
-    document = json_object(F.when(~(is_unit | is_e2e), text))
-    return df.withColumn("parsed", F.coalesce(code, document))
+    df = df.withColumns({"code": code, "_reply": F.expr(f"if({unit} OR {e2e}, NULL, {raw})")})
+    df = with_json_object(df, "_reply", "_json").drop("_reply")
+    return df.withColumn("parsed", F.expr("coalesce(code, _json)")).drop("_json")
 
 
 def with_scans(df: DataFrame, code: str = "parsed") -> DataFrame:
@@ -39,12 +42,10 @@ def drop_scans(df: DataFrame) -> DataFrame:
     return df.drop("_code", "_bare")
 
 
-def with_static_tests(df: DataFrame, code: str = "parsed", language: str = "language") -> DataFrame:
-    """Adds the static test signals; needs the scans."""
-    text, is_python = F.col(code), F.col(language) == "python"
-    parses = F.when(is_python, python_parses(F.when(is_python, text))).otherwise(
-        braces_balance(text, F.col("_bare"))
-    )
+def with_static_tests(df: DataFrame, code: str, bare: str | None = None) -> DataFrame:
+    """Adds the static test signals: Python syntax, or brace balance when ``bare`` is named."""
+    text = F.col(code)
+    parses = python_parses(text) if bare is None else braces_balance(text, F.col(bare))
     return df.withColumns(
         {
             "static_parses": parses,
@@ -104,6 +105,6 @@ def e2e_features(df: DataFrame, code: str = "parsed", expected: str = "expected_
     )
 
 
-def only_for(df: DataFrame, rows: Column, names) -> DataFrame:
+def only_for(df: DataFrame, rows: str, names) -> DataFrame:
     """NULL in the named columns outside the given rows."""
-    return df.withColumns({n: F.when(rows, F.col(n)) for n in names})
+    return df.withColumns({n: F.expr(f"if({rows}, `{n}`, NULL)") for n in names})

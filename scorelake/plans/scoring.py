@@ -60,38 +60,34 @@ def unknown_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def _language() -> Column:
-    language = F.lit(None).cast("string")
-    for track, value, *_ in fixed.TRACKS:
-        language = F.when(F.col("track") == track, value).otherwise(language)
-    return language
-
-
-def _execution_columns() -> dict[str, Column]:
+def _with_execution(rows: DataFrame) -> DataFrame:
     """Verdict columns of every track out of the joined execution log."""
-    stdout = F.coalesce(F.col("_stdout"), F.lit(""))
-    stderr = F.coalesce(F.col("_stderr"), F.lit(""))
-    mutants = F.coalesce(F.size(F.col("payload.mutants")), F.lit(0))
-    unit, bug = F.col("track") == "unit_test_gen", F.col("track") == "bug_localization"
-    e2e = F.col("track").isin(*fixed.E2E_TRACKS)
-    unit_columns = execution.unit_verdict(stdout, stderr, F.greatest(mutants, F.lit(0)))
-    browser = execution.browser_verdict(F.col("_exit"), F.col("_timed_out"), stdout, stderr)
+    rows = execution.with_blob(rows, "_stdout")
+    unit, bug = "track = 'unit_test_gen'", "track = 'bug_localization'"
+    e2e = f"track IN {fixed.E2E_TRACKS}"
+    unit_columns = execution.unit_verdict("_stdout", "_stderr", "_n_mutants")
+    browser = execution.browser_verdict(
+        F.col("_exit"), F.col("_timed_out"), F.col("_stdout"), F.col("_stderr")
+    )
     # Each track has its own columns; `passed` is the one they share.
-    columns = {n: F.when(unit, c) for n, c in unit_columns.items() if n != "passed"}
-    columns.update({n: F.when(e2e, c) for n, c in browser.items() if n != "passed"})
-    attempted = F.col("patched").isNotNull()
-    repaired = attempted & F.coalesce(F.col("_exit") == 0, F.lit(False))
-    columns["repair_attempted"] = F.when(bug, attempted)
-    columns["repair_passed"] = F.when(bug, repaired)
-    columns["passed"] = (
-        F.when(unit, unit_columns["passed"])
-        .when(e2e, browser["passed"])
+    columns = {n: F.when(F.expr(unit), c) for n, c in unit_columns.items() if n != "passed"}
+    columns.update({n: F.when(F.expr(e2e), c) for n, c in browser.items() if n != "passed"})
+    columns["repair_attempted"] = F.expr(f"if({bug}, _repairable, NULL)")
+    columns["repair_passed"] = F.expr(
+        f"if({bug}, _repairable AND coalesce(_exit = 0, false), NULL)"
+    )
+    rows = rows.withColumns(columns)
+    return rows.withColumn(
+        "passed",
+        F.when(F.expr(unit), F.col("runs_and_valid"))
+        .when(F.expr(e2e), F.col("e2e_passed"))
         .when(
-            bug,
-            localization_pass(F.col("localized"), F.col("localized_within_1"), repaired),
-        )
+            F.expr(bug),
+            localization_pass(
+                F.col("localized"), F.col("localized_within_1"), F.col("repair_passed")
+            ),
+        ),
     )
-    return columns
 
 
 def score(
@@ -107,37 +103,48 @@ def score(
     Text features run in the scan's own stage; then one join with the execution
     logs on the key and one per judge with the replies on the request key.
     """
-    rows = with_samples(base_rows(responses), samples).withColumn("language", _language())
-    rows = text_features.with_scans(text_features.parse_output(rows))
-    e2e = F.col("track").isin(*fixed.E2E_TRACKS)
-    unit = F.col("track") == "unit_test_gen"
-    bug = F.col("track") == "bug_localization"
-
-    if python_check:
-        rows = text_features.with_static_tests(rows)
-        static = [c for c in rows.columns if c.startswith("static_")]
-        rows = text_features.only_for(rows, unit, static)
-    rows = rows.withColumn(
-        "_expected", F.when(F.col("track").isin(*fixed.PATTERN_TRACKS), F.col("payload.expected_pattern"))
+    rows = with_samples(base_rows(responses), samples)
+    rows = text_features.parse_output(rows)
+    e2e, patterned = f"track IN {fixed.E2E_TRACKS}", f"track IN {fixed.PATTERN_TRACKS}"
+    unit, bug = "track = 'unit_test_gen'", "track = 'bug_localization'"
+
+    # NULL code costs no pattern search, so each group of signals sees its own tracks.
+    rows = rows.withColumns(
+        {
+            "_unit_code": F.expr(f"if({unit}, code, NULL)"),
+            "_e2e_code": F.expr(f"if({e2e}, code, NULL)"),
+            "_expected": F.expr(f"if({patterned}, payload.expected_pattern, NULL)"),
+        }
     )
+    if python_check:
+        rows = text_features.with_static_tests(rows, "_unit_code")
+    rows = text_features.with_scans(rows, "_e2e_code")
     rows = text_features.with_craft(text_features.with_patterns(rows, "_expected"))
     rows = rows.withColumn(
         "selectors_robust", text_features.detectors.selectors_robust(F.col("_code"))
     )
     patterns = [*schemas.PATTERN_FLAGS, "pattern_used", "pattern_attempted"]
-    rows = text_features.only_for(rows, F.col("track").isin(*fixed.PATTERN_TRACKS), patterns)
-    rows = text_features.only_for(rows, e2e, _CRAFT)
-    rows = text_features.only_for(rows, F.col("track") == "e2e_ui", ["selectors_robust"])
-    rows = text_features.drop_scans(rows).drop("_expected", "raw_output")
+    rows = text_features.only_for(rows, patterned, patterns)
+    rows = text_features.only_for(rows, "track = 'e2e_ui'", ["selectors_robust"])
+    rows = text_features.drop_scans(rows).drop(
+        "_expected", "_unit_code", "_e2e_code", "code", "raw_output"
+    )
 
-    rows = rows.withColumn("_document", F.when(bug, F.col("parsed")))
+    rows = rows.withColumn("_document", F.expr(f"if({bug}, parsed, NULL)"))
     rows = localize.with_hits(
         localize.with_span(rows, "_document"), F.col("payload.fault_lines")
     )
     hits = ["predicted_line", "predicted_end_line", "localized", "localized_within_1"]
     rows = text_features.only_for(localize.with_patch(rows, "_document"), bug, hits)
 
-    rows = rejudge.with_request_keys(rows, judge_model).drop("parsed", "_document", "_start", "_end")
+    # Prompts and texts are settled here; only small columns go through the joins.
+    rows = rejudge.with_request_keys(rows, judge_model).withColumns(
+        {
+            "_repairable": F.expr("patched IS NOT NULL"),
+            "_n_mutants": F.expr("greatest(coalesce(size(payload.mutants), 0), 0)"),
+        }
+    )
+    rows = rows.drop("parsed", "_document", "_start", "_end", "payload", "patched")
     logs = exec_results.select(
         *_KEY,
         F.col("exit_code").alias("_exit"),
@@ -145,8 +152,8 @@ def score(
         F.col("stdout").alias("_stdout"),
         F.col("stderr").alias("_stderr"),
     )
-    rows = rows.join(logs, _KEY, "left").withColumns(_execution_columns())
-    rows = rejudge.with_judgements(rows.drop("payload", "patched", *_LOG), replies)
+    rows = _with_execution(rows.join(logs, _KEY, "left")).drop(*_LOG)
+    rows = rejudge.with_judgements(rows, replies)
     rows = rows.withColumn("passed", F.coalesce("passed", "_design_passed"))
     return rows.select(
         *(
@@ -156,19 +163,7 @@ def score(
     )
 
 
-_LOG = ("_exit", "_timed_out", "_stdout", "_stderr")
-_CRAFT = [
-    "locator_quality",
-    "assertion_quality",
-    "waiting_quality",
-    "uses_arbitrary_timeout",
-    "teardown_hygiene",
-    "uses_unique_data",
-    "uses_hardcoded_url",
-    "uses_fragile_selector",
-    "has_code_smell",
-    "dry_score",
-]
+_LOG = ("_exit", "_timed_out", "_stdout", "_stderr", "_blob", "_repairable", "_n_mutants")
 
 
 def refresh_judgements(
@@ -185,7 +180,7 @@ def refresh_judgements(
     judged = [c for c in rejudge.judge_columns() if c in scored.columns]
     kept = rejudge.drop_stale(scored).drop(*judged)
     rows = with_samples(rejudge.with_raw_outputs(kept, responses), samples)
-    rows = text_features.parse_output(rows).drop("raw_output")
+    rows = text_features.parse_output(rows).drop("raw_output", "code")
     keyed = rejudge.with_request_keys(rows, judge_model).drop("payload", "parsed")
     fresh = rejudge.with_judgements(keyed, replies)
     return fresh.withColumn("passed", F.coalesce("_design_passed", "passed")).drop("_design_passed")
