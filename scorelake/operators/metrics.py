@@ -31,7 +31,8 @@ class Stats:
     def __init__(self, columns: Collection[str], metrics: dict[str, Metric] | None = None):
         self.columns = set(columns)
         self.metrics = METRICS if metrics is None else {**METRICS, **metrics}
-        self.sums: dict[str, Callable[[DataFrame], str]] = {}
+        # The row count is always there, so that a group without metrics is still a group.
+        self.sums: dict[str, Callable[[DataFrame], str]] = {"n_rows": lambda df: "count(1)"}
         self._values: dict[str, Column] = {}
         self._layer: dict[str, int] = {}
         self._depth: list[int] = []
