@@ -31,6 +31,8 @@ def python_parses(code: Column) -> Column:
         return True
 
     def batch(texts: pd.Series) -> pd.Series:
-        return pd.Series([parses(t) for t in texts], dtype=object)
+        # Models repeat themselves: each distinct text of a batch is parsed once.
+        verdicts = {t: parses(t) for t in texts.unique()}
+        return pd.Series([verdicts[t] for t in texts], dtype=object)
 
     return F.pandas_udf(batch, T.BooleanType())(code)

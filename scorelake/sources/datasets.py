@@ -9,15 +9,14 @@ from scorelake import fixed_values as fixed
 from scorelake import schemas
 from scorelake.functions.values import strip
 
-_FILE = r".*/([^/]+)/([^/]+)/((?:mutants/)?[^/]+)$"
+_FILE = r"([^/]+)/([^/]+)/(mutants/[^/]+|[^/]+)$"
 
 
 def read_sample_files(spark: SparkSession, root: str) -> DataFrame:
     """Every dataset file below ``root/<track>/<sample>/`` as (track, sample_id, relpath, text)."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(root)
+        spark.read.option("recursiveFileLookup", True)
+        .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("_path"))
     )
     parts = {"track": 1, "sample_id": 2, "relpath": 3}
@@ -99,7 +98,7 @@ def read_samples(spark: SparkSession, root: str) -> DataFrame:
 
 def read_prompts(spark: SparkSession, root: str) -> DataFrame:
     """System prompts: one Markdown file per track, with its text and hash."""
-    files = spark.read.option("wholetext", True).text(f"{root}/*.md")
+    files = spark.read.text(f"{root}/*.md", wholetext=True)
     return prompt_rows(
         files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )

@@ -32,7 +32,7 @@ def parse_worksheets(sheets: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_worksheets(spark: SparkSession, path: str) -> DataFrame:
-    sheets = spark.read.option("wholetext", True).text(path)
+    sheets = spark.read.text(path, wholetext=True)
     return parse_worksheets(sheets.withColumnRenamed("value", "text"))
 
 

@@ -27,7 +27,7 @@ def models_from_toml(spark: SparkSession, text: str) -> DataFrame:
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
     """The registry file at a path that Spark can read."""
-    text = spark.read.option("wholetext", True).text(path).first()
+    text = spark.read.text(path, wholetext=True).first()
     return models_from_toml(spark, text["value"] if text else "")
 
 
