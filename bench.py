@@ -34,7 +34,7 @@ HEADLINE = (
     "leak_scan",
     "jsonl_facts",
 )
-RUNS = 2
+RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 
 def main() -> None:

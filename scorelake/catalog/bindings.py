@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
 from scorelake import schemas
+from scorelake.sources.workspace import spread_if_small
 
 TECHNIQUES = fixed.PATTERN_TECHNIQUES
 
@@ -21,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: small files are spread over all cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spread_if_small(spark.read.parquet(path), path)
+
+
 def _track(key: str) -> Column:
     tracks = F.array(*(F.lit(t) for t in fixed.TRACK_NAMES))
     return F.get(tracks, (F.col(key) % 6).cast("int"))
@@ -197,7 +204,7 @@ def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, text = F.col("doc_id"), F.col("text")
     body = F.concat(snippet(doc_id, F.col("lang")), F.lit("\n/* "), text, F.lit(" */"))
     names = F.array(*(F.lit(t) for t in TECHNIQUES))
-    return table(spark, sf_dir, "documents").select(
+    return heavy_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("Notes:\n"), text, F.lit("\n"), fenced(doc_id, body)).alias("raw_output"),
         F.get(names, (doc_id % 10).cast("int")).alias("expected_pattern"),
@@ -565,7 +572,7 @@ def flow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("l_partkey") + F.col("l_linenumber")
     code = fenced(number, snippet(number, F.col("l_returnflag")))
     return (
-        table(spark, sf_dir, "lineitem")
+        heavy_table(spark, sf_dir, "lineitem")
         .withColumns({"code": code, "track": _track("l_partkey")})
         .selectExpr(
             _TASK_KEY[0],

@@ -119,7 +119,7 @@ SQL["strip_noise_text"] = _over_scans("SELECT doc_id, bare FROM scans")
 
 def page_lexing(spark, sf_dir):
     """Both strippers and the brace check over raw web pages."""
-    pages = bindings.table(spark, sf_dir, "pages")
+    pages = bindings.heavy_table(spark, sf_dir, "pages")
     html = F.col("html")
     scanned = pages.select(
         "page_id", "html", strip_comments(html).alias("no_comments"), strip_noise(html).alias("bare")

@@ -150,7 +150,7 @@ SQL["prompt_drift"] = with_bindings(
 
 def leak_scan(spark, sf_dir):
     """Documents that hold a whole sentence of a benchmark item, case-folded."""
-    docs = bindings.table(spark, sf_dir, "documents")
+    docs = bindings.heavy_table(spark, sf_dir, "documents")
     prompts = docs.select(F.col("doc_id").alias("prompt_id"), "text")
     return validation.leak_scan(prompts, _sentences(spark, sf_dir))
 

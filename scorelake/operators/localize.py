@@ -54,7 +54,7 @@ def with_patch(df: DataFrame, document: str, payload: str = "payload") -> DataFr
     df = df.withColumns(
         {
             "_fix": fix,
-            "_lines": rules.split_lines(fields["source"]),
+            "_lines": F.when(start.isNotNull(), rules.split_lines(fields["source"])),
         }
     )
     lines = F.col("_lines")

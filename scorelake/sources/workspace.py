@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +30,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = system.globStatus(where)
     return found is not None and len(found) > 0
+
+
+_SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread_if_small(df: DataFrame, path: str) -> DataFrame:
+    """Rows over all cores when their few files would keep most of them idle.
+
+    For work that is heavy per row. Looks only at the byte size of the path; input
+    that makes enough tasks by itself is never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = system.getContentSummary(where).getLength()
+    return df.repartition(cores) if size < cores * _SPREAD_BYTES_PER_CORE else df
