@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sketch_queries",)
+MODULES = ("mixing_queries", "sketch_queries", "ann_queries", "license_queries")
 
 
 def _merged(attribute: str) -> dict:
