@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing_queries", "sketch_queries", "ann_queries", "license_queries")
+MODULES = (
+    "language_queries",
+    "quality_queries",
+    "warc_queries",
+    "mixing_queries",
+    "sketch_queries",
+    "ann_queries",
+    "packing_queries",
+    "license_queries",
+)
 
 
 def _merged(attribute: str) -> dict:
