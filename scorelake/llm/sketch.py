@@ -27,6 +27,8 @@ BELOW = "2"
 DIGITS = 12
 #: Documents of neighbouring ids that one task orders at a time, about.
 BLOCK_ROWS = 4096
+#: Ranges of ids at most, whatever the size of the table; their first ids are broadcast.
+MAX_BLOCKS = 65536
 
 
 def sketch(text: Column) -> Column:
@@ -84,11 +86,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     After the last row comes the first. Rows of equal id are ordered by text; NULL ids come last.
     Rows are dealt by ranges of ids, and the first rows of a range are also sent, marked, to the
-    range before, so the texts are shuffled once and no task orders the whole table.
+    range before, so the texts are shuffled once and no task orders the whole table. Only the first
+    ids of the ranges, MAX_BLOCKS + 1 at most, are broadcast.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     low, high = (low or 0), (high or 0)
-    width = max(1, math.ceil((high - low + 1) / max(1, math.ceil(n / BLOCK_ROWS))))
+    width = max(1, math.ceil((high - low + 1) / min(MAX_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))))
     wide = "decimal(20,0)"
     block = F.floor((F.lit(high).cast(wide) - F.col("doc_id").cast(wide)) / F.lit(width).cast(wide)).cast("long")
     last = (high - low) // width + 1
@@ -102,17 +105,18 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce(F.lag("block").over(order), F.max("block").over(everything)).alias("before"),
         F.lit(True).alias("is_first"),
     )
-    dealt = rows.join(sent, rows["doc_id"].eqNullSafe(sent["first_id"]), "left")
+    dealt = rows.join(F.broadcast(sent), rows["doc_id"].eqNullSafe(sent["first_id"]), "left")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("before").alias("block"), F.lit(True).alias("copy"))
     targets = F.when(F.col("is_first"), F.array(own, copy)).otherwise(F.array(own))
     dealt = dealt.withColumn("target", F.explode(targets)).drop("block", "first_id", "before", "is_first")
-    inside = Window.partitionBy("target.block").orderBy("target.copy", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = dealt.select("*", F.col("target.block").alias("at_block"), F.col("target.copy").alias("is_copy")).drop("target")
+    inside = Window.partitionBy("at_block").orderBy("is_copy", F.col("doc_id").desc_nulls_last(), "text")
+    following = F.lead(F.struct("text", "sketch")).over(inside)
     return (
-        dealt.withColumn("next_text", F.lead("text").over(inside))
-        .withColumn("next_sketch", F.lead("sketch").over(inside))
-        .where(~F.col("target.copy"))
-        .drop("target")
+        dealt.withColumn("following", following)
+        .where(~F.col("is_copy"))
+        .select(*docs.columns, F.col("following.text").alias("next_text"), F.col("following.sketch").alias("next_sketch"))
     )
 
 
