@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "language_queries",
+    "dedup_queries",
     "quality_queries",
     "warc_queries",
     "mixing_queries",
