@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 odds = np.exp(SHARPNESS * (by_language - by_language.max(axis=1, keepdims=True)).astype(np.float64))
                 for i, row, b, odd in zip(known, sims, best, odds, strict=True):
                     block[i] = (
-                        model.languages[b], min(1.0, float(1.0 / odd.sum())), float(row[b]), bool(row[b] < model.floors[b])
+                        model.languages[b], round(min(1.0, float(1.0 / odd.sum())), 6), round(float(row[b]), 5), bool(row[b] < model.floors[b])
                     )
             for out, values in zip((preds, scores, cosines, rejected), zip(*block, strict=True), strict=True):
                 out.extend(values)

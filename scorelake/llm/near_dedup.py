@@ -42,7 +42,7 @@ CHUNK, CHUNK_ROOT = 256, 8
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _MIX = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
-_SIGNED = "doc_id long, n_shingles long, node binary, prefix array<long>, sig binary"
+_SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, prefix array<long>, sig binary"
 
 
 def shingles(text: str, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -69,7 +69,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Per row: doc_id, set size, class (NULL for an empty set), prefix values, and signature."""
+    """Per row: doc_id, a hash of the text, set size, class (NULL for an empty set), prefix values, and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +87,14 @@ def signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                     prefixes.append(None)
                     sigs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(prefixes, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "prefix", "sig"],
+                names=["doc_id", "text_hash", "n_shingles", "node", "prefix", "sig"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNED)
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")
+    ).mapInArrow(run, _SIGNED)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -319,6 +321,15 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (whether it is that one)."""
+    rows, named = _named(docs, doc_id, text, width, percent)
+    sets = rows.where(F.col("node").isNotNull())
+    linked = sets.select("doc_id", "n_shingles", "node").join(named, "node").drop("node", "first_node")
+    alone = rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _named(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row, and of each class its component and that one's smallest id and class."""
     rows = _written(signed(docs, doc_id, text, width), "signatures")
     sets = rows.where(F.col("node").isNotNull())
     firsts = sets.groupBy("node").agg(
@@ -327,8 +338,33 @@ def near_duplicates(
     classes = _written(firsts, "classes")
     group = components(links_of(docs, classes, doc_id, text, width, percent))
     grouped = classes.select("node", "doc_id").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.join(names, "component").select("node", "component_id")
-    linked = sets.select("doc_id", "n_shingles", "node").join(named, "node").drop("node")
-    alone = rows.where(F.col("node").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node")
+    names = grouped.groupBy("component").agg(F.min(least).alias("first"))
+    names = names.select("component", F.col("first.doc_id").alias("component_id"), F.col("first.node").alias("first_node"))
+    return rows, grouped.join(names, "component").select("node", "component_id", "first_node")
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of docs but one of each component: one with its smallest doc_id, and of those its least text hash.
+
+    Rows without a set are all kept. Columns stay as they are; of rows equal in id and text any one is taken.
+    """
+    rows, named = _named(docs, doc_id, text, width, percent)
+    keys = ["doc_id", "text_hash"]
+    members = rows.where(F.col("node").isNotNull()).join(named, "node").groupBy("first_node", *keys).agg(F.count(F.lit(1)).alias("n"))
+    members = _written(members, "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), *keys)
+    leads = members.groupBy("first_node").agg(F.min(rank).alias("lead"))
+    judged = members.join(leads, "first_node").withColumn("leads", rank == F.col("lead"))
+    # Only rows that go, and the few leads that are several rows, need a decision.
+    decided = judged.where(~F.col("leads") | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("leads").alias("__leads")
+    )
+    texts = docs.withColumn("__own", F.xxhash64(F.col(text)))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    joined = texts.join(decided, same, "left")
+    single = joined.where(F.col("__leads").isNull()).select(*docs.columns)
+    several = joined.where("__leads").groupBy("__id", "__hash").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(several.select("row.*"))

@@ -159,7 +159,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 block[known] = votes(x @ model.vectors.T, model.labels)
             elif known:
                 block[known] = 0.5
-            scores.extend(np.clip(block, 0.0, 1.0).tolist())
+            scores.extend(np.clip(block, 0.0, 1.0).round(5).tolist())
         return [scores, [int(s >= 0.5) for s in scores]]
 
     return with_outputs(docs, [text], OUTPUTS, compute)

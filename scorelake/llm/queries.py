@@ -8,6 +8,7 @@ MODULES = (
     "language_queries",
     "dedup_queries",
     "quality_queries",
+    "model_queries",
     "warc_queries",
     "mixing_queries",
     "sketch_queries",
