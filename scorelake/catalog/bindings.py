@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
 from scorelake import schemas
-from scorelake.sources.workspace import spread_if_small
-
 TECHNIQUES = fixed.PATTERN_TECHNIQUES
 
 
@@ -23,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy per row: small files are spread over all cores."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spread_if_small(spark.read.parquet(path), path)
+    """A table for work that is heavy per row, dealt into even partitions by one exchange.
+
+    Files may hold their rows in few large row groups, which a scan cannot split. The
+    partitions' number follows from the bytes found, so the plan is the same at every size.
+    """
+    return table(spark, sf_dir, name).hint("rebalance")
 
 
 def _track(key: str) -> Column:
@@ -85,10 +86,9 @@ _SCORED_COLUMNS = (
 
 
 # Arrival order of a line item, unique up to identical rows.
-ARRIVAL = (
-    "(((l_orderkey * 8 + l_linenumber) * 200000 + l_partkey) * 10000 + l_suppkey) * 64 "
-    "+ cast(l_quantity AS bigint) AS arrival"
-)
+_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+ARRIVAL = f"struct({', '.join(_ORDER)}) AS arrival"
+_ARRIVAL_SQL = f"struct_pack({', '.join(f'{c} := {c}' for c in _ORDER)}) AS arrival"
 
 
 def scored(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -157,6 +157,20 @@ _LINES = (
     (19, "await page.route('**/api/todos', r => r.abort());"),
     (23, "const dl = await page.waitForEvent('download');"),
     (29, "/* use request.post here */ test.beforeAll(async () => { setup(); });"),
+    (31, "const made = await request.put('/api/notes/' + Date.now(), { data: {} });"),
+    (37, "const found = await new AxeBuilder({ page }).include('#main').analyze();"),
+    (41, "const marks = await page.evaluate(() => performance.getEntriesByType('mark'));"),
+    (43, "await page.routeWebSocket('/live', socket => socket.close());"),
+    (47, "async function openNote(page, title) { await page.keyboard.press('n'); }"),
+    (53, "const addNote = async (page, body) => page.keyboard.type(body);"),
+    (59, "await reader.attemptsTo(Open.the('notes'));"),
+    (61, "test.use({ storageState: 'reader.json' });"),
+    (67, "const test = base.extend({ notes: async ({ page }, use) => use([]) });"),
+    (71, "expect(await page.title()).toBe('notes'); test.beforeEach(async () => {});"),
+    (73, "test.afterAll(async () => { await context.clearCookies(); });"),
+    (79, "const text = await page.evaluate(() => document.body.innerHTML);"),
+    (83, "await page.reload();\nawait page.reload();\nawait page.reload();\nawait page.goBack();"),
+    (89, "const n = await page.$$('li'); expect(await page.locator('a').isVisible()).toBe(true);"),
 )
 
 
@@ -246,7 +260,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity / 1024 AS cost",
         "if(l_partkey % 17 = 0, 'TimeoutError: slow', '') AS error",
         "if(l_partkey % 17 <> 0, raw, NULL) AS raw_output",
-        "((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 5 + ascii(l_returnflag) % 5 AS ingest_seq",
+        "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) AS ingest_seq",
     )
 
 
@@ -264,7 +278,8 @@ v_responses AS (
     CASE WHEN l_partkey % 17 <> 0 THEN """
     + _fenced_sql("l_partkey", "(" + _snippet_sql("l_partkey", "l_returnflag") + ")")
     + """ END AS raw_output,
-    ((l_orderkey * 8 + l_linenumber) * 20000000 + l_partkey) * 5 + ascii(l_returnflag) % 5 AS ingest_seq
+    struct_pack(l_orderkey := l_orderkey, l_linenumber := l_linenumber, l_partkey := l_partkey, l_suppkey := l_suppkey,
+      l_quantity := l_quantity, l_returnflag := l_returnflag) AS ingest_seq
   FROM lineitem_keyed
 )"""
 )
@@ -562,7 +577,7 @@ v_labels AS (
 
 _ARRIVED_SQL = _SCORED_SQL.split("v_scored AS (")[1].join(["v_arrived AS (", ""]).replace(
     "SELECT model_slug, track, sample_id, trial,",
-    f"SELECT model_slug, track, sample_id, trial, l_linenumber, {ARRIVAL},",
+    f"SELECT model_slug, track, sample_id, trial, l_linenumber, {_ARRIVAL_SQL},",
     1,
 )
 

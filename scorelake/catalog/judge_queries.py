@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
-from scorelake import schemas
+
 from scorelake.catalog import bindings
 from scorelake.catalog.bindings import with_bindings
 from scorelake.functions import execution, judging, parsing
 from scorelake.functions.localization import localization_pass
+from scorelake.functions.prompting import chat_reply
 from scorelake.operators import rejudge
 
 QUERIES: dict = {}
@@ -176,15 +177,9 @@ def usage_replies(spark, sf_dir):
                  F.when(key % 3 == 1, F.lit("}")).otherwise(F.lit(', "completion_tokens": 7}'))),
     ).otherwise("")
     reply = F.concat(F.lit('{"choices": [{"message": '), content, F.lit("}]"), usage, F.lit("}"))
-    parsed = bindings.table(spark, sf_dir, "documents").select(
-        "doc_id", F.from_json(reply, schemas.CHAT_REPLY).alias("reply")
-    )
-    return parsed.select(
-        "doc_id",
-        F.col("reply.choices")[0]["message"]["content"].alias("text"),
-        F.coalesce(F.col("reply.usage.prompt_tokens"), F.lit(0)).alias("tokens_in"),
-        F.coalesce(F.col("reply.usage.completion_tokens"), F.lit(0)).alias("tokens_out"),
-    )
+    replies = bindings.table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
+    read = chat_reply(F.col("reply"))
+    return replies.select("doc_id", *(c.alias(n) for n, c in read.items()))
 
 
 SQL["usage_replies"] = """
@@ -341,6 +336,7 @@ def drop_stale(spark, sf_dir):
         (part == 1).alias("hallucinated"),
         (part / 4).alias("review_score"),
         F.lit("402").alias("score_design_error"),
+        F.lit(0.5).alias("review_flakiness"),
     )
     return rejudge.drop_stale(stale)
 
@@ -367,7 +363,7 @@ def merge_fresh(spark, sf_dir):
 
 
 SQL["merge_fresh"] = """
-SELECT event_id, event_type, CASE WHEN event_type <> 'view' AND event_id % 5 <> 0 THEN (event_id % 8) / 8.0::DOUBLE ELSE (event_id % 4) / 4.0::DOUBLE END AS design_judge,
+SELECT event_id, event_type, CASE WHEN event_type = 'view' THEN (event_id % 4) / 4.0::DOUBLE WHEN event_id % 5 <> 0 THEN (event_id % 8) / 8.0::DOUBLE END AS design_judge,
   CASE WHEN event_type <> 'view' THEN event_id % 2 = 0 END AS hallucinated FROM events"""
 
 for _fn in (

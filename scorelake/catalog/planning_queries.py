@@ -32,13 +32,13 @@ SQL["select_default_models"] = with_bindings(
 
 def select_listed_models(spark, sf_dir):
     """Models of a list, in the order of the list."""
-    chosen = planning.select_models(bindings.models(spark, sf_dir), "m7, m3,m10")
+    chosen = planning.select_models(bindings.models(spark, sf_dir), "m7, m3,m9")
     return chosen.select(F.col("position").cast("long").alias("position"), "slug", "id")
 
 
 SQL["select_listed_models"] = with_bindings(
     "models",
-    """WITH wanted AS (SELECT unnest(['m7', 'm3', 'm10']) AS slug, unnest([0, 1, 2]) AS position)
+    """WITH wanted AS (SELECT unnest(['m7', 'm3', 'm9']) AS slug, unnest([0, 1, 2]) AS position)
        SELECT CAST(position AS BIGINT) AS position, slug, id FROM wanted JOIN v_models USING (slug)""",
 )
 
@@ -110,17 +110,15 @@ SQL["first_samples"] = with_bindings(
 )
 
 
-def _tasks(spark, sf_dir):
+def _task_counts(spark, sf_dir):
     samples = bindings.samples(spark, sf_dir).select("track", "sample_id")
     models = planning.select_models(bindings.models(spark, sf_dir), "all")
-    return planning.plan_tasks(models, samples, trials=2)
+    return planning.task_counts(models, samples, trials=2)
 
 
 def plan_tasks(spark, sf_dir):
     """Planned tasks per model and track over all models, samples and trials."""
-    return _tasks(spark, sf_dir).groupBy("model_slug", "track", "trial").agg(
-        F.count(F.lit(1)).alias("n_tasks"), F.count_distinct("sample_id").alias("n_samples")
-    )
+    return _task_counts(spark, sf_dir)
 
 
 SQL["plan_tasks"] = with_bindings(
@@ -148,7 +146,7 @@ SQL["plan_limited_tasks"] = with_bindings(
 
 def total_tasks(spark, sf_dir):
     """Number of planned tasks."""
-    return planning.total_tasks(_tasks(spark, sf_dir))
+    return planning.total_tasks(_task_counts(spark, sf_dir))
 
 
 SQL["total_tasks"] = with_bindings(

@@ -6,6 +6,7 @@ Everything is written to a new folder below the shared folder of the session.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
@@ -98,21 +99,30 @@ def list_runs(spark, sf_dir):
     """Runs below a folder, newest first, with the number of their rows."""
     root = new_folder(spark, "runs")
     scored = bindings.scored(spark, sf_dir)
-    for run_id, rows in (("older", "trial = 0"), ("newer", "trial > 0")):
-        summaries.write_summary(summary.summarize(scored.filter(rows)), f"{root}/{run_id}/summary.csv")
+    for run_id, rows in (("old run", "trial = 0"), ("a+new%run", "trial > 0")):
+        table = summary.summarize(scored.filter(rows))
+        if run_id == "old run":
+            # Its columns lie in another order, one is missing and one is of its own.
+            names = [c for c in reversed(table.columns) if c != "tier"]
+            table = table.select(F.lit("x").alias("mood"), *names)
+        summaries.write_summary(table, f"{root}/{run_id}/summary.csv")
     found = summaries.read_all_summaries(spark, root)
-    order = summaries.list_runs(found).select(
-        "run_id", (F.col("run_mtime") == F.lit(None)).isNull().alias("dated")
+    listed = summaries.list_runs(found)
+    place = F.row_number().over(W.orderBy(F.desc("run_mtime"), F.desc("run_id")))  # a row per run
+    order = listed.select("run_id", place.cast("long").alias("place"), F.col("run_mtime").isNotNull().alias("dated"))
+    sizes = found.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("tier").alias("n_tiers"), F.sum("n_samples").alias("n_samples")
     )
-    sizes = found.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
     return order.join(sizes, "run_id")
 
 
 SQL["list_runs"] = with_bindings(
     "scored",
-    """WITH counted AS (SELECT count(DISTINCT model_slug || track) FILTER (trial = 0) + count(DISTINCT model_slug) FILTER (trial = 0) AS older,
-         count(DISTINCT model_slug || track) FILTER (trial > 0) + count(DISTINCT model_slug) FILTER (trial > 0) AS newer FROM v_scored)
-       SELECT 'older' AS run_id, true AS dated, older AS n_rows FROM counted UNION ALL SELECT 'newer', true, newer FROM counted""",
+    """WITH runs AS (SELECT *, CASE WHEN trial = 0 THEN 'old run' ELSE 'a+new%run' END AS run_id FROM v_scored),
+       leveled AS (SELECT run_id, model_slug, track, sample_id FROM runs UNION ALL SELECT run_id, model_slug, 'ALL', sample_id FROM runs),
+       sizes AS (SELECT run_id, model_slug, track, count(DISTINCT sample_id) AS n FROM leveled GROUP BY ALL)
+       SELECT run_id, CAST(CASE WHEN run_id = 'old run' THEN 2 ELSE 1 END AS BIGINT) AS place, true AS dated, count(*) AS n_rows,
+         CASE WHEN run_id = 'old run' THEN 0 ELSE count(*) END AS n_tiers, CAST(sum(n) AS BIGINT) AS n_samples FROM sizes GROUP BY run_id""",
 )
 
 
@@ -254,8 +264,25 @@ SQL["rescored_rows"] = with_bindings(
         SELECT track, count(*) AS n_rows, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM kept GROUP BY 1""",
 )
 
+def unique_stream_keys(spark, sf_dir):
+    """Keys of a stream of deliveries, each let through once."""
+    root = new_folder(spark, "stream")
+    for rows in _deliveries(spark, sf_dir):
+        rows.select(*fixed.KEY_COLUMNS).write.mode("append").parquet(f"{root}/inbox")
+    schema = spark.read.parquet(f"{root}/inbox").schema
+    stream = incremental.unique_stream(spark.readStream.schema(schema).parquet(f"{root}/inbox"))
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out").groupBy(*fixed.KEY_COLUMNS).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+SQL["unique_stream_keys"] = SQL["unique_keys"]
+
 for _fn in (
-    jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files,
+    unique_stream_keys, jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files,
     run_manifest, incremental_scoring, unique_keys, running_summary, rescored_rows,
 ):
     QUERIES[_fn.__name__] = _fn

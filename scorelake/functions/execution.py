@@ -46,10 +46,13 @@ def unit_verdict(stdout: str, stderr: str, n_mutants: str) -> dict[str, Column]:
 
     ``mutants_killed`` is NULL when the run failed.
     """
-    ok = "_blob IS NOT NULL"
+    counts = ("tests_total", "tests_failing_on_correct", "mutants_total", "mutants_killed")
+    # A log whose counts are no counts is a bad log, like one without a result.
+    sound = " AND ".join(f"(_blob.{n} IS NULL OR try_cast(_blob.{n} AS INT) IS NOT NULL)" for n in counts)
+    ok = f"(_blob IS NOT NULL AND {sound})"
 
     def count(name: str) -> str:
-        return f"CAST(coalesce(_blob.{name}, 0D) AS INT)"
+        return f"coalesce(try_cast(_blob.{name} AS INT), 0)"
 
     total, failing = count("tests_total"), count("tests_failing_on_correct")
     mutants, killed = count("mutants_total"), count("mutants_killed")
@@ -62,7 +65,7 @@ def unit_verdict(stdout: str, stderr: str, n_mutants: str) -> dict[str, Column]:
         "mutants_total": f"if({ok}, {mutants}, {n_mutants})",
         "mutants_killed": f"if({ok}, {killed}, NULL)",
         "mutants_surviving": f"if({ok}, {mutants} - {killed}, {n_mutants})",
-        "coverage_pct": "coalesce(_blob.coverage_pct, 0D)",
+        "coverage_pct": f"if({ok}, coalesce(_blob.coverage_pct, 0D), 0D)",
         "runs_and_valid": valid,
         "passed": valid,
         "exec_error": f"if({ok}, NULL, right({log}, {fixed.EXEC_ERROR_CHARS}))",

@@ -20,10 +20,14 @@ def localization_pass(exact: Column, near: Column, repair_ok: Column) -> Column:
     return exact | (near & F.coalesce(repair_ok, F.lit(False)))
 
 
+# What ends a line, as for Python's splitlines.
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
 def split_lines(text: Column) -> Column:
     """Lines of a text without a trailing empty line, like Python's splitlines."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
+        F.split(F.regexp_replace(text, rf"({_LINE_END})\z", ""), _LINE_END)
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
+from scorelake import schemas
 from scorelake.functions.judging import message
 from scorelake.functions.localization import numbered_listing
 
@@ -100,3 +101,13 @@ def call_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out
     """Dollar cost of a call from its tokens and the per-million-token prices."""
     million = F.lit(1_000_000.0)
     return tokens_in / million * price_in + tokens_out / million * price_out
+
+
+def chat_reply(reply: Column) -> dict[str, Column]:
+    """Text and token counts of a stored chat reply (JSON); absent counts are 0."""
+    read = F.from_json(reply, schemas.CHAT_REPLY)
+    return {
+        "text": F.get(read["choices"], F.lit(0))["message"]["content"],
+        "tokens_in": F.coalesce(read["usage"]["prompt_tokens"], F.lit(0)),
+        "tokens_out": F.coalesce(read["usage"]["completion_tokens"], F.lit(0)),
+    }

@@ -95,3 +95,18 @@ def available(df: DataFrame, names) -> list[str]:
     """Those of ``names`` that are columns of the table, in the given order."""
     columns = set(df.columns)
     return [n for n in names if n in columns]
+
+
+def required(df: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """The rows of df; a row for which the condition does not hold ends the query.
+
+    The check is a filter of a kind the optimizer neither removes with unused columns
+    nor evaluates on its own while planning.
+    """
+    every = F.monotonically_increasing_id() >= 0
+    return df.filter(F.when(every & holds, True).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def decoded(path: Column) -> Column:
+    """A file's path with its folders as they are named; a plus sign stands for itself."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)

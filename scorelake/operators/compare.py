@@ -47,17 +47,25 @@ def leaderboard(summary: DataFrame) -> DataFrame:
 
 
 def report_tables(summary: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
-    """Leaderboard and one ranked table per track, with the run's manifest fields."""
-    rank = F.row_number().over(W.partitionBy("track").orderBy(*_by_composite()))
+    """Leaderboard and one ranked table per track, with the run's manifest fields.
+
+    Summaries of several runs are ranked run by run if they have a ``run_id``.
+    """
+    runs = available(summary, ["run_id"])
+    rank = F.row_number().over(W.partitionBy(*runs, "track").orderBy(*_by_composite()))
     shown = available(summary, fixed.LEADERBOARD_COLUMNS)
     table = summary.withColumn("position", rank.cast("long")).select(
-        "track", "position", "model_slug", *shown
+        *runs, "track", "position", "model_slug", *shown
     )
     if manifest is not None:
-        # One manifest row per run; its tracks, shots and judge head every table.
-        head = manifest.select("run_id", "tracks", "shots", "judge_model").limit(1)
-        fields = F.struct("run_id", "tracks", "shots", "judge_model")
-        table = table.withColumn("run", head.select(fields).scalar())
+        # Tracks, shots and judge of the run head its tables. A summary with run ids takes the row
+        # of its run; one without can only be told apart if the manifest has a single row.
+        fields = F.struct("run_id", "tracks", "shots", "judge_model").alias("run")
+        if "run_id" in summary.columns:
+            heads = manifest.select(F.col("run_id").alias("_run"), fields)
+            table = table.join(heads, F.col("run_id") == F.col("_run"), "left").drop("_run")
+        else:
+            table = table.withColumn("run", manifest.select(fields).scalar())
     return table.orderBy("track", "position")
 
 

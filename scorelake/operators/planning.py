@@ -10,8 +10,10 @@ from pyspark.sql import types as T
 from scorelake import fixed_values as fixed
 from scorelake import schemas
 from scorelake.functions.prompting import call_cost
+from scorelake.functions.values import required
 
-_SALTS = 32
+#: Samples of one track and salt that one task holds, about.
+SALT_ROWS = 65536
 _KEY_SCHEMA = [f for f in schemas.RESPONSES.fields if f.name in fixed.KEY_COLUMNS]
 
 
@@ -25,12 +27,6 @@ def _requested(spark: SparkSession, selector: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(wanted)), "position int, wanted string")
 
 
-def _known_or_error(found: Column, wanted: Column, what: str) -> Column:
-    """The found name; a requested name without a match ends the query."""
-    message = F.concat(F.lit(f"Unknown {what}: "), wanted)
-    return F.when(found.isNull(), F.raise_error(message).cast("string")).otherwise(found)
-
-
 def select_models(models: DataFrame, selector: str) -> DataFrame:
     """``*`` is every model, ``all`` those not skipped by default, else a slug list.
 
@@ -41,9 +37,9 @@ def select_models(models: DataFrame, selector: str) -> DataFrame:
     if selector == "all":
         return models.filter(~F.coalesce(F.col("skip_by_default"), F.lit(False)))
     requested = _requested(models.sparkSession, selector)
-    found = F.broadcast(requested).join(models, F.col("wanted") == F.col("slug"), "left")
-    slug = _known_or_error(F.col("slug"), F.col("wanted"), "model slug")
-    return found.withColumn("slug", slug).drop("wanted").orderBy("position")
+    found = requested.join(models, F.col("wanted") == F.col("slug"), "left")
+    known = required(found, F.col("slug").isNotNull(), F.concat(F.lit("Unknown model slug: "), F.col("wanted")))
+    return known.drop("wanted").orderBy("position")
 
 
 def track_names(selector: str) -> list[str]:
@@ -62,9 +58,9 @@ def select_tracks(tracks: DataFrame, selector: str) -> DataFrame:
     if selector == "all":
         return tracks
     requested = _requested(tracks.sparkSession, selector)
-    found = F.broadcast(requested).join(tracks, F.col("wanted") == F.col("track"), "left")
-    track = _known_or_error(F.col("track"), F.col("wanted"), "track")
-    return found.withColumn("track", track).drop("wanted").orderBy("position")
+    found = requested.join(tracks, F.col("wanted") == F.col("track"), "left")
+    known = required(found, F.col("track").isNotNull(), F.concat(F.lit("Unknown track: "), F.col("wanted")))
+    return known.drop("wanted").orderBy("position")
 
 
 def unknown_names(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -72,13 +68,18 @@ def unknown_names(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return names.select(column).distinct().join(known.select(column), column, "left_anti")
 
 
+def _salts(samples: DataFrame) -> int:
+    """Into how many parts each track's samples are dealt; follows from their number."""
+    return max(1, -(-samples.count() // SALT_ROWS))
+
+
 def first_samples(samples: DataFrame, limit: int, order: str = "sample_id") -> DataFrame:
     """The first ``limit`` samples of each track, by id.
 
     Ranked within (track, salt) first, so a track with most of the samples is cut
     down in many tasks before its survivors meet in one.
     """
-    salted = samples.withColumn("_salt", F.pmod(F.xxhash64("track", order), F.lit(_SALTS)))
+    salted = samples.withColumn("_salt", F.pmod(F.xxhash64("track", order), F.lit(_salts(samples))))
     near = W.partitionBy("track", "_salt").orderBy(order)
     final = W.partitionBy("track").orderBy(order)
     return (
@@ -107,12 +108,13 @@ def plan_tasks(
         return models.sparkSession.createDataFrame([], T.StructType(list(_KEY_SCHEMA)))
     if limit is not None:
         samples = first_samples(samples, limit)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")
+    n_salts = _salts(samples)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))).alias("_salt")
     per_track = models.select("slug", salts).withColumn(
         "track", F.explode(F.array(*(F.lit(t) for t in tracks)))
     )
     spread = samples.withColumn(
-        "_salt", F.pmod(F.xxhash64("sample_id"), F.lit(_SALTS)).cast("int")
+        "_salt", F.pmod(F.xxhash64("sample_id"), F.lit(n_salts)).cast("int")
     )
     trial = F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
     return spread.join(per_track, ["track", "_salt"]).select(
@@ -120,9 +122,33 @@ def plan_tasks(
     )
 
 
-def total_tasks(tasks: DataFrame) -> DataFrame:
-    """Number of planned tasks, one row."""
-    return tasks.agg(F.count(F.lit(1)).alias("total_tasks"))
+def task_counts(
+    models: DataFrame,
+    samples: DataFrame,
+    tracks=fixed.TRACK_NAMES,
+    trials: int = 1,
+    limit: int | None = None,
+) -> DataFrame:
+    """Planned tasks per model, track and trial, and their distinct samples.
+
+    Counts the samples of each track once, at most one row per track, instead of
+    writing down the pairs.
+    """
+    if limit is not None:
+        samples = first_samples(samples, limit)
+    sizes = samples.filter(F.col("track").isin(*tracks)).groupBy("track").agg(
+        F.count(F.lit(1)).alias("n_tasks"), F.count_distinct("sample_id").alias("n_samples")
+    )
+    per_track = models.select("slug", F.explode(F.array(*(F.lit(t) for t in tracks))).alias("track"))
+    every = F.sequence(F.lit(0), F.lit(trials - 1)) if trials > 0 else F.array().cast("array<int>")
+    return per_track.join(sizes, "track").select(
+        F.col("slug").alias("model_slug"), "track", F.explode(every).alias("trial"), "n_tasks", "n_samples"
+    )
+
+
+def total_tasks(counts: DataFrame) -> DataFrame:
+    """Number of planned tasks out of ``task_counts``, one row."""
+    return counts.agg(F.coalesce(F.sum("n_tasks"), F.lit(0)).alias("total_tasks"))
 
 
 def without_done(rows: DataFrame, done: DataFrame) -> DataFrame:

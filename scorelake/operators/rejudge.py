@@ -62,10 +62,12 @@ def distinct_requests(keyed: DataFrame) -> DataFrame:
 def read_replies(replies: DataFrame) -> DataFrame:
     """Typed fields of each distinct reply: small columns, parsed once per reply.
 
-    A failed reply (NULL text) reads as an empty object. Of repeated keys one reply
-    is kept.
+    A failed reply (NULL text) reads as an empty object. Of repeated keys the last reply
+    counts, by ``ingest_seq``; a table without that column should hold each key once, and
+    gives the greatest text otherwise.
     """
-    unique = replies.groupBy("request_key").agg(F.max("reply").alias("reply"))
+    last = F.expr("max_by(reply, ingest_seq)") if "ingest_seq" in replies.columns else F.max("reply")
+    unique = replies.groupBy("request_key").agg(last.alias("reply"))
     parsed = with_judge_json(unique, "reply", "_json").drop("reply")
     read = judging.with_rubric_reply(parsed, "_json")
     read = judging.with_review_reply(judging.with_hallucination_reply(read, "_json"), "_json")
@@ -136,12 +138,16 @@ def judge_columns() -> list[str]:
 
 
 def drop_stale(scored: DataFrame) -> DataFrame:
-    """Rows without error columns and without judge values their track no longer has."""
+    """Rows without error columns and without judge values their track no longer has.
+
+    Columns of review criteria that are no longer asked for go with the errors.
+    """
     owners = {
         column: [t for t, j in fixed.JUDGES_BY_TRACK if column in fixed.JUDGE_COLUMNS[j]]
         for column in judge_columns()
     }
-    kept = [c for c in scored.columns if not c.endswith("_error")]
+    outdated = [c for c in scored.columns if c.startswith("review_") and c not in owners]
+    kept = [c for c in scored.columns if not c.endswith("_error") and c not in outdated]
     return scored.select(
         *(
             F.when(F.col("track").isin(*owners[c]), F.col(c)).alias(c) if c in owners else c
@@ -151,12 +157,12 @@ def drop_stale(scored: DataFrame) -> DataFrame:
 
 
 def merge_fresh(scored: DataFrame, fresh: DataFrame, columns, keys=tuple(_KEY)) -> DataFrame:
-    """Fresh columns over older ones; a NULL fresh value leaves the old one."""
-    new = fresh.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns))
+    """Fresh columns over older ones, NULL or not; a row without a fresh one stays as it is."""
+    new = fresh.select(*keys, F.lit(True).alias("_fresh"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = scored.join(new, list(keys), "left")
     old = set(scored.columns)
     merged = {
-        c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in old else F.col(f"_new_{c}")
+        c: F.when(F.col("_fresh"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in old else F.col(f"_new_{c}")
         for c in columns
     }
-    return joined.withColumns(merged).drop(*(f"_new_{c}" for c in columns))
+    return joined.withColumns(merged).drop("_fresh", *(f"_new_{c}" for c in columns))

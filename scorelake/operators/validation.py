@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 # The three-level scale of the labels.
 LEVELS = (("yes", 1.0), ("partial", 0.5), ("no", 0.0))
 
-_BUCKETS = 64
+#: Distinct values that one task ranks, about.
+BUCKET_VALUES = 262144
 
 
 def level(word: Column) -> Column:
@@ -50,13 +51,16 @@ def average_ranks(counts: DataFrame, value: str, weight: str) -> DataFrame:
 
     A global rank would sort everything in one task. Values go to ordered buckets
     instead: ranks run inside a bucket, and a bucket starts where the sizes of the
-    buckets below it end. The bucket bounds are a fixed number of quantiles, read
-    once, so every use of them is the same even when tasks are repeated.
+    buckets below it end. The bucket bounds are quantiles, as many as the distinct
+    values need, read once, so every use of them is the same even when tasks are repeated.
     """
     totals = counts.groupBy(value).agg(F.sum(weight).alias("_ties"))
-    steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
-    row = totals.agg(F.percentile_approx(value, steps, F.lit(10_000)).alias("bounds")).first()
-    bounds = sorted(set(row["bounds"] or []))
+    n_buckets = max(1, -(-totals.count() // BUCKET_VALUES))
+    steps = [i / n_buckets for i in range(1, n_buckets)]
+    bounds: list = []
+    if steps:
+        cut = F.percentile_approx(value, steps, F.lit(max(10_000, 100 * n_buckets)))
+        bounds = sorted(set(totals.agg(cut.alias("bounds")).first()["bounds"] or []))
     listed = ", ".join(f"{b!r}D" if isinstance(b, float) else f"{b}" for b in bounds)
     below = f"size(filter(array({listed}), b -> b < `{value}`))" if bounds else "0"
     bucketed = totals.withColumn("_bucket", F.expr(below))
@@ -69,7 +73,7 @@ def average_ranks(counts: DataFrame, value: str, weight: str) -> DataFrame:
     inside = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     smaller = F.col("_start") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))
     rank = smaller + (F.col("_ties") + 1) / 2
-    return bucketed.join(F.broadcast(starts), "_bucket").select(value, rank.alias(f"{value}_rank"))
+    return bucketed.join(starts, "_bucket").select(value, rank.alias(f"{value}_rank"))
 
 
 def rank_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:

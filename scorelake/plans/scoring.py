@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake import fixed_values as fixed
 from scorelake import schemas
 from scorelake.functions import execution
 from scorelake.functions.localization import localization_pass
+from scorelake.functions.values import required
 from scorelake.operators import localize, rejudge, text_features
 from scorelake.operators.planning import without_done
 
 _KEY = list(fixed.KEY_COLUMNS)
 
+Scorer = Callable[[DataFrame], DataFrame]
+
 
 def base_rows(responses: DataFrame) -> DataFrame:
     """The base columns of a scored row with their defaults, and the raw output.
@@ -47,10 +54,7 @@ def with_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
     sides = samples.select("track", "sample_id", "payload", F.lit(True).alias("_known"))
     joined = rows.join(sides, ["track", "sample_id"], "left")
     message = F.concat_ws("/", F.lit("unknown sample"), "track", "sample_id")
-    checked = F.when(F.col("_known"), F.col("sample_id")).otherwise(
-        F.raise_error(message).cast("string")
-    )
-    return joined.withColumn("sample_id", checked).drop("_known")
+    return required(joined, F.col("_known").isNotNull(), message).drop("_known")
 
 
 def unknown_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
@@ -60,9 +64,9 @@ def unknown_samples(rows: DataFrame, samples: DataFrame) -> DataFrame:
     )
 
 
-def _with_execution(rows: DataFrame) -> DataFrame:
+def _with_execution(rows: DataFrame, marker: str) -> DataFrame:
     """Verdict columns of every track out of the joined execution log."""
-    rows = execution.with_blob(rows, "_stdout")
+    rows = execution.with_blob(rows, "_stdout", marker)
     unit, bug = "track = 'unit_test_gen'", "track = 'bug_localization'"
     e2e = f"track IN {fixed.E2E_TRACKS}"
     unit_columns = execution.unit_verdict("_stdout", "_stderr", "_n_mutants")
@@ -97,14 +101,23 @@ def score(
     replies: DataFrame,
     judge_model: str,
     python_check: bool = True,
+    marker: str = fixed.RESULT_MARKER,
+    scorers: Sequence[Scorer] = (),
 ) -> DataFrame:
-    """Scored rows of the responses, with the declared wide schema.
+    """Scored rows of the responses: the declared wide schema, then the scorers' own columns.
 
     Text features run in the scan's own stage; then one join with the execution
-    logs on the key and one per judge with the replies on the request key.
+    logs on the key and one per judge with the replies on the request key. ``marker``
+    stands before the result line in the logs of unit tests. Each scorer adds columns to
+    rows that hold the key, ``raw_output``, ``parsed``, ``code`` and ``payload``; one made
+    with ``captured`` keeps its row and notes the error when it fails.
     """
     rows = with_samples(base_rows(responses), samples)
     rows = text_features.parse_output(rows)
+    given = set(rows.columns)
+    for scorer in scorers:
+        rows = scorer(rows)
+    own = [c for c in rows.columns if c not in given]
     e2e, patterned = f"track IN {fixed.E2E_TRACKS}", f"track IN {fixed.PATTERN_TRACKS}"
     unit, bug = "track = 'unit_test_gen'", "track = 'bug_localization'"
 
@@ -152,17 +165,47 @@ def score(
         F.col("stdout").alias("_stdout"),
         F.col("stderr").alias("_stderr"),
     )
-    rows = _with_execution(rows.join(logs, _KEY, "left")).drop(*_LOG)
+    rows = _with_execution(rows.join(logs, _KEY, "left"), marker).drop(*_LOG)
     rows = rejudge.with_judgements(rows, replies)
     rows = rows.withColumn("passed", F.coalesce("passed", "_design_passed"))
     return rows.select(
         *(
             F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schemas.SCORED.fields
-        )
+            if f.name not in own
+        ),
+        *own,
     )
 
 
+def captured(name: str, function: Callable[[dict], dict], inputs: Sequence[str], outputs: T.StructType) -> Scorer:
+    """A scorer out of a Python function from a row's inputs to its outputs.
+
+    A row on which the function fails keeps its place with NULL outputs and the error's
+    text in ``<name>_error``. Rows go through Arrow batches without a shuffle.
+    """
+    error = f"{name}_error"
+    names = [f.name for f in outputs.fields]
+
+    def score_rows(rows: DataFrame) -> DataFrame:
+        kind = T.StructType([*outputs.fields, T.StructField(error, T.StringType())])
+
+        def batch(given: pd.DataFrame) -> pd.DataFrame:
+            made = []
+            for row in given.to_dict("records"):
+                try:
+                    found = function(row)
+                    made.append({**{n: found.get(n) for n in names}, error: None})
+                except Exception as failure:  # noqa: BLE001 - recorded in the row
+                    made.append({**dict.fromkeys(names), error: f"{type(failure).__name__}: {failure}"})
+            return pd.DataFrame(made, columns=[*names, error], dtype=object)
+
+        scored = rows.withColumn("_made", F.pandas_udf(batch, kind)(F.struct(*inputs)))
+        return scored.withColumns({n: F.col(f"_made.{n}") for n in (*names, error)}).drop("_made")
+
+    return score_rows
+
+
 _LOG = ("_exit", "_timed_out", "_stdout", "_stderr", "_blob", "_repairable", "_n_mutants")
 
 

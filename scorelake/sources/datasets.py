@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
 from scorelake import schemas
-from scorelake.functions.values import strip
+from scorelake.functions.values import decoded, strip
 
 _FILE = r"([^/]+)/([^/]+)/(mutants/[^/]+|[^/]+)$"
 
@@ -17,7 +17,7 @@ def read_sample_files(spark: SparkSession, root: str) -> DataFrame:
     files = (
         spark.read.option("recursiveFileLookup", True)
         .text(root, wholetext=True)
-        .select("value", F.col("_metadata.file_path").alias("_path"))
+        .select("value", decoded(F.col("_metadata.file_path")).alias("_path"))
     )
     parts = {"track": 1, "sample_id": 2, "relpath": 3}
     return files.select(
@@ -100,7 +100,7 @@ def read_prompts(spark: SparkSession, root: str) -> DataFrame:
     """System prompts: one Markdown file per track, with its text and hash."""
     files = spark.read.text(f"{root}/*.md", wholetext=True)
     return prompt_rows(
-        files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        files.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.values import nan_to_null
@@ -11,14 +12,22 @@ from scorelake.sources.workspace import path_exists
 CORRUPT = "_corrupt_record"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_jsonl(
+    spark: SparkSession, path: str, schema: T.StructType, open_columns: bool = False
+) -> DataFrame:
     """Rows of a JSON-lines folder or file; no rows when it does not exist.
 
-    A line that is not JSON keeps its text in ``_corrupt_record``.
+    A line that is not JSON keeps its text in ``_corrupt_record``. With ``open_columns``,
+    columns that the schema does not declare are kept too, with the types found in a pass
+    over the file; without it they are left out.
     """
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     if not path_exists(spark, path):
         return spark.createDataFrame([], wide)
+    if open_columns:
+        known = {f.name for f in wide.fields}
+        found = spark.read.json(path).schema.fields
+        wide = T.StructType([*wide.fields, *(f for f in found if f.name not in known)])
     rows = spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return nan_to_null(rows)
 
@@ -44,5 +53,5 @@ def write_partitioned(rows: DataFrame, path: str, by=("run_id", "track")) -> Non
 
 def read_run(spark: SparkSession, path: str, run_id: str, track: str | None = None) -> DataFrame:
     """One run of partitioned facts, or one track of it; other folders are not read."""
-    rows = spark.read.option("mergeSchema", True).parquet(path).filter(f"run_id = '{run_id}'")
-    return rows if track is None else rows.filter(f"track = '{track}'")
+    rows = spark.read.option("mergeSchema", True).parquet(path).filter(F.col("run_id") == run_id)
+    return rows if track is None else rows.filter(F.col("track") == track)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scorelake.functions.values import decoded, nan_to_null
 from scorelake.operators.metrics import METRICS
 from scorelake.schemas import summary_schema
 from scorelake.sources.workspace import path_exists
@@ -17,28 +19,54 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("error").option("header", True).csv(path)
 
 
+def _by_name(files: DataFrame, schema: T.StructType, *kept: str) -> DataFrame:
+    """Rows of CSV texts (text, ...) by the names in each text's own first line.
+
+    Texts may differ in columns and in their order; a column that a text does not have
+    is NULL, one the schema does not know is left out. A value of another type is NULL.
+    A summary is small, so each text is one value.
+    """
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    split = files.withColumn("_lines", lines).withColumn("_header", F.get("_lines", F.lit(0)))
+    commas = F.length("_header") - F.length(F.replace(F.col("_header"), F.lit(","), F.lit("")))
+    width = (split.agg(F.max(commas)).first()[0] or 0) + 1
+    cells = ", ".join(f"c{k} string" for k in range(width))
+
+    def read(line: Column) -> Column:
+        row = F.from_csv(line, cells)
+        return F.transform(F.array(*(row[f"c{k}"] for k in range(width))), lambda v: F.trim(v))
+
+    rows = split.select(*kept, "_header", F.posexplode("_lines").alias("_line", "_text")).filter("_line > 0")
+    rows = rows.withColumns({"_names": read(F.col("_header")), "_values": read(F.col("_text"))})
+
+    def value(field: T.StructField) -> Column:
+        place = F.array_position("_names", field.name).cast("int") - F.lit(1)
+        return F.nullif(F.get("_values", place), F.lit("")).try_cast(field.dataType).alias(field.name)
+
+    return nan_to_null(rows.select(*kept, *(value(f) for f in schema.fields)))
+
+
 def read_summary(spark: SparkSession, path: str, metrics=None) -> DataFrame:
     """Read one summary; empty fields are NULL, a missing file has no rows."""
     schema = summary_schema(metrics or METRICS)
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return _by_name(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"), schema)
 
 
 def read_all_summaries(spark: SparkSession, root: str, metrics=None) -> DataFrame:
     """Summaries of every run below a folder, with ``run_id`` and ``run_mtime``."""
-    rows = read_summary(spark, f"{root}/*/summary.csv", metrics)
-    if not path_exists(spark, f"{root}/*/summary.csv"):
-        return rows.select(
-            F.lit(None).cast("string").alias("run_id"),
-            F.lit(None).cast("timestamp").alias("run_mtime"),
-            "*",
-        )
-    return rows.select(
-        F.regexp_extract("_metadata.file_path", _RUN_OF_PATH, 1).alias("run_id"),
+    schema = summary_schema(metrics or METRICS)
+    path = f"{root}/*/summary.csv"
+    if not path_exists(spark, path):
+        run = [T.StructField("run_id", T.StringType()), T.StructField("run_mtime", T.TimestampType())]
+        return spark.createDataFrame([], T.StructType([*run, *schema.fields]))
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("value").alias("text"),
+        F.regexp_extract(decoded(F.col("_metadata.file_path")), _RUN_OF_PATH, 1).alias("run_id"),
         F.col("_metadata.file_modification_time").alias("run_mtime"),
-        *summary_schema(metrics or METRICS).fieldNames(),
     )
+    return _by_name(files, schema, "run_id", "run_mtime")
 
 
 def list_runs(summaries: DataFrame) -> DataFrame:

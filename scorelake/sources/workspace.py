@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where it names none."""
+    """The folder the session names for checkpoints; where it names none, one in its warehouse.
+
+    Both are reachable by every executor. A folder that only one machine sees is never taken.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,20 +28,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = system.globStatus(where)
     return found is not None and len(found) > 0
-
-
-_SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
-def spread_if_small(df: DataFrame, path: str) -> DataFrame:
-    """Rows over all cores when their few files would keep most of them idle.
-
-    For work that is heavy per row. Looks only at the byte size of the path; input
-    that makes enough tasks by itself is never shuffled for this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    size = system.getContentSummary(where).getLength()
-    return df.repartition(cores) if size < cores * _SPREAD_BYTES_PER_CORE else df
