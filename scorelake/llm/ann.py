@@ -51,14 +51,6 @@ def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_pylist()]
 
 
-def _once(ids: np.ndarray, vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and a matrix without repeated rows; equal rows are always in the same tile."""
-    if len(np.unique(ids)) < len(ids):
-        first = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}.values())
-        ids, vectors = ids[first], [vectors[at] for at in first]
-    return ids, np.stack(vectors)
-
-
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 vectors (held as float32, in which their products are exact), scales, |e| and |a*p|."""
     big = np.abs(x).max(axis=1, keepdims=True)
@@ -119,7 +111,8 @@ def _join_tiles(k: int):
     def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
-            (q_ids, q), (c_ids, c) = (_once(t.column("id").to_numpy(), _matrix(t.column("v"))) for t in (left, right))
+            q_ids, c_ids = (t.column("id").to_numpy() for t in (left, right))
+            q, c = np.stack(_matrix(left.column("v"))), np.stack(_matrix(right.column("v")))
             found = list(_tile(q_ids, q, c_ids, c, k))
         columns = [np.concatenate([x[i] for x in found]) if found else [] for i in range(3)]
         return pa.table(
@@ -183,6 +176,8 @@ def nearest(
     slot = F.xxhash64("id", "v")
     q = q.groupBy("id").agg(F.min_by(F.struct("v", "dim"), F.struct("dim", "v")).alias("x")).select("id", "x.*")
     q = q.withColumn("r", F.pmod(slot, F.lit(q_blocks))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    # Repeated rows meet before they are dealt out, so a tile never gets many of one.
+    c = c.groupBy("id", "v", "dim").agg(F.count(F.lit(1)).alias("n")).drop("n")
     c = c.withColumn("c", F.pmod(slot, F.lit(c_blocks)).cast("int")).withColumn(
         "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
     )

@@ -238,16 +238,23 @@ def _confirm_tiles(percent: int):
 
 
 def _sets_of(rows: DataFrame, width: int) -> DataFrame:
-    """rows (text, node, tiles): the set of each class in each of its tiles; other texts of the same id are left out."""
+    """rows (text, node, tiles): the set of each class in each of its tiles; other texts of the same id are left out.
+
+    A task gives a class once, however many rows repeat its id and text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             held = 0
             for text, node, tiles in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if node.as_py() in given:
+                    continue
                 hashes = shingles(text.as_py() or "", width)
                 if xxhash.xxh3_128_digest(hashes.tobytes()) != node.as_py():
                     continue
+                given.add(node.as_py())
                 packed = hashes.tobytes()
                 for tile in tiles.as_py():
                     for column, value in zip(out, (tile["bucket"], tile["low"], tile["high"], node.as_py(), packed), strict=True):
