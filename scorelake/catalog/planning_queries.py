@@ -333,6 +333,7 @@ def build_prompts(spark, sf_dir):
     return samples.select("sample_id", "track", F.to_json(built).alias("messages"))
 
 
+# The wording of the user messages, as the other engine checks it.
 SQL["build_prompts"] = with_bindings(
     "samples",
     """WITH users AS (SELECT *, CASE track

@@ -27,6 +27,7 @@ _TYPESCRIPT = fixed.CODE_LANGUAGES["typescript"]
 
 # --- The same text rules in SQL -------------------------------------------------
 
+# The block and token rules once more, in the checking engine's dialect.
 _BLOCKS = r"(?s)```([a-zA-Z0-9_+-]*)\n(.*?)```"
 
 
@@ -45,6 +46,7 @@ def _code_block_sql(text: str, prefer) -> str:
     )
 
 
+# Likewise for literals and comments.
 _STR = r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`"""
 _COM = r"//[^\n]*|/\*.*?\*/"
 _LEX = f"(?s){_STR}|{_COM}|[^\"'`/]+|."

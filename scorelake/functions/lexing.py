@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.matching import mentions
 from scorelake.functions.values import strip
 
+# What string literals and comments look like.
 _STRING = (
     r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
     r"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"

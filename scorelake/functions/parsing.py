@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from scorelake import fixed_values as fixed
 from scorelake.functions.values import strip
 
+# What a fenced block looks like.
 _FENCE = "```"
 _BLOCK = r"(?s)```[a-zA-Z0-9_+-]*\n.*?```"
 _OPEN_BLOCK = r"(?s)```[a-zA-Z0-9_+-]*\n(.*)"

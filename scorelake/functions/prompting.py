@@ -22,6 +22,7 @@ def user_content(track: Column, payload: Column) -> Column:
     def text(name: str) -> Column:
         return F.coalesce(payload[name], F.lit(""))
 
+    # The wording of each track's user message.
     unit = F.concat(
         F.lit("Module name: `"),
         text("module_name"),

@@ -179,6 +179,7 @@ def test_worksheet(spark, tmp_path):
 # --- Label checks ---------------------------------------------------------------
 
 # Ten labelled outputs: item, label, craft, judge score, detector verdict.
+# The published labels, judge scores and verdicts of ten items.
 GOLDEN = [
     (1, "yes", 3, 0.82, True), (2, "yes", 4, 0.72, True), (3, "yes", 4, 0.94, False), (4, "partial", 2, 0.80, False),
     (5, "yes", 4, 0.85, True), (6, "yes", 4, 0.93, True), (7, "partial", 3, 0.90, False), (8, "partial", 5, 0.90, False),
