@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The three-level scale of the labels.
 LEVELS = (("yes", 1.0), ("partial", 0.5), ("no", 0.0))
@@ -137,30 +136,37 @@ def leaks_any(text: Column, terms) -> Column:
     return hit
 
 
-def _anchors(terms: DataFrame) -> DataFrame:
-    """Terms with the piece of text that any prompt holding the term must show.
+_WORDS = "regexp_extract_all({}, '(?U)\\\\w+', 0)"
 
-    The inner words of a term are whole words of the prompt too. A term anchors at
-    its first inner words, as many as the largest power of two up to 8; a term
-    without inner words at its opening characters.
+
+def _by_rarest_word(shown: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates (prompt_id, term_id, _term) that share the term's rarest inner word.
+
+    ``shown`` has a row per prompt and distinct word. The inner words of a term, all but
+    its first and last, are whole words of any prompt that holds the term. A term with a
+    word that no prompt shows has no candidates.
     """
-    words = F.expr("regexp_extract_all(_term, '(?U)\\\\w+', 0)")
-    split = (
-        terms.select("term_id", F.lower("term").alias("_term"))
-        .filter("_term <> ''")
-        .withColumn("_words", words)
-        .withColumn("_inner", F.expr("slice(_words, 2, greatest(size(_words) - 2, 0))"))
+    inner = terms.select("term_id", "_term", F.explode(F.array_distinct("_inner")).alias("_word"))
+    counts = shown.join(inner.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    units = F.expr("if(size(_inner) > 0, least(size(_inner), 8), length(_term))")
-    width = F.expr("cast(shiftleft(1, cast(floor(log2(_units)) AS int)) AS int)")
-    kind = F.expr("concat(if(size(_inner) > 0, 'w', 'c'), _width)")
-    piece = "if(size(_inner) > 0, array_join(slice(_inner, 1, _width), ' '), left(_term, _width))"
-    return (
-        split.withColumn("_units", units)
-        .withColumn("_width", width)
-        .withColumn("_kind", kind)
-        .withColumn("_anchor", F.expr(f"concat(_kind, ':', {piece})"))
-        .select("term_id", "_term", "_kind", "_anchor")
+    counted = inner.join(counts, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = counted.groupBy("term_id", "_term").agg(F.min(F.struct("_n", "_word")).alias("_least"))
+    anchored = rarest.filter("_least._n > 0").select("term_id", "_term", F.col("_least._word").alias("_word"))
+    return shown.join(anchored, "_word").select("prompt_id", "term_id", "_term")
+
+
+def _by_opening(lowered: DataFrame, terms: DataFrame, widths: list[int]) -> DataFrame:
+    """Candidates that share a term's opening characters, as many as the greatest width that fits."""
+    width = F.lit(0)
+    for w in widths:
+        width = F.when(F.length("_term") >= w, w).otherwise(width)
+    anchored = terms.select("term_id", "_term", F.left("_term", width).alias("_piece"))
+    # Overlapping character windows in one pass per width.
+    windows = ", ".join(f"regexp_extract_all(_text, '(?s)(?=(.{{{w}}}))', 1)" for w in widths)
+    pieces = F.expr(f"array_distinct(flatten(array({windows})))")
+    return lowered.select("prompt_id", F.explode(pieces).alias("_piece")).join(anchored, "_piece").select(
+        "prompt_id", "term_id", "_term"
     )
 
 
@@ -168,40 +174,27 @@ def leak_scan(prompts: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs (prompt_id, term_id) where the prompt contains the term, case-folded.
 
     ``prompts`` is (prompt_id, text), ``terms`` (term_id, term). A prompt and a term
-    are compared only when they share the term's anchor: distinct word runs of the
-    prompts meet the anchors in an equi-join, which broadcasts the terms when they
-    are few and shuffles when they are not.
+    are compared only when they share the term's rarest inner word, or, for a term of
+    one or two words, its opening characters. Both meet in equi-joins, which broadcast
+    the terms when they are few and shuffle when they are not.
     """
-    anchored = _anchors(terms)
-    # One row per kind and power of two: a handful, whatever the terms.
-    kinds = sorted(r["_kind"] for r in anchored.select("_kind").distinct().collect())
-    if not kinds:
-        pair = T.StructType([prompts.schema["prompt_id"], terms.schema["term_id"]])
-        return prompts.sparkSession.createDataFrame([], pair)
+    split = (
+        terms.select("term_id", F.lower("term").alias("_term"))
+        .filter("_term <> ''")
+        .withColumn("_words", F.expr(_WORDS.format("_term")))
+        .withColumn("_inner", F.expr("slice(_words, 2, greatest(size(_words) - 2, 0))"))
+    )
     lowered = prompts.select("prompt_id", F.lower("text").alias("_text"))
-    split = lowered.withColumn("_words", F.expr("regexp_extract_all(_text, '(?U)\\\\w+', 0)"))
-
-    def pieces(kind: str) -> str:
-        width = int(kind[1:])
-        if kind == "w1":
-            found = "_words"
-        elif kind[0] == "w":
-            found = (
-                f"if(size(_words) >= {width}, transform(sequence(1, size(_words) - {width - 1}), "
-                f"i -> array_join(slice(_words, i, {width}), ' ')), array())"
-            )
-        else:
-            # Overlapping character windows in one pass.
-            found = f"regexp_extract_all(_text, '(?s)(?=(.{{{width}}}))', 1)"
-        return f"transform({found}, p -> concat('{kind}:', p))"
-
-    shown = F.expr(f"array_distinct(flatten(array({', '.join(pieces(k) for k in kinds)})))")
+    words = F.array_distinct(F.expr(_WORDS.format("_text")))
+    shown = lowered.select("prompt_id", F.explode(words).alias("_word"))
     # Texts stay behind while anchors are matched and come back for the candidates.
-    candidates = (
-        split.select("prompt_id", F.explode(shown).alias("_anchor"))
-        .join(anchored, "_anchor")
-        .select("prompt_id", "term_id", "_term")
-    )
+    candidates = _by_rarest_word(shown, split.filter("size(_inner) > 0"))
+    short = split.filter("size(_inner) = 0")
+    # Powers of two up to the length of the longest short term: a handful, whatever the terms.
+    power = F.expr("cast(shiftleft(1, cast(floor(log2(length(_term))) AS int)) AS int)")
+    widths = sorted(r["w"] for r in short.select(power.alias("w")).distinct().collect())
+    if widths:
+        candidates = candidates.unionByName(_by_opening(lowered, short, widths))
     return (
         candidates.join(lowered, "prompt_id")
         .filter(F.contains("_text", "_term"))
