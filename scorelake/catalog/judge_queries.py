@@ -275,6 +275,75 @@ SELECT doc_id, {_chars(fixed.DESIGN_RUBRIC + fixed.RUBRIC_FORMAT)} || text AS ru
   {_chars(fixed.HALLUCINATION_HEAD)} || source || {_chars(fixed.HALLUCINATION_MIDDLE)} || text AS hallucination FROM documents"""
 
 
+def _artifacts(spark, sf_dir) -> DataFrame:
+    """A row per sample with something to judge: a root cause for bugs, else a text."""
+    cause = F.concat(F.lit('{"root_cause": "'), F.col("payload.symptom"), F.lit('"}'))
+    return bindings.samples(spark, sf_dir).select(
+        F.lit("m").alias("model_slug"), "track", "sample_id", F.lit(0).alias("trial"), "payload",
+        F.when(F.col("track") == "bug_localization", cause).otherwise(F.col("payload.requirement")).alias("parsed"),
+    )
+
+
+# What each judge is shown, by track.
+_SHOWN = {
+    "hallucination": f"{_chars(fixed.HALLUCINATION_HEAD)} || source || {_chars(fixed.HALLUCINATION_MIDDLE)} || requirement",
+    "design": f"{_chars(fixed.DESIGN_RUBRIC + fixed.RUBRIC_FORMAT)} || requirement",
+    "explanation": f"{_chars(fixed.EXPLANATION_RUBRIC + fixed.RUBRIC_FORMAT)} || 'BUGGY CODE:' || chr(10) || source || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || symptom",
+    "test_case_design": f"{_chars(fixed.TEST_DESIGN_RUBRIC + fixed.RUBRIC_FORMAT)} || 'REQUIREMENT:' || chr(10) || requirement || chr(10) || chr(10) || 'SUITE:' || chr(10) || requirement",
+    "review": f"{_chars(_REVIEW_OPENING)} || requirement",
+}
+_TRACKS_OF = {
+    "hallucination": "track = 'unit_test_gen'", "design": "track = 'unit_test_gen'", "explanation": "track = 'bug_localization'",
+    "test_case_design": "track = 'test_case_design'", "review": "track LIKE 'e2e%'",
+}
+_ASKED = " UNION ALL ".join(
+    f"SELECT track, sample_id, '{judge}' AS judge, {text} AS content FROM v_samples WHERE {_TRACKS_OF[judge]}" for judge, text in _SHOWN.items()
+)
+
+
+def judge_messages(spark, sf_dir):
+    """The user message of every judge of every sample."""
+    asked = rejudge.judges_of(_artifacts(spark, sf_dir))
+    messages = judging.judge_messages(F.col("judge"), F.col("payload"), F.col("parsed"))
+    return asked.select("track", "sample_id", "judge", messages[1]["content"].alias("content"))
+
+
+SQL["judge_messages"] = with_bindings("samples", f"WITH asked AS ({_ASKED}) SELECT * FROM asked")
+
+
+def judged_samples(spark, sf_dir):
+    """Columns of all five judges out of replies of which some came twice and some failed."""
+    rows = _artifacts(spark, sf_dir)
+    asked = rejudge.judge_requests(rows, "judge-1").select("request_key", F.length(F.col("messages")[1]["content"]).alias("n"))
+    n, text = F.col("n"), lambda c: c.cast("string")
+    given = F.concat(
+        F.lit('{"score": '), text(n % 9 / 8), F.lit(', "rationale": "n'), text(n % 5), F.lit('", "hallucinated": '), text(n % 2 == 0),
+        F.lit(', "readability": {"score": 0.5, "note": "r"}}'),
+    )
+    first = asked.select("request_key", F.lit('{"score": 0.0625}').alias("reply"), F.lit(1).alias("ingest_seq"))
+    last = asked.select("request_key", F.when(n % 7 != 0, given).alias("reply"), F.lit(2).alias("ingest_seq"))
+    judged = rejudge.with_judgements(rejudge.with_request_keys(rows, "judge-1"), last.unionByName(first))
+    return judged.select(
+        "track", "sample_id", "hallucinated", "design_judge", "design_note", "explanation_judge", "review_readability", "review_score",
+        F.col("_design_passed").alias("passed"),
+    )
+
+
+SQL["judged_samples"] = with_bindings(
+    "samples",
+    f"""WITH asked AS ({_ASKED}), read AS (
+          SELECT *, len(content) AS n, len(content) % 7 <> 0 AS ok, CASE WHEN ok THEN (n % 9) / 8.0::DOUBLE ELSE 0 END AS score,
+            CASE WHEN ok THEN 'n' || CAST(n % 5 AS VARCHAR) ELSE '' END AS note FROM asked)
+        SELECT track, sample_id, bool_or(ok AND n % 2 = 0) FILTER (judge = 'hallucination') AS hallucinated,
+          max(score) FILTER (judge IN ('design', 'test_case_design')) AS design_judge, max(note) FILTER (judge IN ('design', 'test_case_design')) AS design_note,
+          max(score) FILTER (judge = 'explanation') AS explanation_judge,
+          max(CASE WHEN ok THEN 0.5::DOUBLE ELSE 0 END) FILTER (judge = 'review') AS review_readability,
+          max(CASE WHEN ok THEN 0.125::DOUBLE ELSE 0 END) FILTER (judge = 'review') AS review_score,
+          bool_or(score >= {fixed.DESIGN_PASS}) FILTER (judge = 'test_case_design') AS passed
+        FROM read GROUP BY track, sample_id""",
+)
+
+
 def replayed_replies(spark, sf_dir):
     """Requests with their reply; unmatched and failed ones read as an empty object."""
     replies = bindings.replies(spark, sf_dir)
@@ -369,7 +438,7 @@ SELECT event_id, event_type, CASE WHEN event_type = 'view' THEN (event_id % 4) /
 for _fn in (
     runner_logs, unit_verdicts, unit_feedback, test_tallies, browser_verdicts, text_tails,
     gateway_scripts, transient_failures, usage_replies, localization_verdicts, judge_scores,
-    hallucination_flags, review_scores, judge_prompts, replayed_replies, judges_of_rows,
+    hallucination_flags, review_scores, judge_prompts, judge_messages, judged_samples, replayed_replies, judges_of_rows,
     last_raw_outputs, drop_stale, merge_fresh,
 ):
     QUERIES[_fn.__name__] = _fn
