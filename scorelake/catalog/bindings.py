@@ -214,9 +214,10 @@ def _fenced_sql(number: str, body: str) -> str:
 
 
 def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model output per document: prose, then fenced code with the text in a comment."""
+    """Raw model output per document: prose, then fenced code with the text as a comment or as code."""
     doc_id, text = F.col("doc_id"), F.col("text")
-    body = F.concat(snippet(doc_id, F.col("lang")), F.lit("\n/* "), text, F.lit(" */"))
+    shown = F.when(doc_id % 2 == 0, F.concat(F.lit("/* "), text, F.lit(" */"))).otherwise(text)
+    body = F.concat(snippet(doc_id, F.col("lang")), F.lit("\n"), shown)
     names = F.array(*(F.lit(t) for t in TECHNIQUES))
     return heavy_table(spark, sf_dir, "documents").select(
         "doc_id",
@@ -230,7 +231,7 @@ _TEXTS_SQL = (
 v_texts AS (
   SELECT doc_id, 'Notes:' || chr(10) || text || chr(10) || """
     + _fenced_sql(
-        "doc_id", "(" + _snippet_sql("doc_id", "lang") + " || chr(10) || '/* ' || text || ' */')"
+        "doc_id", "(" + _snippet_sql("doc_id", "lang") + " || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '/* ' || text || ' */' ELSE text END)"
     )
     + """ AS raw_output,
     (["""
