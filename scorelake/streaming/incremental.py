@@ -21,6 +21,8 @@ from scorelake.operators.summary import GROUP, summary_from_stats, summary_order
 from scorelake.sources.workspace import path_exists
 
 _KEY = list(fixed.KEY_COLUMNS)
+#: Folders that seen keys are dealt into by hash; a batch reads only those its own keys fall into.
+KEY_FOLDERS = 32
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -35,6 +37,10 @@ class Tables:
     def scored(self) -> str:
         return f"{self.root}/scored"
 
+    @property
+    def keys(self) -> str:
+        return f"{self.root}/keys"
+
     @property
     def statistics(self) -> str:
         return f"{self.root}/statistics"
@@ -48,8 +54,12 @@ class Tables:
         return f"{self.root}/progress"
 
 
-def _write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+def _write_batch(rows: DataFrame, table: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{table}/batch_id={batch_id}")
+
+
+def _in_folders(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("folder", F.pmod(F.xxhash64(*_KEY), F.lit(KEY_FOLDERS)).cast("int"))
 
 
 def _earlier(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
@@ -72,12 +82,16 @@ def score_batch(tables: Tables, scorer: Scorer, order: str) -> Callable[[DataFra
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = first_arrivals(batch, order)
-        done = _earlier(spark, tables.scored, batch_id)
+        done = _earlier(spark, tables.keys, batch_id)
         if done is not None:
-            new = without_done(new, done)
+            # KEY_FOLDERS numbers at most: the other folders are not read.
+            touched = [r.folder for r in _in_folders(batch.select(*_KEY)).select("folder").distinct().collect()]
+            new = without_done(new, done.filter(F.col("folder").isin(touched)))
         _write_batch(scorer(new), tables.scored, batch_id)
         # Read back what was written, so later steps do not score again.
         scored = spark.read.parquet(f"{tables.scored}/batch_id={batch_id}")
+        dealt = _in_folders(scored.select(*_KEY)).repartition("folder")
+        _write_batch(dealt, tables.keys, batch_id, ("folder",))
         _write_batch(trial_stats(scored), tables.statistics, batch_id)
         keys = scored.select("model_slug", "track", "sample_id").distinct()
         _write_batch(keys, tables.samples_seen, batch_id)
