@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelake import fixed_values as fixed
 from scorelake.catalog import bindings
 from scorelake.catalog.bindings import with_bindings
 from scorelake.operators import validation
@@ -211,6 +212,63 @@ SELECT CAST(doc_id * 2 + i AS INTEGER) AS item, 'api' AS expected_pattern, CASE
 FROM labels JOIN documents USING (doc_id), (SELECT unnest([0, 1]) AS i)"""
 
 
+def key_sheets(spark, sf_dir):
+    """Key rows parsed out of JSON sheets, two items per labelled document."""
+    labels = bindings.table(spark, sf_dir, "labels")
+    number = F.col("doc_id") * 2
+
+    def entry(item, more):
+        return F.concat(F.lit('{"item": '), item.cast("string"), F.lit(', "sample_id": "d'), F.col("doc_id").cast("string"), F.lit('"'), more, F.lit("}"))
+
+    verdict = F.concat(F.lit(', "auto_pattern_used": '), (F.col("quality") == 1).cast("string"), F.lit(', "trial": 2'))
+    sheet = F.concat(F.lit("[\n  "), entry(number, verdict), F.lit(",\n  "), entry(number + 1, F.lit(', "model_slug": null')), F.lit("\n]\n"))
+    return golden.parse_keys(labels.select(sheet.alias("text")))
+
+
+SQL["key_sheets"] = """
+SELECT CAST(doc_id * 2 + i AS INTEGER) AS item, 'd' || doc_id AS sample_id, NULL::VARCHAR AS expected_pattern, NULL::VARCHAR AS model_slug,
+  CASE WHEN i = 0 THEN 2 END AS trial, CASE WHEN i = 0 THEN quality = 1 END AS auto_pattern_used, NULL::BOOLEAN AS auto_e2e_passed
+FROM labels, (SELECT unnest([0, 1]) AS i)"""
+
+
+# Files of a sample by track: name, text as SQL that both engines read. doc_id tells the track.
+_FILES = {
+    "unit_test_gen": (("source.py", "text"), ("meta.json", "concat('{\"module_name\": \"mod', doc_id, '\"}')"), ("mutants/m1.py", "lower(lang)"), ("mutants/m0.py", "upper(lang)")),
+    "bug_localization": (("buggy.py", "text"), ("meta.json", "concat('{\"module_name\": \"mod', doc_id, '\", \"fault_lines\": [', doc_id % 9 + 1, '], \"symptom\": \"s', doc_id, '\"}')"), ("test_hidden.py", "lang")),
+    "test_case_design": (("requirement.md", "text"), ("reference_classes.json", "concat('{\"equivalence_classes\": [\"c', doc_id, '\"], \"boundary_values\": [', doc_id % 7, ']}')"), ("meta.json", "'{}'")),
+    "e2e_ui": (("flow.md", "text"), ("meta.json", "CASE WHEN doc_id % 4 < 2 THEN concat('{\"success_assertion\": \"ok', doc_id, '\"}') ELSE '{}' END")),
+    "e2e_advanced": (("flow.md", "text"), ("meta.json", "concat('{\"expected_pattern\": \"api\", \"base_url\": \"http://h', doc_id, '\"}')")),
+    "e2e_repair": (("broken.spec.ts", "text"), ("error.txt", "lang"), ("meta.json", "'{}'")),
+}
+
+
+def assembled_shapes(spark, sf_dir):
+    """Samples of all six shapes assembled from their files, one per document."""
+    docs = bindings.table(spark, sf_dir, "documents").withColumn("track", bindings._track("doc_id"))
+    named = F.array(*(F.struct(F.lit(t).alias("of"), F.lit(n).alias("relpath"), F.expr(text).alias("text")) for t, files in _FILES.items() for n, text in files))
+    files = docs.select("track", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.inline(named)).filter("of = track").drop("of")
+    samples = datasets.assemble_samples(files)
+    return samples.select(
+        "track", "sample_id", "language", "payload.source", "payload.module_name", F.array_join("payload.mutants", "|").alias("mutants"),
+        F.array_join(F.col("payload.fault_lines").cast("array<string>"), "|").alias("faults"), "payload.symptom", "payload.test", "payload.requirement",
+        F.array_join("payload.reference.equivalence_classes", "|").alias("classes"), "payload.flow", "payload.base_url", "payload.success",
+        "payload.expected_pattern", "payload.broken_test", "payload.error",
+    )
+
+
+_URLS = " ".join(f"WHEN '{t}' THEN '{url}'" for t, url in fixed.DEFAULT_BASE_URL.items())
+SQL["assembled_shapes"] = f"""
+WITH d AS (SELECT *, doc_id % 6 AS k, (['unit_test_gen','bug_localization','test_case_design','e2e_ui','e2e_advanced','e2e_repair'])[doc_id % 6 + 1] AS track FROM documents)
+SELECT track, 'd' || doc_id AS sample_id, CASE WHEN k < 2 THEN 'python' WHEN k = 2 THEN 'none' ELSE 'typescript' END AS language,
+  CASE WHEN k < 2 THEN text END AS source, CASE WHEN k < 2 THEN 'mod' || doc_id END AS module_name, CASE WHEN k = 0 THEN upper(lang) || '|' || lower(lang) END AS mutants,
+  CASE WHEN k = 1 THEN CAST(doc_id % 9 + 1 AS VARCHAR) END AS faults, CASE WHEN k = 1 THEN 's' || doc_id END AS symptom, CASE WHEN k = 1 THEN lang END AS test,
+  CASE WHEN k = 2 THEN text END AS requirement, CASE WHEN k = 2 THEN 'c' || doc_id END AS classes, CASE WHEN k IN (3, 4) THEN text END AS flow,
+  CASE WHEN k = 4 THEN 'http://h' || doc_id ELSE CASE track {_URLS} END END AS base_url,
+  CASE WHEN k = 3 AND doc_id % 4 < 2 THEN 'ok' || doc_id WHEN k >= 3 THEN '' END AS success,
+  CASE WHEN k = 4 THEN 'api' WHEN k = 5 THEN '' END AS expected_pattern, CASE WHEN k = 5 THEN text END AS broken_test, CASE WHEN k = 5 THEN lang END AS error
+FROM d"""
+
+
 def assembled_samples(spark, sf_dir):
     """Unit-test samples assembled from dataset files, four files to a document."""
     docs = bindings.table(spark, sf_dir, "documents")
@@ -257,6 +315,6 @@ SELECT track, text, left(sha256(text), 12) AS prompt_hash FROM t"""
 for _fn in (
     labelled_verdicts, label_agreement, label_confusion, rank_correlation, event_rank_correlation,
     average_ranks, error_audit, prompt_usage, prompt_drift, leak_scan, prompt_leaks, label_sheets,
-    assembled_samples, prompt_texts,
+    assembled_samples, assembled_shapes, key_sheets, prompt_texts,
 ):
     QUERIES[_fn.__name__] = _fn

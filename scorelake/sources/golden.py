@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake import schemas
 from scorelake.functions.values import strip
@@ -36,6 +37,12 @@ def read_worksheets(spark: SparkSession, path: str) -> DataFrame:
     return parse_worksheets(sheets.withColumnRenamed("value", "text"))
 
 
+def parse_keys(sheets: DataFrame, text: str = "text") -> DataFrame:
+    """Key rows out of texts that each hold a JSON array of objects."""
+    rows = F.from_json(text, T.ArrayType(schemas.GOLDEN_KEY))
+    return sheets.select(F.inline(rows))
+
+
 def read_key(spark: SparkSession, path: str) -> DataFrame:
-    """The key sheet, a JSON array of objects."""
-    return spark.read.schema(schemas.GOLDEN_KEY).option("multiLine", True).json(path)
+    """The rows of key sheets; a sheet is small, so each file is one text."""
+    return parse_keys(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
