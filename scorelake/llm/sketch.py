@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row (doc_id, text, ...) with next_text and next_sketch: those of the next row, descending doc_id.
+    """Each row (doc_id, text, ...) with next_text: that of the next row, descending doc_id.
 
     After the last row comes the first. Rows of equal id are ordered by text; NULL ids come last.
     Rows are dealt by ranges of ids, and the first rows of a range are also sent, marked, to the
@@ -112,12 +112,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("target", F.explode(targets)).drop("block", "first_id", "before", "is_first")
     dealt = dealt.select("*", F.col("target.block").alias("at_block"), F.col("target.copy").alias("is_copy")).drop("target")
     inside = Window.partitionBy("at_block").orderBy("is_copy", F.col("doc_id").desc_nulls_last(), "text")
-    following = F.lead(F.struct("text", "sketch")).over(inside)
-    return (
-        dealt.withColumn("following", following)
-        .where(~F.col("is_copy"))
-        .select(*docs.columns, F.col("following.text").alias("next_text"), F.col("following.sketch").alias("next_sketch"))
-    )
+    return dealt.withColumn("next_text", F.lead("text").over(inside)).where(~F.col("is_copy")).select(*docs.columns, "next_text")
 
 
 def edited_text(text: Column, following: Column) -> Column:
@@ -133,10 +128,12 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
     Returns doc_id, text, edited_text, sketch, edited_sketch, next_sketch and the likenesses.
     Other columns of docs are not read.
     """
-    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = with_next(base.withColumn("sketch", sketch(F.col("text"))))
+    # Texts alone travel: a sketch is computed where it is used, the next document's once more.
+    rows = with_next(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     rows = rows.withColumn("edited_text", edited_text(F.col("text"), F.col("next_text")))
-    rows = rows.withColumn("edited_sketch", sketch(F.col("edited_text"))).drop("next_text")
+    for name, text in (("sketch", "text"), ("edited_sketch", "edited_text"), ("next_sketch", "next_text")):
+        rows = rows.withColumn(name, sketch(F.col(text)))
+    rows = rows.drop("next_text")
     return rows.withColumn("near_edited", likeness(F.col("sketch"), F.col("edited_sketch"))).withColumn(
         "near_next", likeness(F.col("sketch"), F.col("next_sketch"))
     )
