@@ -1,9 +1,9 @@
 """License detection by ordered signature rules, in DataFrame functions only and without a shuffle.
 
-A document is looked at closely only if it holds one of a few gate words. Its words (ASCII letters
-and digits, lower-cased, and everything outside ASCII) are then written with one space between
-them. Each rule has a keyword, a pattern, a label, a priority and a confidence; a rule's pattern
-is tried only where its keyword occurs. Every match is an interval of the written words. An
+Every document's words (ASCII letters and digits, lower-cased, and everything outside ASCII) are
+written with one space between them. Each rule has a keyword, a pattern, a label, a priority and a
+confidence, and its kind has a text that all of its patterns hold; a pattern is tried only where
+both occur in the written words. Every match is an interval of the written words. An
 interval is suppressed when one of a better or equal priority contains it; between equal intervals
 the better priority, then the earlier rule, wins. What is left gives the document's detections.
 
@@ -28,7 +28,6 @@ _PART = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: Phrase of words and the label it stands for.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-GATE_WORDS = ("licen", "copyright", "copyleft", "spdx", "public domain", "rights reserved", "redistribut", "warrant")
 
 # Label, keyword, the license's name as it is written, and its version numbers if it has any.
 # Written with one space between lower-case words, as the texts are.
@@ -83,17 +82,18 @@ _FAMILIES = (
     ("pddl", "public domain dedication", "(?:odc |open data commons )?public domain dedication(?: and)?", "1 0"),
     ("cc0", "cc0", "cc0", "1 0"),
     ("cc0", "zero", "creative commons zero", "1 0"),
-    ("cc-by-nc-nd", "nc nd", "(?:cc|creative commons) by nc nd", "[1234] [05]"),
-    ("cc-by-nc-sa", "nc sa", "(?:cc|creative commons) by nc sa", "[1234] [05]"),
-    ("cc-by-nc", "nc", "(?:cc|creative commons) by nc", "[1234] [05]"),
-    ("cc-by-nd", "nd", "(?:cc|creative commons) by nd", "[1234] [05]"),
-    ("cc-by-sa", "sa", "(?:cc|creative commons) by sa", "[1234] [05]"),
-    ("cc-by", "by", "(?:cc|creative commons) by", "[1234] [05]"),
-    ("cc-by-nc-nd", "derivative", "creative commons attribution non ?commercial no ?derivatives?", "[1234] [05]"),
-    ("cc-by-nc-sa", "share", "creative commons attribution non ?commercial share ?alike", "[1234] [05]"),
-    ("cc-by-nc", "commercial", "creative commons attribution non ?commercial", "[1234] [05]"),
-    ("cc-by-nd", "derivative", "creative commons attribution no ?derivatives?", "[1234] [05]"),
-    ("cc-by-sa", "share", "creative commons attribution share ?alike", "[1234] [05]"),
+    ("cc-by-nc-nd", "by nc nd", "(?:cc|creative commons) by nc nd", "[1234] [05]"),
+    ("cc-by-nc-sa", "by nc sa", "(?:cc|creative commons) by nc sa", "[1234] [05]"),
+    ("cc-by-nc", "by nc", "(?:cc|creative commons) by nc", "[1234] [05]"),
+    ("cc-by-nd", "by nd", "(?:cc|creative commons) by nd", "[1234] [05]"),
+    ("cc-by-sa", "by sa", "(?:cc|creative commons) by sa", "[1234] [05]"),
+    ("cc-by", "cc by", "cc by", "[1234] [05]"),
+    ("cc-by", "creative commons by", "creative commons by", "[1234] [05]"),
+    ("cc-by-nc-nd", "creative commons attribution", "creative commons attribution non ?commercial no ?derivatives?", "[1234] [05]"),
+    ("cc-by-nc-sa", "creative commons attribution", "creative commons attribution non ?commercial share ?alike", "[1234] [05]"),
+    ("cc-by-nc", "creative commons attribution", "creative commons attribution non ?commercial", "[1234] [05]"),
+    ("cc-by-nd", "creative commons attribution", "creative commons attribution no ?derivatives?", "[1234] [05]"),
+    ("cc-by-sa", "creative commons attribution", "creative commons attribution share ?alike", "[1234] [05]"),
     ("cc-by", "creative commons", "creative commons attribution", "[1234] [05]"),
     ("elastic", "elastic", "elastic", "2(?: 0)?"),
     ("sspl", "server side", "server side public", "1"),
@@ -128,13 +128,17 @@ _PASSAGES = (
 
 @dataclass(frozen=True)
 class Rule:
-    """priority: 0 is best. Patterns match whole words only."""
+    """priority: 0 is best. Patterns match whole words only.
+
+    Everything that a pattern matches holds the keyword and, if it is given, what also names.
+    """
 
     label: str
     keyword: str
     pattern: str
     priority: int
     confidence: float
+    also: str = ""
 
 
 def rules() -> list[Rule]:
@@ -142,8 +146,8 @@ def rules() -> list[Rule]:
     whole = r"(?<![^ ]){}(?![^ ])"
     made: list[Rule] = []
 
-    def add(label: str, keyword: str, pattern: str, priority: int, confidence: float) -> None:
-        made.append(Rule(label, keyword, whole.format(f"(?:{pattern})"), priority, confidence))
+    def add(label: str, keyword: str, pattern: str, priority: int, confidence: float, also: str = "") -> None:
+        made.append(Rule(label, keyword, whole.format(f"(?:{pattern})"), priority, confidence, also))
 
     granted = (
         "(?:re)?(?:licensed|released|distributed|available|provided|published|covered|shared) under "
@@ -152,17 +156,17 @@ def rules() -> list[Rule]:
     version = "(?: (?:version |v )?(?:{}))"
     for label, keyword, name, numbers in _FAMILIES:
         tail = version.format(numbers) + "?" if numbers else ""
-        add(label, keyword, f"spdx licen[sc]e identifier {name}{tail}(?: only| or later)?", 0, 1.0)
+        add(label, keyword, f"spdx licen[sc]e identifier {name}{tail}(?: only| or later)?", 0, 1.0, "spdx licen")
     for label, keyword, passage in _PASSAGES:
         add(label, keyword, passage, 1, 0.9)
     for label, keyword, name, numbers in _FAMILIES:
         tail = version.format(numbers) + "?" if numbers else ""
-        add(label, keyword, f"{granted}{name}(?: public)?(?: licen[sc]e)?{tail}(?: only| or (?:any )?later(?: version)?)?", 1, 0.95)
+        add(label, keyword, f"{granted}{name}(?: public)?(?: licen[sc]e)?{tail}(?: only| or (?:any )?later(?: version)?)?", 1, 0.95, " under ")
     for label, keyword, name, numbers in _FAMILIES:
         if numbers:
             add(label, keyword, f"{name}(?: licen[sc]e)?{version.format(numbers)}", 2, 0.8)
     for label, keyword, name, _ in _FAMILIES:
-        add(label, keyword, f"{name} (?:international )?licen[sc]es?", 3, 0.7)
+        add(label, keyword, f"{name} (?:international )?licen[sc]es?", 3, 0.7, "licen")
     return made
 
 
@@ -205,15 +209,15 @@ def detections(words: Column) -> Column:
 
     start and end are characters of the written words.
     """
-    table = F.array(
-        *(
-            F.struct(
-                F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"),
-                F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("rule"),
-            )
-            for i, r in enumerate(rules())
+    kinds: dict[str, list[Column]] = {}
+    for i, r in enumerate(rules()):
+        one = F.struct(
+            F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"),
+            F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("rule"),
         )
-    )
+        kinds.setdefault(r.also, []).append(one)
+    none = F.array().cast("array<struct<keyword:string,pattern:string,label:string,priority:int,confidence:double,rule:int>>")
+    table = F.concat(*(F.when(F.contains(words, F.lit(also)), F.array(*some)).otherwise(none) for also, some in kinds.items()))
     found = F.flatten(
         F.transform(
             F.filter(table, lambda r: F.contains(words, r["keyword"])),
@@ -258,9 +262,6 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lower = F.lower(body)
-    gate = F.lit(False)
-    for word in GATE_WORDS:
-        gate = gate | F.contains(lower, F.lit(word))
     patterns = [_phrase(words) for words, _ in BASE_PHRASES]
     anyone = "|".join(patterns)
     count = sum((F.regexp_count(body, F.lit(f"(?i){p}")).cast("long") for p in patterns), F.lit(0).cast("long"))
@@ -290,11 +291,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
 
-    spans = F.when(gate, let(written(body), lambda w: in_words(w, detections(w))))
-    nothing = F.array().cast("array<struct<label:string,start_word:bigint,end_word:bigint,priority:int,confidence:double>>")
+    spans = let(written(body), lambda w: in_words(w, detections(w)))
     no_labels = F.array().cast("array<string>")
     mark = "__licenses"
-    out = docs.withColumn(mark, F.struct(base.alias("base"), F.coalesce(spans, nothing).alias("found"), n_words(body).alias("n")))
+    out = docs.withColumn(mark, F.struct(base.alias("base"), spans.alias("found"), n_words(body).alias("n")))
     found, base_labels = F.col(mark)["found"], F.coalesce(F.col(mark)["base"]["labels"], no_labels)
     n_base = F.coalesce(F.col(mark)["base"]["n"], F.lit(0).cast("long"))
     best = F.coalesce(F.array_max(F.transform(found, lambda d: d["confidence"])), F.lit(0.0))

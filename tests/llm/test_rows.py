@@ -115,6 +115,23 @@ def test_license_labels(spark, text, labels):
     assert licenses.scan(spark.createDataFrame([(text,)], "text string")).first().labels == labels
 
 
+def test_license_labels_without_the_word(spark):
+    """Notices without the word license, and line-wrapped ones."""
+    want = {
+        "Released under the GNU GPL v3.": ["gpl"],
+        "available under CC BY-SA 4.0": ["cc-by-sa"],
+        "available under Creative Commons BY 4.0": ["cc-by"],
+        "Distributed under Apache 2.0": ["apache"],
+        "Proprietary and confidential.": ["proprietary"],
+        "Unauthorized copying of this file is strictly prohibited.": ["proprietary"],
+        "without prior written permission": ["permission-required"],
+        "released into the public\ndomain": ["public-domain"],
+        "All rights\n * reserved": ["all-rights-reserved"],
+    }
+    rows = licenses.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == want and all(r.score >= 0.8 for r in rows)
+
+
 def test_license_suppression(spark):
     """What is left equals a comparison of every two matches."""
     texts = [
