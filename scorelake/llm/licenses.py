@@ -32,7 +32,9 @@ BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general
 # Label, keyword, the license's name as it is written, and its version numbers if it has any.
 # Written with one space between lower-case words, as the texts are.
 _FAMILIES = (
-    ("mit", "mit", "(?:mit|expat|x11)", ""),
+    ("mit", "mit", "mit", ""),
+    ("mit", "expat", "expat", ""),
+    ("mit", "x11", "x11", ""),
     ("mit-0", "mit", "mit (?:no attribution|0)", ""),
     ("apache", "apache", "apache(?: software)?", "[12](?: [01])?"),
     ("gpl", "general public", "(?:gnu )?general public", "[123](?: 0)?"),
