@@ -8,8 +8,8 @@ the context's class vectors, weighted by position, are summed and multiplied wit
 class, and normalised over all classes. The second is additive in the class, with one unseen token
 more, so the probabilities of all tokens add up to 1.
 
-Class vectors are trained with noise-contrastive estimation in numpy: each task trains on every
-EVERY-th position of its texts, starting from the last round's parameters; the results are averaged
+Class vectors are trained with noise-contrastive estimation in numpy: in each round a task trains on
+every position of its texts, starting from the last round's parameters; the results are averaged
 by tokens. Counts cover all training texts, and what is trained on grows with them.
 
 The HEAVY most frequent tokens at most (a whole range of counts is taken or not) are sent to the
@@ -40,7 +40,7 @@ SMOOTHING = 0.1
 HEAVY = 1 << 17
 CLASSES, TAIL_CLASSES = 128, 32
 CONTEXT, WIDTH = 3, 24
-EVERY, ROUNDS, NOISE, BATCH, RATE = 8, 2, 25, 256, 0.1
+ROUNDS, NOISE, BATCH, RATE = 2, 25, 256, 0.1
 #: Distinct tokens a task counts before it passes them on.
 COUNTED = 1 << 20
 #: The end's token, which no word equals, and its class, which also stands before the first word.
@@ -200,12 +200,12 @@ def _windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([sequence[CONTEXT - 1 - j : CONTEXT - 1 - j + n] for j in range(CONTEXT)], axis=1), sequence[CONTEXT:]
 
 
-def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.ndarray, every: int) -> Parameters:
+def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.ndarray) -> Parameters:
     """A round: parameters trained in each task from start, averaged by positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of, p, state = heavy.value, Parameters.of(start.flat()), None
-        contexts, targets, held, seen, skip = [], [], 0, 0, 0
+        contexts, targets, held, seen = [], [], 0, 0
 
         def step() -> None:
             nonlocal state, seen
@@ -217,10 +217,9 @@ def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.nd
         for batch in batches:
             for value in batch.column(0):
                 c, t = _windows(_sequence(words_of.class_ids(tokens_of(value.as_py()))[1]))
-                contexts.append(c[skip::every])
-                targets.append(t[skip::every])
-                skip = (skip - len(t)) % every
-                held += len(targets[-1])
+                contexts.append(c)
+                targets.append(t)
+                held += len(t)
                 if held >= 16 * BATCH:
                     step()
                     contexts, targets, held = [], [], 0
@@ -249,7 +248,7 @@ class Model:
     parameters: Parameters
 
 
-def fit(docs: DataFrame, text: str = "text", every: int = EVERY, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     """Counts all rows of docs and trains on them."""
     spark = docs.sparkSession
     folder = new_folder(spark, "token-counts")
@@ -281,7 +280,7 @@ def fit(docs: DataFrame, text: str = "text", every: int = EVERY, rounds: int = R
     sent = spark.sparkContext.broadcast(heavy)
     parameters = Parameters.first(shares)
     for _ in range(rounds if tokens else 0):
-        parameters = _trained(docs, text, sent, parameters, shares, every)
+        parameters = _trained(docs, text, sent, parameters, shares)
     return Model(folder, tokens, distinct, heavy, class_tokens, class_distinct, parameters)
 
 

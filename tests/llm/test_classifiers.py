@@ -99,6 +99,14 @@ def test_language_model(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_every_position_is_trained_on(spark, monkeypatch):
+    weights, summed = [], language_model.summed
+    monkeypatch.setattr(language_model, "summed", lambda *a: weights.append(summed(*a)) or weights[-1])
+    docs = spark.createDataFrame([(i, _text("aa", 3 + i, i)) for i in range(40)], "doc_id long, text string").repartition(3)
+    model = language_model.fit(docs)
+    assert [w["p"] for _, w in weights] == [model.tokens] * language_model.ROUNDS
+
+
 def test_probabilities_add_up(spark):
     docs = spark.createDataFrame([(i, _text("aa", 30, i)) for i in range(30)], "doc_id long, text string")
     model = language_model.fit(docs)
