@@ -39,6 +39,8 @@ PREFIX = 10
 MATCHES = 32
 #: Classes of a chunk of a posting list: at least this, and growing with the root of the list's length.
 CHUNK, CHUNK_ROOT = 256, 8
+#: Sets of a block when links are confirmed (two blocks meet in a matrix), and pairs that are counted at once.
+BLOCK, PAIRS = 512, 1 << 20
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _MIX = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -185,7 +187,10 @@ def common_counts(sets: list[np.ndarray], dense_from: int = 24) -> np.ndarray:
     for n in np.unique(lengths[(lengths > 1) & (lengths < dense_from)]):
         group = owner[starts[lengths == n][:, None] + np.arange(n)]
         a, b = np.triu_indices(n, 1)
-        np.add(counts, np.bincount((group[:, a] * m + group[:, b]).ravel(), minlength=m * m), out=counts)
+        some = max(1, PAIRS // len(a))
+        for at in range(0, len(group), some):
+            part = group[at : at + some]
+            np.add(counts, np.bincount((part[:, a] * m + part[:, b]).ravel(), minlength=m * m), out=counts)
     wide = np.flatnonzero(lengths >= dense_from)
     for at in range(0, len(wide), 2048):
         columns = wide[at : at + 2048]
@@ -200,7 +205,29 @@ def common_counts(sets: list[np.ndarray], dense_from: int = 24) -> np.ndarray:
 
 
 def forest(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of a spanning forest over all pairs of sets with 100 * common >= percent * union."""
+    """Links of a spanning forest over all pairs of sets with 100 * common >= percent * union.
+
+    More than two blocks of sets meet two by two, so no matrix grows with their number; two blocks
+    that are one component already have nothing to add.
+    """
+    if len(sets) <= 2 * BLOCK:
+        return _block_forest(sets, percent)
+    links, component = [], np.arange(len(sets))
+    starts = range(0, len(sets), BLOCK)
+    for i, low in enumerate(starts):
+        for high in starts[i + 1 :]:
+            rows = np.r_[low : low + BLOCK, high : min(high + BLOCK, len(sets))]
+            if (component[rows] == component[rows[0]]).all():
+                continue
+            for a, b in _block_forest([sets[x] for x in rows], percent):
+                a, b = rows[a], rows[b]
+                if component[a] != component[b]:
+                    links.append((int(a), int(b)))
+                    component[component == component[b]] = component[a]
+    return links
+
+
+def _block_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     common = common_counts(sets)
     sizes = np.array([len(s) for s in sets])
     linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)

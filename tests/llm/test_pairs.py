@@ -93,6 +93,32 @@ def test_common_counts():
         assert near_dedup.common_counts(sets, limit).tolist() == want
 
 
+def test_forest_in_blocks(monkeypatch):
+    """Components equal brute force while no matrix is larger than two blocks."""
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(9):
+        own = rng.integers(0, 1 << 40, 40)
+        sets += [np.unique(np.r_[own[rng.permutation(40)[: rng.integers(34, 41)]], [1, 2]]).astype(np.uint64) for _ in range(7)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    sizes, counts = [], near_dedup.common_counts
+    monkeypatch.setattr(near_dedup, "common_counts", lambda some: sizes.append(len(some)) or counts(some))
+    monkeypatch.setattr(near_dedup, "BLOCK", 5, raising=False)
+    monkeypatch.setattr(near_dedup, "PAIRS", 7, raising=False)
+
+    def components(pairs):
+        of = list(range(len(sets)))
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {frozenset(i for i, x in enumerate(of) if x == k) for k in of}
+
+    members = [set(s.tolist()) for s in sets]
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(members[a] & members[b]) >= 80 * len(members[a] | members[b])]
+    links = near_dedup.forest(sets, 80)
+    assert components(links) == components(want) and len(links) == len(sets) - len(components(want))
+    assert max(sizes) <= 10
+
+
 def _cosine(a, b):
     dot = na = nb = 0.0
     for x, y in zip(a, b, strict=True):
