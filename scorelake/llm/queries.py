@@ -15,6 +15,7 @@ MODULES = (
     "ann_queries",
     "packing_queries",
     "license_queries",
+    "ranked_queries",
     "token_queries",
 )
 

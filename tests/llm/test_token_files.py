@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -41,10 +42,15 @@ def _expected(rows, plain):
     return out
 
 
+@cache
+def _encoder():
+    return token_files.Encoder(PATH)
+
+
 @given(st.text(alphabet=st.sampled_from("ab1 .'\n\t \x1cé²"), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_units_equal_whole_texts(text):
-    encoder = token_files.Encoder(PATH)
+    encoder = _encoder()
     assert encoder.by_unit
     ids = np.frombuffer(b"".join(encoder.pieces(text)), "<u4").tolist()
     assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
