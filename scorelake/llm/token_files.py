@@ -13,7 +13,8 @@ whole files with the same bytes. The driver sees one number per file.
 
 Encoding is done in units: a text is cut before single spaces between two characters that are no
 white space. A byte-level pre-tokenizer always cuts there and has nothing to merge across, so a unit
-has the same ids wherever it stands; repeated units are encoded once (MEMO units are remembered).
+has the same ids wherever it stands; a Python worker remembers the first MEMO units that it meets, which
+are the common ones, and encodes others whenever they come.
 A tokenizer with a normaliser, a post-processor or another pre-tokenizer encodes whole texts instead.
 
 Defined cases: a NULL or empty text has the end alone. A NULL id comes first. Rows that repeat an id
@@ -27,8 +28,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,7 @@ BATCH = 64
 END_ID = 0
 PAD, TOKEN, END = 0, 1, 2
 PIECE = 1 << 20
-MEMO = 1 << 18
+MEMO = 3 << 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = "file string, doc_id long, place long, n_tokens long"
 
@@ -54,6 +58,10 @@ def _schema(sequence: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
 class Encoder:
     """Texts to little-endian uint32 ids, by a tokenizer file."""
 
@@ -70,17 +78,22 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [_packed(e.ids) for e in found]
 
     def _units(self, text: str) -> bytes:
+        """The ids of a text. Units after the first are remembered without the space they start with."""
         first, *others = _CUT.split(text)
-        units = [first, *map(" ".__add__, others)]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({*units} - self.memo.keys())
-        if new:
-            self.memo.update(zip(new, self._encoded(new), strict=True))
-        return b"".join(map(self.memo.__getitem__, units))
+        memo = self.memo
+        new = list({unit for unit in others if unit not in memo})
+        ids = self._encoded([first, *map(" ".__add__, new)])
+        known = memo
+        if len(memo) < MEMO:
+            memo.update(zip(new, ids[1:], strict=True))
+        else:
+            known = dict(zip(new, ids[1:], strict=True))
+            known.update((unit, memo[unit]) for unit in {*others} - known.keys())
+        return ids[0] + b"".join(map(known.__getitem__, others))
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of a text, in pieces of bounded size where it can be cut."""
@@ -95,6 +108,12 @@ class Encoder:
             at = end
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker, which its later tasks use too."""
+    return Encoder(path)
+
+
 def _whole(text: str) -> str:
     """A text without lone surrogates, which no UTF-8 has."""
     return text.encode("utf-8", "replace").decode()
@@ -190,7 +209,7 @@ def write_files(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encoder, writer, stream = TaskContext.get(), Encoder(tokenizer), None, None
+        task, encoder, writer, stream = TaskContext.get(), encoder_of(tokenizer), None, None
         name = f"part-{task.partitionId():06d}.arrow"
         system, base = _opened(folder)
         made = f"{base}/work/{name}.{task.taskAttemptId()}"
