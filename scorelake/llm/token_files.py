@@ -2,10 +2,10 @@
 
 Documents are ordered by id across the cluster (a range partition per file) and encoded; each one's
 ids are followed by END_ID. The ids of a file's documents run on through its sequences: a file is an
-Arrow IPC file whose batches hold `ids` (fixed-size list of uint32) and `mask` (fixed-size list of
-uint8: 0 padding, 1 an id, 2 a document's last id), SEQUENCE of them a row. Only a file's last
-sequence is padded. As every row has one size, the place of an id gives its batch, row and column by
-division, and a file that can be mapped into memory is read without copies or decoding.
+Arrow IPC file whose batches hold fixed-size lists, SEQUENCE a row: `ids` (uint16 if the vocabulary
+allows, else uint32), and as bits `mask` (an id, not padding) and `last` (a document's last id). Only a
+file's last sequence is padded. As every row has one size, the place of an id gives its batch, row and
+column by division, and a file that can be mapped into memory is read without copies or decoding.
 A sidecar index (Parquet) has a row per document: its file, first place in the file, and length.
 
 Each task writes under a name of its own and renames the finished file, so a repeated task leaves
@@ -47,15 +47,14 @@ SEQUENCE = 2048
 #: Sequences of a record batch.
 BATCH = 64
 END_ID = 0
-PAD, TOKEN, END = 0, 1, 2
 PIECE = 1 << 20
 MEMO = 3 << 18
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = "file string, doc_id long, place long, n_tokens long"
 
 
-def _schema(sequence: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence)), ("last", pa.list_(pa.bool_(), sequence))])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -75,6 +74,7 @@ class Encoder:
         plain = t.normalizer is None and t.post_processor is None
         level = t.pre_tokenizer if isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) else None
         self.by_unit = plain and level is not None and level.use_regex and not level.add_prefix_space
+        self.kind = pa.uint16() if t.get_vocab_size() <= 1 << 16 else pa.uint32()
         self.memo: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
@@ -122,36 +122,42 @@ def _whole(text: str) -> str:
 class _Writer:
     """Appends ids to sequences of one file."""
 
-    def __init__(self, stream, sequence: int) -> None:
-        self.out = pa.ipc.new_file(stream, _schema(sequence))
-        self.sequence, self.cells = sequence, sequence * BATCH
-        self.ids, self.mask, self.held, self.place = [], [], 0, 0
+    def __init__(self, stream, sequence: int, kind: pa.DataType) -> None:
+        self.schema = _schema(sequence, kind)
+        self.out = pa.ipc.new_file(stream, self.schema)
+        self.sequence, self.cells, self.kind = sequence, sequence * BATCH, kind.to_pandas_dtype()
+        self.ids: list[np.ndarray] = []
+        self.ends: list[int] = []
+        self.written = self.place = 0
 
     def add(self, ids: bytes, last: bool) -> None:
-        n = len(ids) // 4
-        mask = np.full(n, TOKEN, np.uint8)
+        self.ids.append(np.frombuffer(ids, "<u4").astype(self.kind))
+        self.place += len(self.ids[-1])
         if last:
-            mask[-1] = END
-        self.ids.append(ids)
-        self.mask.append(mask)
-        self.held += n
-        self.place += n
-        if self.held >= self.cells:
-            ids, mask = np.frombuffer(b"".join(self.ids), "<u4"), np.concatenate(self.mask)
-            whole = self.held - self.held % self.cells
+            self.ends.append(self.place - 1)
+        if self.place - self.written >= self.cells:
+            ids = np.concatenate(self.ids)
+            whole = len(ids) - len(ids) % self.cells
             for at in range(0, whole, self.cells):
-                self._batch(ids[at : at + self.cells], mask[at : at + self.cells])
-            self.ids, self.mask, self.held = [ids[whole:].tobytes()], [mask[whole:].copy()], self.held - whole
-
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        lists = (pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids.astype(np.uint32, copy=False), mask))
-        self.out.write_batch(pa.RecordBatch.from_arrays(list(lists), schema=_schema(self.sequence)))
+                self._batch(ids[at : at + self.cells])
+            self.ids = [ids[whole:].copy()]
+
+    def _batch(self, ids: np.ndarray) -> None:
+        pad = -len(ids) % self.sequence
+        mask, last = np.zeros((2, len(ids) + pad), bool)
+        mask[: len(ids)] = True
+        ends = np.array(self.ends, np.int64) - self.written
+        last[ends[ends < len(ids)]] = True
+        self.ends = [e for e in self.ends if e - self.written >= len(ids)]
+        self.written += len(ids)
+        columns = (np.concatenate([ids, np.zeros(pad, self.kind)]), mask, last)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in columns]
+        self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
-        if self.held:
-            pad = -self.held % self.sequence
-            ids = np.frombuffer(b"".join(self.ids) + bytes(4 * pad), "<u4")
-            self._batch(ids, np.concatenate([*self.mask, np.full(pad, PAD, np.uint8)]))
+        rest = np.concatenate(self.ids)
+        if len(rest):
+            self._batch(rest)
         self.out.close()
 
 
@@ -163,40 +169,39 @@ class TokenFile:
         self.stream = pa.memory_map(path) if isinstance(system, pafs.LocalFileSystem) else system.open_input_file(path)
         self.file = pa.ipc.open_file(self.stream)
         self.sequence = self.file.schema.field("ids").type.list_size
-        self.number, self.arrays = -1, None
+        self.number, self.columns = -1, None
 
     def __len__(self) -> int:
         """Sequences in the file."""
         n = self.file.num_record_batches
         return (n - 1) * BATCH + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def _flat(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+    def _flat(self, number: int) -> tuple[pa.Array, ...]:
         if number != self.number:
             batch = self.file.get_batch(number)
-            self.arrays = tuple(batch.column(i).flatten().to_numpy(zero_copy_only=True) for i in range(2))
-            self.number = number
-        return self.arrays
+            self.columns, self.number = tuple(batch.column(i).flatten() for i in range(3)), number
+        return self.columns
 
-    def row(self, number: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence."""
-        ids, mask = self._flat(number // BATCH)
+    def row(self, number: int) -> tuple[np.ndarray, pa.BooleanArray, pa.BooleanArray]:
+        """Ids, mask and last marks of a sequence, all of them views."""
         at = number % BATCH * self.sequence
-        return ids[at : at + self.sequence], mask[at : at + self.sequence]
+        ids, mask, last = (c.slice(at, self.sequence) for c in self._flat(number // BATCH))
+        return ids.to_numpy(zero_copy_only=True), mask, last
 
-    def span(self, place: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and masks of n places, a view for each batch they lie in."""
+    def span(self, place: int, n: int) -> Iterator[tuple[np.ndarray, pa.BooleanArray]]:
+        """Ids and last marks of n places, views for each batch they lie in."""
         cells = self.sequence * BATCH
         while n > 0:
-            ids, mask = self._flat(place // cells)
+            ids, _, last = self._flat(place // cells)
             at = place % cells
             some = min(n, len(ids) - at)
             if some <= 0:
                 raise ValueError(f"the file ends before place {place}")
-            yield ids[at : at + some], mask[at : at + some]
+            yield ids.slice(at, some).to_numpy(zero_copy_only=True), last.slice(at, some)
             place, n = place + some, n - some
 
     def close(self) -> None:
-        self.arrays = self.file = None
+        self.columns = self.file = None
         self.stream.close()
 
 
@@ -219,7 +224,7 @@ def write_files(
             for value in batch.column(1):
                 if writer is None:
                     stream = system.open_output_stream(made)
-                    writer = _Writer(stream, sequence)
+                    writer = _Writer(stream, sequence, encoder.kind)
                 places.append(writer.place)
                 for piece in encoder.pieces(value.as_py() or ""):
                     writer.add(piece, False)
@@ -264,10 +269,10 @@ def read_files(index: DataFrame, folder: str) -> DataFrame:
                     if opened:
                         opened.close()
                     name, opened = file, TokenFile(f"{folder}/files/{file}")
-                crc, seen, last = 0, 0, PAD
-                for ids, mask in opened.span(place, n):
-                    crc, seen, last = zlib.crc32(ids.astype("<u4", copy=False), crc), seen + int((mask == END).sum()), mask[-1]
-                if seen != 1 or last != END:
+                crc, ends, last = 0, 0, None
+                for ids, last in opened.span(place, n):
+                    crc, ends = zlib.crc32(ids.astype("<u4", copy=False), crc), ends + last.true_count
+                if ends != 1 or not last[-1].as_py():
                     raise ValueError(f"{file}: no document of {n} ids at place {place}")
                 sums.append(crc)
             start = np.add(batch.column(2).to_numpy(), batch.column(4).to_numpy())

@@ -85,12 +85,13 @@ def test_sequences_and_masks(spark, plain):
     for file in sorted(r.file for r in index.select("file").distinct().collect()):
         opened = token_files.TokenFile(f"{folder}/files/{file}")
         for number in range(len(opened)):
-            values, mask = opened.row(number)
-            assert len(values) == len(mask) == 16 and not values.flags.owndata
-            assert number == len(opened) - 1 or (mask > 0).all()
-            assert (values[mask == token_files.PAD] == 0).all() and (values[mask == token_files.END] == 0).all()
-            ids += values[mask > 0].tolist()
-            ends, cells = ends + int((mask == token_files.END).sum()), cells + 16
+            values, mask, last = opened.row(number)
+            assert len(values) == len(mask) == len(last) == 16 and not values.flags.owndata and values.dtype == np.uint16
+            mask, last = mask.to_numpy(zero_copy_only=False), last.to_numpy(zero_copy_only=False)
+            assert number == len(opened) - 1 or mask.all()
+            assert (values[~mask] == 0).all() and (values[last] == 0).all() and mask[last].all()
+            ids += values[mask].tolist()
+            ends, cells = ends + int(last.sum()), cells + 16
         opened.close()
     assert ends == 30 and ids == [x for i in range(30) for x in plain("word " * i)]
 
