@@ -47,7 +47,7 @@ BEST = 20
 SPARE, NARROWEST, WIDEST = 8, 64, 1 << 17
 HASHES = 3
 #: Bytes of a text that are split at a time, and distinct terms a task counts before it passes them on.
-PIECE, COUNTED = 1 << 22, 1 << 20
+PIECE, COUNTED = 1 << 22, 1 << 19
 #: Terms and queries of a block, about; cells of a matrix of looked-up coordinates.
 BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1 << 14, 256, 1 << 21
 #: Bytes of packed tf of the candidates that are kept unpacked.

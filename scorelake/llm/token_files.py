@@ -14,7 +14,8 @@ whole files with the same bytes. The driver sees one number per file.
 Encoding is done in units: a text is cut before single spaces between two characters that are no
 white space. A byte-level pre-tokenizer always cuts there and has nothing to merge across, so a unit
 has the same ids wherever it stands; a Python worker remembers the first MEMO units that it meets, which
-are the common ones, and encodes others whenever they come.
+are the common ones, and encodes others whenever they come. The new units of a text are encoded as the
+lines of one text, which cuts in the same way.
 A tokenizer with a normaliser, a post-processor or another pre-tokenizer encodes whole texts instead.
 
 Defined cases: a NULL or empty text has the end alone. A NULL id comes first. Rows that repeat an id
@@ -48,7 +49,7 @@ SEQUENCE = 2048
 BATCH = 64
 END_ID = 0
 PIECE = 1 << 20
-MEMO = 3 << 18
+MEMO = 1 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = "file string, doc_id long, place long, n_tokens long"
 
@@ -75,25 +76,38 @@ class Encoder:
         level = t.pre_tokenizer if isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) else None
         self.by_unit = plain and level is not None and level.use_regex and not level.add_prefix_space
         self.kind = pa.uint16() if t.get_vocab_size() <= 1 << 16 else pa.uint32()
+        line = t.encode("\n", add_special_tokens=False).ids
+        self.by_unit = self.by_unit and len(line) == 1
+        self.line_end = line[0] if line else -1
         self.memo: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [_packed(e.ids) for e in found]
 
+    def _new(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each unit (one that follows a space) with its ids; most are encoded as one text, a line each."""
+        lines = [unit for unit in units if "\n" not in unit and not unit[-1].isspace()]
+        ids = np.frombuffer(self._encoded([" " + "\n ".join(lines)])[0], "<u4") if lines else np.empty(0, "<u4")
+        ends = np.flatnonzero(ids == self.line_end).tolist()
+        if len(ends) != max(0, len(lines) - 1):
+            lines = []
+        packed = ids.tobytes()
+        for unit, start, end in zip(lines, [0, *(e + 1 for e in ends)], [*ends, len(ids)]):  # noqa: B905
+            yield unit, packed[4 * start : 4 * end]
+        alone = [unit for unit in units if not lines or "\n" in unit or unit[-1].isspace()]
+        yield from zip(alone, self._encoded([" " + unit for unit in alone]), strict=True)
+
     def _units(self, text: str) -> bytes:
         """The ids of a text. Units after the first are remembered without the space they start with."""
         first, *others = _CUT.split(text)
-        memo = self.memo
-        new = list({unit for unit in others if unit not in memo})
-        ids = self._encoded([first, *map(" ".__add__, new)])
-        known = memo
-        if len(memo) < MEMO:
-            memo.update(zip(new, ids[1:], strict=True))
-        else:
-            known = dict(zip(new, ids[1:], strict=True))
-            known.update((unit, memo[unit]) for unit in {*others} - known.keys())
-        return ids[0] + b"".join(map(known.__getitem__, others))
+        found = list(map(self.memo.get, others))
+        if None in found:
+            new = dict(self._new(list({unit for unit, ids in zip(others, found, strict=True) if ids is None})))
+            found = [new[unit] if ids is None else ids for unit, ids in zip(others, found, strict=True)]
+            if len(self.memo) < MEMO:
+                self.memo.update(new)
+        return self._encoded([first])[0] + b"".join(found)
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of a text, in pieces of bounded size where it can be cut."""

@@ -56,6 +56,19 @@ def test_units_equal_whole_texts(text):
     assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@given(st.text(alphabet=st.sampled_from("ab1 .'\n\t \x1cé²"), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_units_without_room_in_the_memo(text):
+    encoder = _encoder()
+    full, encoder.memo = encoder.memo, {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_files, "MEMO", 0)
+        ids = np.frombuffer(b"".join(encoder.pieces(text)), "<u4").tolist()
+    assert not encoder.memo
+    encoder.memo = full
+    assert ids == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_of_a_long_text(plain, monkeypatch):
     monkeypatch.setattr(token_files, "PIECE", 100)
     encoder = token_files.Encoder(PATH)
