@@ -17,6 +17,7 @@ MODULES = (
     "license_queries",
     "ranked_queries",
     "token_queries",
+    "trie_queries",
 )
 
 
