@@ -54,6 +54,14 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _INDEX = "file string, doc_id long, place long, n_tokens long"
 
 
+def _cut(text: str) -> list[str]:
+    """The units of a text, without the spaces they are cut at."""
+    if text[:1] != " " and text[-1:] != " " and not any(x in text for x in ("  ", " \n", "\n ")):
+        if text.replace("\n", "").isprintable():  # so spaces and line ends are its only white space
+            return text.split(" ")
+    return _CUT.split(text)
+
+
 def _schema(sequence: int, kind: pa.DataType) -> pa.Schema:
     return pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence)), ("last", pa.list_(pa.bool_(), sequence))])
 
@@ -80,6 +88,7 @@ class Encoder:
         self.by_unit = self.by_unit and len(line) == 1
         self.line_end = line[0] if line else -1
         self.memo: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,14 +109,22 @@ class Encoder:
 
     def _units(self, text: str) -> bytes:
         """The ids of a text. Units after the first are remembered without the space they start with."""
-        first, *others = _CUT.split(text)
+        first, *others = _cut(text)
         found = list(map(self.memo.get, others))
-        if None in found:
-            new = dict(self._new(list({unit for unit, ids in zip(others, found, strict=True) if ids is None})))
-            found = [new[unit] if ids is None else ids for unit, ids in zip(others, found, strict=True)]
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        if missing:
+            new = dict(self._new(list({others[at] for at in missing})))
+            for at in missing:
+                found[at] = new[others[at]]
             if len(self.memo) < MEMO:
                 self.memo.update(new)
-        return self._encoded([first])[0] + b"".join(found)
+        start = self.firsts.get(first)
+        if start is None:
+            start = self._encoded([first])[0]
+            if len(self.firsts) < MEMO // 16 and len(first) < 64:
+                self.firsts[first] = start
+        found.insert(0, start)
+        return b"".join(found)
 
     def pieces(self, text: str) -> Iterator[bytes]:
         """The ids of a text, in pieces of bounded size where it can be cut."""

@@ -50,6 +50,7 @@ def _encoder():
 @given(st.text(alphabet=st.sampled_from("ab1 .'\n\t \x1cé²"), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_units_equal_whole_texts(text):
+    assert token_files._cut(text) == token_files._CUT.split(text)
     encoder = _encoder()
     assert encoder.by_unit
     ids = np.frombuffer(b"".join(encoder.pieces(text)), "<u4").tolist()
