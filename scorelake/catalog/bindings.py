@@ -583,8 +583,8 @@ _ARRIVED_SQL = _SCORED_SQL.split("v_scored AS (")[1].join(["v_arrived AS (", ""]
 )
 
 
-def flow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses whose samples are parts, with output fit for the sample's track."""
+def flow_responses(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Responses whose samples are parts, with output fit for the sample's track, and extra line-item columns."""
     number = F.col("l_partkey") + F.col("l_linenumber")
     code = fenced(number, snippet(number, F.col("l_returnflag")))
     return (
@@ -603,6 +603,7 @@ def flow_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_quantity / 1024 AS cost",
             "CASE track WHEN 'bug_localization' THEN concat('{\"line\": ', l_partkey % 50 + 1, ', \"proposed_fix\": \"done(1)\"}') "
             "WHEN 'test_case_design' THEN '{\"test_cases\": []}' ELSE code END AS raw_output",
+            *extra,
         )
     )
 

@@ -18,6 +18,7 @@ from scorelake.operators import compare, metrics, summary
 from scorelake.plans import scoring
 from scorelake.sources import facts, registry, summaries
 from scorelake.sources.workspace import new_folder
+from scorelake.sources.versions import Versions
 from scorelake.streaming import incremental
 
 QUERIES: dict = {}
@@ -210,15 +211,8 @@ def _followed(spark, sf_dir) -> tuple[incremental.Tables, list[str]]:
     return tables, columns
 
 
-def incremental_scoring(spark, sf_dir):
-    """Rows scored by three micro-batches: one per key, the first to arrive."""
-    tables, columns = _followed(spark, sf_dir)
-    return incremental.scored_so_far(spark, tables).select(*columns)
-
-
 _FIRST = f"""first_rows AS (SELECT * EXCLUDE (arrival, l_linenumber) FROM v_arrived
   QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END, arrival) = 1)"""
-SQL["incremental_scoring"] = with_bindings("arrived", f"WITH {_FIRST} SELECT * FROM first_rows")
 
 
 def unique_keys(spark, sf_dir):
@@ -264,6 +258,37 @@ SQL["rescored_rows"] = with_bindings(
         SELECT track, count(*) AS n_rows, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM kept GROUP BY 1""",
 )
 
+def versioned_rewrite(spark, sf_dir):
+    """Sparse rows replaced twice: a reader from before the swaps, and the current version after them."""
+    table = Versions(spark, new_folder(spark, "versions"))
+    arrived = bindings.scored(spark, sf_dir, extra=(bindings.ARRIVAL,))
+
+    def current() -> DataFrame:
+        return facts.read_jsonl(spark, table.folder(), schemas.SCORED)
+
+    def counted(rows: DataFrame, label: str) -> DataFrame:
+        counts = rows.groupBy("track").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tokens_out").alias("tokens_out"))
+        return counts.withColumn("version", F.lit(label))
+
+    table.replace(incremental.first_arrivals(arrived, _ARRIVAL).drop(_ARRIVAL), facts.write_sparse)
+    before = counted(current(), "first")
+    table.replace(current().where("attempts < 3"), facts.write_sparse)
+    middle = counted(current(), "removed")
+    # Responses that are gone are not scored again; others of their key are.
+    incremental.rescore_version(arrived.where("attempts < 3"), lambda rows: rows.drop(_ARRIVAL), _ARRIVAL, table, facts.write_sparse)
+    return before.unionByName(middle).unionByName(counted(current(), "rescored"))
+
+
+SQL["versioned_rewrite"] = with_bindings(
+    "arrived",
+    f"""WITH first AS (SELECT * FROM v_arrived QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY arrival) = 1),
+          kept AS (SELECT * FROM v_arrived WHERE attempts < 3 QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY arrival) = 1),
+          all_rows AS (SELECT 'first' AS version, track, tokens_out FROM first UNION ALL
+            SELECT 'removed', track, tokens_out FROM first WHERE attempts < 3 UNION ALL SELECT 'rescored', track, tokens_out FROM kept)
+        SELECT version, track, count(*) AS n_rows, CAST(sum(tokens_out) AS BIGINT) AS tokens_out FROM all_rows GROUP BY 1, 2""",
+)
+
+
 def unique_stream_keys(spark, sf_dir):
     """Keys of a stream of deliveries, each let through once."""
     root = new_folder(spark, "stream")
@@ -271,18 +296,46 @@ def unique_stream_keys(spark, sf_dir):
         rows.select(*fixed.KEY_COLUMNS).write.mode("append").parquet(f"{root}/inbox")
     schema = spark.read.parquet(f"{root}/inbox").schema
     stream = incremental.unique_stream(spark.readStream.schema(schema).parquet(f"{root}/inbox"))
-    query = (
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    incremental.append_unique(stream, f"{root}/out", f"{root}/progress")
     return spark.read.schema(schema).parquet(f"{root}/out").groupBy(*fixed.KEY_COLUMNS).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 SQL["unique_stream_keys"] = SQL["unique_keys"]
 
+# Three deliveries of events: some of the first days' come so late that they are dropped,
+# and some of each delivery's last days come again in the next one.
+_LATE = "day <= 5 AND event_id % 7 = 0"
+_EVENT_DELIVERIES = (
+    f"day <= 10 AND NOT ({_LATE})",
+    "day BETWEEN 11 AND 20 OR (day = 10 AND event_id % 3 = 0)",
+    f"day > 20 OR (day = 20 AND event_id % 3 = 0) OR ({_LATE})",
+)
+
+
+def unique_events(spark, sf_dir):
+    """Events per day out of a stream that drops repeats and late rows, and the keys its state still holds."""
+    root, held = new_folder(spark, "events"), 0
+    second = F.date_trunc("second", "ts")
+    events = bindings.table(spark, sf_dir, "events").select("event_id", second.alias("ts"), F.dayofmonth("ts").alias("day"))
+    for rows in _EVENT_DELIVERIES:
+        events.where(rows).write.mode("append").parquet(f"{root}/inbox")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/inbox")
+        held = incremental.append_unique(
+            incremental.unique_stream(stream, "ts", "2 days", ("event_id",)), f"{root}/out", f"{root}/progress"
+        )
+    out = spark.read.schema(events.schema).parquet(f"{root}/out")
+    return out.groupBy("day").agg(F.count(F.lit(1)).alias("n_events"), F.lit(held).cast("long").alias("state_rows"))
+
+
+SQL["unique_events"] = """
+WITH e AS (SELECT event_id, date_trunc('second', ts) AS ts, CAST(day(ts) AS INTEGER) AS day FROM events),
+     kept AS (SELECT * FROM e WHERE NOT (day <= 5 AND event_id % 7 = 0))
+SELECT day, count(*) AS n_events,
+  (SELECT count(*) FROM kept WHERE ts > (SELECT max(ts) FROM e) - INTERVAL 4 DAY) AS state_rows
+FROM kept GROUP BY day"""
+
 for _fn in (
-    unique_stream_keys, jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files,
-    run_manifest, incremental_scoring, unique_keys, running_summary, rescored_rows,
+    unique_stream_keys, unique_events, versioned_rewrite, jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files,
+    run_manifest, unique_keys, running_summary, rescored_rows,
 ):
     QUERIES[_fn.__name__] = _fn

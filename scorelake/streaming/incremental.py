@@ -12,7 +12,7 @@ merged batch by batch and do not grow with the number of batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,11 +71,11 @@ def _numbered(samples: DataFrame, dictionary: DataFrame | None) -> DataFrame:
     order = W.partitionBy("part").orderBy("sample_id")
     if dictionary is None:
         rank = F.row_number().over(order) - 1
-        return new.withColumn("part", part).select("part", "sample_id", (rank.cast("long") * PARTS + F.col("part")).alias("number"))
+        return new.withColumn("part", part).select("part", "sample_id", (rank.cast("long") * PARTS + F.col("part") + 1).alias("number"))
     new = new.join(dictionary, "sample_id", "left_anti").withColumn("part", part)
     used = dictionary.groupBy("part").agg(F.count(F.lit(1)).alias("used"))
     rank = F.coalesce("used", F.lit(0)) + F.row_number().over(order) - 1
-    added = new.join(F.broadcast(used), "part", "left").select("part", "sample_id", (rank * PARTS + F.col("part")).alias("number"))
+    added = new.join(F.broadcast(used), "part", "left").select("part", "sample_id", (rank * PARTS + F.col("part") + 1).alias("number"))
     return dictionary.unionByName(added)
 
 
@@ -161,12 +161,14 @@ def running_summary(spark: SparkSession, tables: Tables, columns, rounded: bool
     return summary_order(summary_from_stats(sums, samples_seen(spark, tables), columns, rounded=rounded))
 
 
-def rescore_version(responses: DataFrame, scorer: Scorer, order: str, table: Versions) -> int:
+def rescore_version(
+    responses: DataFrame, scorer: Scorer, order: str, table: Versions, write: Callable[[DataFrame, str], None] | None = None
+) -> int:
     """Scores every response again as the table's next version; readers of the current one go on.
 
     Removing a response and rescoring retries it.
     """
-    return table.replace(scorer(first_arrivals(responses, order)))
+    return table.replace(scorer(first_arrivals(responses, order)), write)
 
 
 def rescore(responses: DataFrame, scorer: Scorer, order: str, path: str) -> None:
@@ -177,12 +179,25 @@ def rescore(responses: DataFrame, scorer: Scorer, order: str, path: str) -> None
     scorer(first_arrivals(responses, order)).write.mode("error").parquet(path)
 
 
-def unique_stream(stream: DataFrame, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
+def unique_stream(
+    stream: DataFrame, event_time: str | None = None, delay: str = "1 day", keys: Sequence[str] = tuple(_KEY)
+) -> DataFrame:
     """A stream without repeated keys.
 
-    Without an event time the state keeps every key ever seen; with one, keys older
-    than the delay are forgotten.
+    Without an event time the state keeps every key ever seen. With one, rows older than the
+    watermark are dropped as late, and a key is forgotten once the watermark is ``delay`` past it.
     """
     if event_time is None:
-        return stream.dropDuplicates(_KEY)
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(_KEY)
+        return stream.dropDuplicates(list(keys))
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def append_unique(stream: DataFrame, path: str, progress: str) -> int:
+    """Appends what has arrived on a stream to a folder; returns how many keys its state holds afterwards."""
+    query = (
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    last = query.lastProgress
+    return sum(o["numRowsTotal"] for o in last["stateOperators"]) if last else 0
