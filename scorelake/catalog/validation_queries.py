@@ -171,6 +171,24 @@ WITH terms AS (SELECT item_id || '-' || (i - 1) AS term_id, lower(trim(sentences
   FROM (SELECT item_id, string_split_regex(text, '[.\n]') AS sentences FROM benchmark), unnest(range(1, len(sentences) + 1)) AS r(i))
 SELECT doc_id AS prompt_id, term_id FROM documents JOIN terms ON term <> '' AND contains(lower(text), term)"""
 
+
+def short_leaks(spark, sf_dir):
+    """Documents that hold one long word, or three words in a row, of a benchmark item."""
+    docs = bindings.heavy_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("prompt_id"), "text")
+    items = bindings.table(spark, sf_dir, "benchmark")
+    terms = [
+        items.select(F.concat(F.lit(kind), F.col("item_id").cast("string")).alias("term_id"), F.regexp_extract("text", pattern, 0).alias("term"))
+        for kind, pattern in (("w", _LONG_WORD), ("t", _THREE_WORDS))
+    ]
+    return validation.leak_scan(docs, terms[0].unionByName(terms[1]))
+
+
+_LONG_WORD, _THREE_WORDS = "[A-Za-z]{9,}", "[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"
+SQL["short_leaks"] = f"""
+WITH terms AS (SELECT 'w' || item_id AS term_id, lower(regexp_extract(text, '{_LONG_WORD}')) AS term FROM benchmark
+  UNION ALL SELECT 't' || item_id, lower(regexp_extract(text, '{_THREE_WORDS}')) FROM benchmark)
+SELECT doc_id AS prompt_id, term_id FROM documents JOIN terms ON term <> '' AND contains(lower(text), term)"""
+
 # Terms that would give a technique away.
 _GIVEAWAYS = ("page object", "fixture", "intercept", "route(", "expected_pattern", "th the")
 
@@ -314,7 +332,7 @@ SELECT track, text, left(sha256(text), 12) AS prompt_hash FROM t"""
 
 for _fn in (
     labelled_verdicts, label_agreement, label_confusion, rank_correlation, event_rank_correlation,
-    average_ranks, error_audit, prompt_usage, prompt_drift, leak_scan, prompt_leaks, label_sheets,
+    average_ranks, error_audit, prompt_usage, prompt_drift, leak_scan, short_leaks, prompt_leaks, label_sheets,
     assembled_samples, assembled_shapes, key_sheets, prompt_texts,
 ):
     QUERIES[_fn.__name__] = _fn

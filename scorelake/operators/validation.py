@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorelake.sources.workspace import new_folder
+
 # The three-level scale of the labels.
 LEVELS = (("yes", 1.0), ("partial", 0.5), ("no", 0.0))
 
@@ -137,66 +139,165 @@ def leaks_any(text: Column, terms) -> Column:
 
 
 _WORDS = "regexp_extract_all({}, '(?U)\\\\w+', 0)"
+#: Characters of a neighbouring word that an anchor holds, at most.
+EDGE = 3
+#: Rows of one anchor that are joined in one task, about.
+ANCHOR_ROWS = 1 << 20
+
+
+def _edges(before: Column, after: Column, left: Column, right: Column) -> list[Column]:
+    """The ends of two words that an anchor holds: the last ``left`` and the first ``right`` characters."""
+    return [F.right(before, left).alias("_before"), F.left(after, right).alias("_after")]
+
+
+def _anchored(places: DataFrame, anchors: DataFrame, key: list[str]) -> DataFrame:
+    """Candidates (prompt_id, term_id): prompts that hold the rarest anchor of a term.
+
+    ``places`` has the anchors of each prompt, ``anchors`` those of each term. An anchor that very many
+    prompts hold is dealt over tasks by its count; one row in ANCHOR_ROWS at most is sent to all tasks for that.
+    """
+    counts = places.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    rarest = anchors.join(counts, key).groupBy("term_id").agg(F.min(F.struct("_n", *key)).alias("_least")).select("term_id", "_least.*")
+    salts = F.ceil(F.col("_n") / ANCHOR_ROWS).cast("int")
+    hot = counts.where(F.col("_n") > ANCHOR_ROWS).select(*key, salts.alias("_salts"))
+    seat = F.pmod(F.xxhash64("prompt_id"), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = places.join(F.broadcast(hot), key, "left").withColumn("_seat", seat)
+    asked = rarest.withColumn("_seat", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(asked, [*key, "_seat"]).select("prompt_id", "term_id")
+
 
+def _by_inner_word(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates of terms of three words or more, by an inner word with the ends of its neighbours.
 
-def _by_rarest_word(shown: DataFrame, terms: DataFrame) -> DataFrame:
-    """Candidates (prompt_id, term_id, _term) that share the term's rarest inner word.
+    An inner word of a term is a whole word of any prompt that holds the term, the word before it ends like
+    the term's, and the word after it begins like the term's.
+    """
+    inner = terms.select("term_id", "_words", F.explode(F.sequence(F.lit(1), F.size("_words") - 2)).alias("_at"))
+    word = lambda at: F.get("_words", at)
+    at = F.col("_at")
+    sizes = (F.least(F.length(word(at - 1)), F.lit(EDGE)).alias("_left"), F.least(F.length(word(at + 1)), F.lit(EDGE)).alias("_right"))
+    sized = inner.select("term_id", word(at).alias("_word"), word(at - 1).alias("_b"), word(at + 1).alias("_a"), *sizes)
+    key = ["_word", "_left", "_right", "_before", "_after"]
+    anchors = sized.select("term_id", "_word", "_left", "_right", *_edges(F.col("_b"), F.col("_a"), F.col("_left"), F.col("_right"))).distinct()
+    triples = words.where("size(_words) > 2").select(
+        "prompt_id", "_words", F.explode(F.expr("sequence(1, size(_words) - 2)")).alias("_at")
+    ).select("prompt_id", word(at).alias("_word"), word(at - 1).alias("_b"), word(at + 1).alias("_a"))
+    shapes = anchors.select("_word", "_left", "_right").distinct()
+    places = triples.join(shapes, "_word").select(
+        "prompt_id", "_word", "_left", "_right", *_edges(F.col("_b"), F.col("_a"), F.col("_left"), F.col("_right"))
+    )
+    places = places.join(anchors.select(*key).distinct(), key, "left_semi").distinct()
+    return _anchored(_written(places, "leak-anchors"), anchors, key)
+
+
+def _by_pair(words: DataFrame, terms: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """Candidates of terms of two words: the end of one word and the beginning of the next.
 
-    ``shown`` has a row per prompt and distinct word. The inner words of a term, all but
-    its first and last, are whole words of any prompt that holds the term. A term with a
-    word that no prompt shows has no candidates.
+    ``shapes`` are the lengths of both that occur, EDGE * EDGE at most.
     """
-    inner = terms.select("term_id", "_term", F.explode(F.array_distinct("_inner")).alias("_word"))
-    counts = shown.join(inner.select("_word").distinct(), "_word", "left_semi").groupBy("_word").agg(
-        F.count(F.lit(1)).alias("_n")
+    first, second = F.get("_words", F.lit(0)), F.get("_words", F.lit(1))
+    sizes = (F.least(F.length(first), F.lit(EDGE)).alias("_left"), F.least(F.length(second), F.lit(EDGE)).alias("_right"))
+    sized = terms.select("term_id", first.alias("_b"), second.alias("_a"), *sizes)
+    key = ["_left", "_right", "_before", "_after"]
+    anchors = sized.select("term_id", "_left", "_right", *_edges(F.col("_b"), F.col("_a"), F.col("_left"), F.col("_right")))
+    pairs = words.where("size(_words) > 1").select("prompt_id", "_words", F.explode(F.expr("sequence(0, size(_words) - 2)")).alias("_at"))
+    pairs = pairs.select("prompt_id", F.get("_words", F.col("_at")).alias("_b"), F.get("_words", F.col("_at") + 1).alias("_a"))
+    every = F.array(*(F.struct(F.lit(a).alias("_left"), F.lit(b).alias("_right")) for a, b in shapes))
+    shaped = pairs.distinct().withColumn("_s", F.explode(every))
+    places = shaped.select(
+        "prompt_id", "_s._left", "_s._right", *_edges(F.col("_b"), F.col("_a"), F.col("_s._left"), F.col("_s._right"))
     )
-    counted = inner.join(counts, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rarest = counted.groupBy("term_id", "_term").agg(F.min(F.struct("_n", "_word")).alias("_least"))
-    anchored = rarest.filter("_least._n > 0").select("term_id", "_term", F.col("_least._word").alias("_word"))
-    return shown.join(anchored, "_word").select("prompt_id", "term_id", "_term")
+    places = places.join(anchors.select(*key).distinct(), key, "left_semi").distinct()
+    return _anchored(_written(places, "leak-anchors"), anchors, key)
+
+
+def _by_vocabulary(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates of terms of one word: prompts with a word that holds the term's.
+
+    Each different word of the prompts is compared once, with the terms whose rarest run of EDGE
+    characters (or of all, if shorter) it holds.
+    """
+    own = terms.select("term_id", F.get("_words", F.lit(0)).alias("_own"))
+    width = F.least(F.length("_own"), F.lit(EDGE))
+    cut = lambda text, n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(F.col(text), i, n))
+    asked = own.select("term_id", "_own", width.alias("_width"), F.explode(F.array_distinct(cut("_own", width))).alias("_run"))
+    shown = words.select("prompt_id", F.explode(F.array_distinct("_words")).alias("_word"))
+    widths = F.explode(F.array(*(F.lit(w) for w in range(1, EDGE + 1))))
+    runs = shown.select("_word").distinct().withColumn("_width", widths).where(F.length("_word") >= F.col("_width"))
+    runs = runs.select("_word", "_width", F.explode(F.array_distinct(cut("_word", F.col("_width")))).alias("_run"))
+    key = ["_width", "_run"]
+    runs = _written(runs.join(asked.select(*key).distinct(), key, "left_semi"), "leak-runs")
+    counts = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(counts, key).groupBy("term_id", "_own").agg(F.min(F.struct("_n", *key)).alias("_least"))
+    holding = runs.join(rarest.select("term_id", "_own", "_least._width", "_least._run"), key).where(F.contains("_word", "_own"))
+    return shown.join(holding.select("_word", "term_id"), "_word").select("prompt_id", "term_id").distinct()
 
 
 def _by_opening(lowered: DataFrame, terms: DataFrame, widths: list[int]) -> DataFrame:
-    """Candidates that share a term's opening characters, as many as the greatest width that fits."""
+    """Candidates of terms without words, by opening characters, as many as the greatest width that fits."""
     width = F.lit(0)
     for w in widths:
         width = F.when(F.length("_term") >= w, w).otherwise(width)
-    anchored = terms.select("term_id", "_term", F.left("_term", width).alias("_piece"))
+    anchored = terms.select("term_id", F.left("_term", width).alias("_piece"))
     # Overlapping character windows in one pass per width.
     windows = ", ".join(f"regexp_extract_all(_text, '(?s)(?=(.{{{w}}}))', 1)" for w in widths)
     pieces = F.expr(f"array_distinct(flatten(array({windows})))")
-    return lowered.select("prompt_id", F.explode(pieces).alias("_piece")).join(anchored, "_piece").select(
-        "prompt_id", "term_id", "_term"
-    )
+    return lowered.select("prompt_id", F.explode(pieces).alias("_piece")).join(anchored, "_piece").select("prompt_id", "term_id")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Rows that two branches read, made once."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def leak_candidates(prompts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct pairs (prompt_id, term_id) that may hold, few more than do.
+
+    A term of three words or more is looked for at the rarest of its inner words in their surroundings, one of
+    two words at their common border, and one of a single word in the vocabulary of the prompts.
+    """
+    split = _split(terms)
+    words = prompts.select("prompt_id", F.expr(_WORDS.format("lower(text)")).alias("_words"))
+    n = F.size("_words")
+    # Kinds of terms and, for those without words, powers of two up to the longest: a handful.
+    power = F.expr("cast(shiftleft(1, cast(floor(log2(length(_term))) AS int)) AS int)")
+    edge = lambda at: F.when(n == 2, F.least(F.length(F.get("_words", F.lit(at))), F.lit(EDGE)))
+    kinds = split.select(
+        F.least(n, F.lit(3)).alias("n"), F.when(n == 0, power).alias("w"), edge(0).alias("left"), edge(1).alias("right")
+    ).distinct().collect()
+    found = []
+    if any(k.n == 3 for k in kinds):
+        found.append(_by_inner_word(words, split.where(n > 2)))
+    if any(k.n == 2 for k in kinds):
+        found.append(_by_pair(words, split.where(n == 2), sorted({(k.left, k.right) for k in kinds if k.n == 2})))
+    if any(k.n == 1 for k in kinds):
+        found.append(_by_vocabulary(words, split.where(n == 1)))
+    widths = sorted(k.w for k in kinds if k.n == 0)
+    if widths:
+        lowered = prompts.select("prompt_id", F.lower("text").alias("_text"))
+        found.append(_by_opening(lowered, split.where(n == 0), widths))
+    if not found:
+        kind = terms.schema["term_id"].dataType
+        return prompts.where(F.lit(False)).select("prompt_id", F.lit(None).cast(kind).alias("term_id"))
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    return every
+
+
+def _split(terms: DataFrame) -> DataFrame:
+    rows = terms.select("term_id", F.lower("term").alias("_term")).filter("_term <> ''")
+    return rows.withColumn("_words", F.expr(_WORDS.format("_term")))
 
 
 def leak_scan(prompts: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs (prompt_id, term_id) where the prompt contains the term, case-folded.
 
-    ``prompts`` is (prompt_id, text), ``terms`` (term_id, term). A prompt and a term
-    are compared only when they share the term's rarest inner word, or, for a term of
-    one or two words, its opening characters. Both meet in equi-joins, which broadcast
-    the terms when they are few and shuffle when they are not.
+    ``prompts`` is (prompt_id, text), ``terms`` (term_id, term). Texts stay behind while anchors are matched
+    and come back for the candidates, which are compared in full.
     """
-    split = (
-        terms.select("term_id", F.lower("term").alias("_term"))
-        .filter("_term <> ''")
-        .withColumn("_words", F.expr(_WORDS.format("_term")))
-        .withColumn("_inner", F.expr("slice(_words, 2, greatest(size(_words) - 2, 0))"))
-    )
     lowered = prompts.select("prompt_id", F.lower("text").alias("_text"))
-    words = F.array_distinct(F.expr(_WORDS.format("_text")))
-    shown = lowered.select("prompt_id", F.explode(words).alias("_word"))
-    # Texts stay behind while anchors are matched and come back for the candidates.
-    candidates = _by_rarest_word(shown, split.filter("size(_inner) > 0"))
-    short = split.filter("size(_inner) = 0")
-    # Powers of two up to the length of the longest short term: a handful, whatever the terms.
-    power = F.expr("cast(shiftleft(1, cast(floor(log2(length(_term))) AS int)) AS int)")
-    widths = sorted(r["w"] for r in short.select(power.alias("w")).distinct().collect())
-    if widths:
-        candidates = candidates.unionByName(_by_opening(lowered, short, widths))
-    return (
-        candidates.join(lowered, "prompt_id")
-        .filter(F.contains("_text", "_term"))
-        .select("prompt_id", "term_id")
-    )
+    candidates = leak_candidates(prompts, terms).join(_split(terms).select("term_id", "_term"), "term_id")
+    return candidates.join(lowered, "prompt_id").filter(F.contains("_text", "_term")).select("prompt_id", "term_id")
