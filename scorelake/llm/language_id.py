@@ -3,20 +3,21 @@
 A text becomes a vector of hashed runs of one to three letters (lower-cased; everything else is a
 boundary), weighted by log frequency and inverse document frequency, with length 1. Each language
 has several centroids, found by spherical k-means among its training vectors. A text has the
-language of the centroid of greatest cosine. It is rejected if that cosine is below the centroid's
-floor: a part of the least cosines that the centroid's own training texts have.
+language of the centroid of greatest cosine. It is rejected if that cosine is below the floor for texts
+of its length: a part of the low quantile of the cosines that sampled texts of about that length have, which
+were held out from the centroids. Short texts hold few runs, so their floors are lower.
 
-Document frequencies come from all training texts. Centroids are fitted on a bounded sample,
+Document frequencies come from all training texts. Centroids are fitted on different texts of a bounded sample,
 SAMPLE_ROWS texts in all, the same number for each language as far as it has them.
 
 Defined cases: a text that is NULL or holds no letter gets `und`, score 0 and is rejected, as does
 every text if nothing could be learned. Rows without a language or a letter teach nothing.
-Repeated rows get equal results. A column of docs that has an output's name is replaced.
+Repeated rows get equal results; of centroids at equal cosines the first by language counts. Texts of any length
+are hashed whole, in pieces of PIECE code points, so memory is bounded by the text and its vector. A column of docs that has an output's name is replaced.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +35,12 @@ DIMS = 4096
 SAMPLE_ROWS = 4096
 CENTROIDS = 4
 ROUNDS = 12
-#: A centroid's floor is this part of the low quantile of its training cosines.
-FLOOR_PART, FLOOR_QUANTILE = 0.25, 0.005
+#: The floor of a length is this part of the low quantile of held-out cosines around it, of at least so many texts;
+#: below the least such length it falls by SHORTER with each halving.
+FLOOR_PART, FLOOR_QUANTILE, FLOOR_TEXTS, SHORTER = 0.7, 0.005, 20, 0.75
 #: Cosines are turned into scores over languages at this scale.
 SHARPNESS = 24.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 OUTPUTS = T.StructType(
     [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
      T.StructField("similarity", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -49,8 +50,8 @@ _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32
 
 
 def letter_counts(text: str) -> np.ndarray | None:
-    """Counts of a text's letter runs by slot; None if it has no letter."""
-    if not _LETTER.search(text):
+    """Counts of a text's letter runs by slot; None if it has no letter (Unicode category L)."""
+    if not any(map(str.isalpha, text)):
         return None
 
     def slots():
@@ -73,19 +74,45 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Centroids by row, the language and floor of each."""
+    """Centroids by row and the language of each; lengths (as logarithms) and the floors at them."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
+    lengths: np.ndarray
     floors: np.ndarray
 
+    def floor(self, counts: np.ndarray) -> np.ndarray:
+        """The least cosine that texts with these counts (by row) are accepted at."""
+        if not len(self.lengths):
+            return np.zeros(len(counts))
+        length = np.log2(counts.sum(axis=1))
+        short = np.maximum(0, self.lengths[0] - length)
+        return np.interp(length, self.lengths, self.floors) * SHORTER**short
+
+
+def _floors(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Floors of held-out texts at whole logarithms of their lengths, as far as there are enough texts around."""
+    at, floors = [], []
+    for step in np.unique(np.round(lengths)) if len(lengths) else ():
+        near = cosines[np.abs(lengths - step) <= 1]
+        if len(near) >= FLOOR_TEXTS:
+            at.append(float(step))
+            floors.append(FLOOR_PART * float(np.quantile(near, FLOOR_QUANTILE)))
+    if not at and len(lengths):
+        at, floors = [float(np.median(lengths))], [FLOOR_PART * float(np.quantile(cosines, FLOOR_QUANTILE))]
+    return np.array(at), np.array(floors)
+
 
 def clustered(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Spherical k-means; starts from rows far from one another."""
+    """Spherical k-means; starts from rows drawn in proportion to their squared distance from those drawn."""
+    rng = np.random.default_rng(7)
     chosen = [x[int(np.argmax(x @ unit_rows(x.mean(axis=0))))]]
     while len(chosen) < min(k, len(x)):
-        chosen.append(x[int(np.argmin((x @ np.array(chosen).T).max(axis=1)))])
+        far = np.clip(1 - (x @ np.array(chosen).T).max(axis=1), 0, None).astype(np.float64) ** 2
+        if far.sum() <= 1e-9:
+            break
+        chosen.append(x[int(rng.choice(len(x), p=far / far.sum()))])
     centroids = np.array(chosen)
     for _ in range(rounds):
         nearest = (x @ centroids.T).argmax(axis=1)
@@ -106,19 +133,19 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     tagged = rows.withColumn("tag", F.when(below_rate(rate, "text"), F.col("lang")))
     frequency, n, tags, vectors = learn_pass(tagged, "text", "tag", letter_counts, DIMS)
     idf = inverse_frequency(frequency, n)
-    x, names = weighted(vectors, idf), np.array(tags, object)
-    found, languages, floors = [], [], []
+    names = np.array(tags, object)
+    found, languages, lengths, cosines = [], [], [], []
     for language in sorted(set(tags)):
-        own = x[names == language]
-        means = clustered(own, centroids)
-        cosines = own @ means.T
-        nearest = cosines.argmax(axis=1)
-        for i, mean in enumerate(means):
-            near = cosines[nearest == i, i]
-            found.append(mean)
-            languages.append(language)
-            floors.append(FLOOR_PART * float(np.quantile(near, FLOOR_QUANTILE)) if len(near) else 0.0)
-    return Model(idf, np.array(found, np.float32).reshape(len(found), DIMS), languages, np.array(floors))
+        own = np.unique(vectors[names == language], axis=0)
+        held = np.arange(len(own)) % 4 == 3 if len(own) >= 8 else np.ones(len(own), bool)
+        x = weighted(own, idf)
+        means = clustered(x[~held] if len(own) >= 8 else x, centroids)
+        found.extend(means)
+        languages += [language] * len(means)
+        lengths.append(np.log2(own[held].sum(axis=1)))
+        cosines.append((x[held] @ means.T).max(axis=1))
+    joined = [np.concatenate(v) if v else np.empty(0) for v in (lengths, cosines)]
+    return Model(idf, np.array(found, np.float32).reshape(len(found), DIMS), languages, *_floors(*joined))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -134,14 +161,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             known = [i for i, c in enumerate(counts) if c is not None and languages]
             block: list[tuple] = [(UNKNOWN, 0.0, 0.0, True)] * len(counts)
             if known:
-                x = weighted(np.array([counts[i] for i in known]), model.idf)
+                held = np.array([counts[i] for i in known])
+                x, floors = weighted(held, model.idf), model.floor(held)
                 sims = x @ model.centroids.T
                 best = sims.argmax(axis=1)
                 by_language = np.stack([sims[:, of_language == j].max(axis=1) for j in range(len(languages))], axis=1)
                 odds = np.exp(SHARPNESS * (by_language - by_language.max(axis=1, keepdims=True)).astype(np.float64))
-                for i, row, b, odd in zip(known, sims, best, odds, strict=True):
+                for i, row, b, odd, floor in zip(known, sims, best, odds, floors, strict=True):
                     block[i] = (
-                        model.languages[b], round(min(1.0, float(1.0 / odd.sum())), 6), round(float(row[b]), 5), bool(row[b] < model.floors[b])
+                        model.languages[b], round(min(1.0, float(1.0 / odd.sum())), 6), round(float(row[b]), 5), bool(row[b] < floor)
                     )
             for out, values in zip((preds, scores, cosines, rejected), zip(*block, strict=True), strict=True):
                 out.extend(values)

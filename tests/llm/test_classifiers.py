@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from scorelake.llm import language_id, language_model, quality
 
@@ -48,6 +49,33 @@ def test_language_rejects_what_is_far(spark):
     assert far.first().rejected
 
 
+_OTHERS = (
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+)
+
+
+def test_language_rejects_noise_and_unlearned_languages_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = language_id.fit(docs.where(fold != 1))
+    held = language_id.identify(docs.where(fold == 1).where("lang IS NOT NULL AND text IS NOT NULL"), model)
+    clean, wrong, n = held.agg(F.sum(F.col("rejected").cast("int")), F.sum((F.col("lang") != F.col("lang_pred")).cast("int")), F.count(F.lit(1))).first()
+    assert clean <= 0.01 * n and wrong <= 0.02 * n
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.choice((5, 20, 100, 300)))) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate([*noise, *_OTHERS])]
+    assert all(r.rejected for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect())
+
+
+def test_language_needs_letters(spark):
+    docs = _docs(spark)
+    model = language_id.fit(docs)
+    rows = [(1, "²½ Ⅷ ¾"), (2, "12_3"), (3, "ª"), (4, "ab " * 200000 + "é")]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred == "und" for i in (1, 2, 3, 4)] == [True, True, False, False]
+
+
 def test_nothing_to_learn(spark):
     docs = _docs(spark)
     model = language_id.fit(docs.where("false"))

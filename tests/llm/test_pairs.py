@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.llm import ann, near_dedup
 
@@ -150,3 +151,16 @@ def test_nearest_equals_brute_force(spark, blocks):
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).collect() == []
+
+
+@pytest.mark.parametrize(("bits", "most"), [(12, 1 << 27), (12, 1 << 15), (1 << 40, 1 << 15)])
+def test_key_filters_never_miss(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(near_dedup, "KEY_BITS", bits)
+    monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+    keys = spark.range(5000).select(F.xxhash64(F.col("id") * 3).alias("h")).union(spark.range(1).select(F.xxhash64(F.lit(None).cast("long"))))
+    among = near_dedup.may_be_among(F.xxhash64("k"), keys)
+    rows = spark.range(30000).select(F.when(F.col("id") > 0, F.col("id")).alias("k")).withColumn("among", among)
+    passed = {r.k for r in rows.where("among").collect()}
+    assert passed >= {None, *range(3, 15000, 3)}
+    if bits == 12 and most > 1 << 15:
+        assert len(passed) < 5600
