@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,8 +41,8 @@ MATCHES = 32
 CHUNK, CHUNK_ROOT = 256, 8
 #: Sets of a block when links are confirmed (two blocks meet in a matrix), and pairs that are counted at once.
 BLOCK, PAIRS = 512, 1 << 20
-#: Bits of a key filter: per key, a power of two in all, and at most; and bits that a key sets.
-KEY_BITS, MOST_BITS, PROBES = 12, 1 << 27, 5
+#: Bits of a key filter: per key, a power of two in all, and at most.
+KEY_BITS, MOST_BITS = 16, 1 << 27
 _PAGE = 1 << 15
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
@@ -109,42 +108,26 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
-def _bit(hashed: Column, probe: int, bits: int) -> Column:
-    """The place of one of a hash's bits in a filter."""
-    first, step = hashed.bitwiseAND(0x7FFFFFFF), F.shiftrightunsigned(hashed, 33).bitwiseOR(1)
-    return (first + step * probe).bitwiseAND(bits - 1)
+def with_among(rows: DataFrame, flag: str, hashed: Column, keys: DataFrame) -> DataFrame:
+    """rows with a column flag: false only where a hash is not in the column `h` of keys; true for all of those and few others.
 
-
-def may_be_among(hashed: Column, keys: DataFrame) -> Column:
-    """False only for hashes that are not in the column `h` of keys; True for all of those and few others.
-
-    A filter of MOST_BITS bits at most goes to all tasks. Where the keys are too many for it, more is True, in
-    the end everything.
+    Keys set a bit each in pages of bits; the pages, MOST_BITS bits in all at most, go to all tasks. Where keys are
+    too many for them, more and more is true, in the end everything.
     """
     n = keys.count()
     bits = min(MOST_BITS, max(_PAGE, 1 << (KEY_BITS * n).bit_length()))
-    if KEY_BITS * n > 8 * MOST_BITS:
-        return F.lit(True)
-    places = keys.select(F.explode(F.array(*(_bit(F.col("h"), k, bits) for k in range(PROBES)))).alias("place"))
-    pages = places.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("page")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("part")
-    )
-    field = np.zeros(bits // 8, np.uint8)
-    for row in pages.collect():
-        field[(row.page - 1) * _PAGE // 8 : row.page * _PAGE // 8] = np.frombuffer(row.part, np.uint8)
-    sent = keys.sparkSession.sparkContext.broadcast(field)
-
-    @F.pandas_udf("boolean")
-    def among(h: pd.Series) -> pd.Series:
-        value = h.to_numpy().view(np.uint64)
-        first, step = value & np.uint64(0x7FFFFFFF), (value >> np.uint64(33)) | np.uint64(1)
-        found = np.ones(len(value), bool)
-        for k in range(PROBES):
-            place = (first + step * np.uint64(k)) & np.uint64(bits - 1)
-            found &= ((sent.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-        return pd.Series(found)
-
-    return among(hashed)
+    if n > MOST_BITS:
+        return rows.withColumn(flag, F.lit(True))
+    place = F.col("h").bitwiseAND(bits - 1) + 1
+    pages = keys.groupBy(F.bitmap_bucket_number(place).alias("__page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    at = hashed.bitwiseAND(bits - 1)
+    placed = rows.withColumn("__at", at).withColumn("__page", F.col("__at").bitwiseAND(-_PAGE) / _PAGE + 1)
+    placed = placed.withColumn("__page", F.col("__page").cast("long"))
+    joined = placed.join(F.broadcast(pages), "__page", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__at % {_PAGE}) / 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("cast(__at % 8 AS int)")
+    held = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), bit + 1)) > 0
+    return joined.withColumn(flag, F.coalesce(held, F.lit(False))).drop("__page", "__at", "__bits")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[list]]:
@@ -369,7 +352,8 @@ def links_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, width:
     wanted = _written(wanted, "wanted")
     texts = docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text"))
     # Only texts of retained classes are shuffled, and few others.
-    texts = texts.where(may_be_among(F.xxhash64("first_id"), wanted.select(F.xxhash64("first_id").alias("h"))))
+    keys = wanted.select(F.xxhash64("first_id").alias("h"))
+    texts = with_among(texts, "among", F.xxhash64("first_id"), keys).where("among").drop("among")
     rows = texts.join(wanted, texts["first_id"].eqNullSafe(wanted["first_id"]))
     keys = ("bucket", "low", "high")
     sets = _sets_of(rows, width).repartition(*keys).sortWithinPartitions(*keys)
@@ -444,8 +428,8 @@ def keep_one(
     decided = _written(decided, "decided")
     texts = docs.withColumn("__own", F.xxhash64(F.col(text)))
     # Rows that no decision can touch stay where they are; the others meet the decisions.
-    touched = may_be_among(F.xxhash64(F.col(doc_id).cast("long"), "__own"), decided.select(F.xxhash64("__id", "__hash").alias("h")))
-    texts = texts.withColumn("__touched", touched)
+    keys = decided.select(F.xxhash64("__id", "__hash").alias("h"))
+    texts = with_among(texts, "__touched", F.xxhash64(F.col(doc_id).cast("long"), "__own"), keys)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
     joined = texts.where("__touched").join(decided, same, "left")
     single = texts.where("NOT __touched").unionByName(joined.where(F.col("__leads").isNull()), allowMissingColumns=True).select(*docs.columns)

@@ -153,14 +153,15 @@ def test_no_vectors(spark):
     assert ann.nearest(df, df).collect() == []
 
 
-@pytest.mark.parametrize(("bits", "most"), [(12, 1 << 27), (12, 1 << 15), (1 << 40, 1 << 15)])
+@pytest.mark.parametrize(("bits", "most"), [(16, 1 << 27), (16, 1 << 15), (1 << 40, 1 << 12)])
 def test_key_filters_never_miss(spark, monkeypatch, bits, most):
     monkeypatch.setattr(near_dedup, "KEY_BITS", bits)
     monkeypatch.setattr(near_dedup, "MOST_BITS", most)
     keys = spark.range(5000).select(F.xxhash64(F.col("id") * 3).alias("h")).union(spark.range(1).select(F.xxhash64(F.lit(None).cast("long"))))
-    among = near_dedup.may_be_among(F.xxhash64("k"), keys)
-    rows = spark.range(30000).select(F.when(F.col("id") > 0, F.col("id")).alias("k")).withColumn("among", among)
-    passed = {r.k for r in rows.where("among").collect()}
+    rows = spark.range(30000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    passed = {r.k for r in near_dedup.with_among(rows, "among", F.xxhash64("k"), keys).where("among").collect()}
     assert passed >= {None, *range(3, 15000, 3)}
-    if bits == 12 and most > 1 << 15:
-        assert len(passed) < 5600
+    if most == 1 << 27:
+        assert len(passed) < 7000
+    none = near_dedup.with_among(rows, "among", F.xxhash64("k"), keys.where("false"))
+    assert none.columns == ["k", "among"] and (most < 5000 or none.where("among").count() == 0)
