@@ -13,6 +13,7 @@ from scorelake.functions.judging import request_key
 from scorelake.functions.values import round_half_even
 from scorelake.operators import attempts, planning, rejudge
 from scorelake.plans import scoring
+from scorelake.sources.workspace import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -128,6 +129,24 @@ SQL["plan_tasks"] = with_bindings(
 )
 
 
+def planned_rows(spark, sf_dir):
+    """The whole plan written as rows, and a checksum of its keys per model."""
+    samples = bindings.samples(spark, sf_dir).select("track", "sample_id")
+    path = new_folder(spark, "plan")
+    planning.plan_tasks(bindings.models(spark, sf_dir).where("NOT skip_by_default"), samples, trials=2).write.parquet(path)
+    key = F.md5(F.concat_ws("/", "model_slug", "track", "sample_id", F.col("trial").cast("string")))
+    number = F.conv(F.left(key, F.lit(8)), 16, 10).cast("long")
+    return spark.read.parquet(path).groupBy("model_slug").agg(F.count(F.lit(1)).alias("n_tasks"), F.sum(number).alias("checksum"))
+
+
+SQL["planned_rows"] = with_bindings(
+    "models samples",
+    """SELECT slug AS model_slug, count(*) AS n_tasks,
+         CAST(sum(CAST('0x' || left(md5(concat_ws('/', slug, track, sample_id, CAST(trial AS VARCHAR))), 8) AS BIGINT)) AS BIGINT) AS checksum
+       FROM v_models, v_samples, (SELECT unnest([0, 1]) AS trial) WHERE NOT skip_by_default GROUP BY 1""",
+)
+
+
 def plan_limited_tasks(spark, sf_dir):
     """Task rows with three samples per track."""
     samples = bindings.samples(spark, sf_dir).select("track", "sample_id")
@@ -405,7 +424,7 @@ SQL["next_round"] = with_bindings(
 
 for _fn in (
     select_default_models, select_listed_models, model_labels, unknown_models, select_tracks,
-    headline_rows, first_samples, plan_tasks, plan_limited_tasks, total_tasks, resume_tasks,
+    headline_rows, first_samples, plan_tasks, planned_rows, plan_limited_tasks, total_tasks, resume_tasks,
     pending_responses, base_projection, responses_with_samples, unknown_samples, price_join,
     rounded_usage, prompt_hashes, chat_messages, token_estimates, request_keys, build_prompts,
     attempt_rollup, first_passing_attempt, next_round,

@@ -159,6 +159,26 @@ SQL["report_files"] = with_bindings(
 )
 
 
+def manifest_report(spark, sf_dir):
+    """Report tables of two runs, each headed by its own manifest, which is written and read back."""
+    path = new_folder(spark, "manifests")
+    for run, judge, shots in (("r1", "judge-1", 3), ("r2", "judge-2", 1)):
+        registry.write_manifest(registry.manifest(spark, {"run_id": run, "judge_model": judge, "shots": shots, "tracks": ["e2e_ui"]}), f"{path}/{run}")
+    heads = registry.read_manifest(spark, f"{path}/*")
+    runs = _rounded(spark, sf_dir).withColumn("run_id", F.explode(F.array(F.lit("r1"), F.lit("r2"), F.lit("r3"))))
+    tables = compare.report_tables(runs, heads)
+    return tables.select("run_id", "track", "position", "model_slug", "run.judge_model", "run.shots", F.element_at("run.tracks", 1).alias("first_track"))
+
+
+SQL["manifest_report"] = with_bindings(
+    "scored",
+    f"""WITH {metric_sql.SUMMARY.strip()}, shown AS (SELECT {_ROUNDED} FROM summary), heads AS (
+          SELECT * FROM (VALUES ('r1', 'judge-1', 3, 'e2e_ui'), ('r2', 'judge-2', 1, 'e2e_ui'), ('r3', NULL, NULL, NULL)) AS h(run_id, judge_model, shots, first_track))
+        SELECT run_id, track, row_number() OVER (PARTITION BY run_id, track ORDER BY composite DESC NULLS LAST, model_slug) AS position, model_slug,
+          judge_model, CAST(shots AS INTEGER) AS shots, first_track FROM shown, heads""",
+)
+
+
 def run_manifest(spark, sf_dir):
     """A manifest with the planned total and prompt hashes, written and read back."""
     path = new_folder(spark, "manifest")
@@ -335,7 +355,7 @@ SELECT day, count(*) AS n_events,
 FROM kept GROUP BY day"""
 
 for _fn in (
-    unique_stream_keys, unique_events, versioned_rewrite, jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files,
+    unique_stream_keys, unique_events, versioned_rewrite, jsonl_facts, sparse_rewrite, run_partitions, csv_summary, list_runs, one_run, report_files, manifest_report,
     run_manifest, unique_keys, running_summary, rescored_rows,
 ):
     QUERIES[_fn.__name__] = _fn

@@ -12,6 +12,7 @@ from scorelake.catalog import bindings, metric_sql
 from scorelake.catalog.bindings import with_bindings
 from scorelake.functions.values import number, truth
 from scorelake.operators import compare, metrics, summary
+from scorelake.operators.opaque import Opaque
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -226,6 +227,25 @@ SQL["leaderboard"] = _over_summary(
 )
 
 
+def opaque_metric(spark, sf_dir):
+    """A metric in Python beside one of the registry: how many times the dearest run costs the cheapest."""
+    spread = Opaque(
+        ("cost",),
+        lambda rows: (rows["cost"].min(), rows["cost"].max()),
+        lambda a, b: (min(a[0], b[0]), max(a[1], b[1])),
+        lambda state: state[1] / state[0] if state[0] else None,
+    )
+    return metrics.metric_table(bindings.scored(spark, sf_dir), ["recall", "cost_spread"], {"cost_spread": spread})
+
+
+SQL["opaque_metric"] = with_bindings(
+    "scored",
+    """WITH leveled AS (SELECT * FROM v_scored UNION ALL SELECT * REPLACE ('ALL' AS track) FROM v_scored)
+       SELECT model_slug, track, 1.0 - sum(mutants_surviving) / nullif(sum(mutants_total), 0) AS recall, max(cost) / min(cost) AS cost_spread
+       FROM leveled GROUP BY 1, 2""",
+)
+
+
 def summary_ranks(spark, sf_dir):
     """Position of every summary row in the written order."""
     from pyspark.sql import Window as W
@@ -245,6 +265,6 @@ SQL["summary_ranks"] = _over_summary(
 for _fn in (
     sum_ratio, numeric_coercion, three_state_truth, sample_counts, correctness_by_track,
     headline_composite, trial_spread, headline_spread, summarize, summarize_rounded, tiers,
-    overall_rollup, leaderboard, summary_ranks,
+    overall_rollup, leaderboard, summary_ranks, opaque_metric,
 ):
     QUERIES[_fn.__name__] = _fn

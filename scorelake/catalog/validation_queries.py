@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake import fixed_values as fixed
 from scorelake.catalog import bindings
 from scorelake.catalog.bindings import with_bindings
 from scorelake.operators import validation
+from scorelake.plans import scoring
 from scorelake.sources import datasets, golden
 
 QUERIES: dict = {}
@@ -112,6 +114,25 @@ SQL["error_audit"] = with_bindings(
 )
 
 
+def captured_errors(spark, sf_dir):
+    """Errors of a user's scorer, which fails on some rows, and what it gives on the others."""
+    outputs = T.StructType([T.StructField("tokens_per_try", T.LongType())])
+    scorer = scoring.captured("tries", lambda row: {"tokens_per_try": row["tokens_out"] // row["attempts"]}, ["tokens_out", "attempts"], outputs)
+    rows = scorer(bindings.responses(spark, sf_dir).select("model_slug", "track", "tokens_out", "attempts"))
+    audit = validation.error_audit(rows)
+    totals = rows.groupBy("model_slug", "track").agg(F.sum("tokens_per_try").alias("tokens_per_try"), F.min("tries_error").alias("first_error"))
+    return audit.join(totals, ["model_slug", "track"])
+
+
+SQL["captured_errors"] = with_bindings(
+    "responses",
+    """SELECT model_slug, track, count(*) AS n_rows, count(*) FILTER (attempts = 0) AS n_tries_error,
+         CAST(sum(tokens_out // nullif(attempts, 0)) AS BIGINT) AS tokens_per_try,
+         CASE WHEN count(*) FILTER (attempts = 0) > 0 THEN 'ZeroDivisionError: integer division or modulo by zero' END AS first_error
+       FROM v_responses GROUP BY 1, 2""",
+)
+
+
 def _prompted(spark, sf_dir):
     rows = bindings.table(spark, sf_dir, "lineitem").withColumn("track", bindings._track("l_orderkey"))
     changed = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "A")
@@ -332,7 +353,7 @@ SELECT track, text, left(sha256(text), 12) AS prompt_hash FROM t"""
 
 for _fn in (
     labelled_verdicts, label_agreement, label_confusion, rank_correlation, event_rank_correlation,
-    average_ranks, error_audit, prompt_usage, prompt_drift, leak_scan, short_leaks, prompt_leaks, label_sheets,
+    average_ranks, error_audit, captured_errors, prompt_usage, prompt_drift, leak_scan, short_leaks, prompt_leaks, label_sheets,
     assembled_samples, assembled_shapes, key_sheets, prompt_texts,
 ):
     QUERIES[_fn.__name__] = _fn

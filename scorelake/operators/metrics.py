@@ -348,8 +348,18 @@ def sample_counts(scored: DataFrame) -> DataFrame:
 def metric_table(
     scored: DataFrame, names: Iterable[str], metrics: dict[str, Metric] | None = None
 ) -> DataFrame:
-    """Chosen metrics per (model, track) and pooled per model."""
+    """Chosen metrics per (model, track) and pooled per model.
+
+    An entry of ``metrics`` is a function of the statistics, or an ``opaque.Opaque`` metric over rows.
+    """
+    from scorelake.operators.opaque import Opaque, opaque_table
+
     names = list(names)
+    opaque = {n: m for n, m in (metrics or {}).items() if isinstance(m, Opaque)}
+    if opaque.keys() & set(names):
+        plain = metric_table(scored, [n for n in names if n not in opaque], {n: m for n, m in metrics.items() if n not in opaque})
+        own = opaque_table(scored, {n: opaque[n] for n in names if n in opaque})
+        return plain.join(own, ["model_slug", "track"], "left").select("model_slug", "track", *names)
     stats = Stats(scored.columns, metrics).use_all(names)
     keyed = scored.filter(F.col("model_slug").isNotNull())
     grouped = keyed.groupBy("model_slug", "track").agg(*stats.aggregates(scored))

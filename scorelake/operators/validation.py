@@ -11,9 +11,6 @@ from scorelake.sources.workspace import new_folder
 # The three-level scale of the labels.
 LEVELS = (("yes", 1.0), ("partial", 0.5), ("no", 0.0))
 
-#: Distinct values that one task ranks, about.
-BUCKET_VALUES = 262144
-
 
 def level(word: Column) -> Column:
     """A label word as a grade; other words are NULL."""
@@ -50,23 +47,15 @@ def confusion(pairs: DataFrame, human: str, auto: str) -> DataFrame:
 def average_ranks(counts: DataFrame, value: str, weight: str) -> DataFrame:
     """Average-tie rank of every distinct value, from (value, weight) counts.
 
-    A global rank would sort everything in one task. Values go to ordered buckets
-    instead: ranks run inside a bucket, and a bucket starts where the sizes of the
-    buckets below it end. The bucket bounds are quantiles, as many as the distinct
-    values need, read once, so every use of them is the same even when tasks are repeated.
+    A global rank would sort everything in one task. Values are dealt to range partitions, whose numbers are
+    written with them, so that they stay the same when tasks are repeated: ranks run inside a partition, and
+    a partition starts where the sizes of those before it end. The plan is the same for any number of values.
     """
     totals = counts.groupBy(value).agg(F.sum(weight).alias("_ties"))
-    n_buckets = max(1, -(-totals.count() // BUCKET_VALUES))
-    steps = [i / n_buckets for i in range(1, n_buckets)]
-    bounds: list = []
-    if steps:
-        cut = F.percentile_approx(value, steps, F.lit(max(10_000, 100 * n_buckets)))
-        bounds = sorted(set(totals.agg(cut.alias("bounds")).first()["bounds"] or []))
-    listed = ", ".join(f"{b!r}D" if isinstance(b, float) else f"{b}" for b in bounds)
-    below = f"size(filter(array({listed}), b -> b < `{value}`))" if bounds else "0"
-    bucketed = totals.withColumn("_bucket", F.expr(below))
+    dealt = totals.repartitionByRange(value).withColumn("_bucket", F.spark_partition_id())
+    bucketed = _written(dealt, "rank-ranges")
     sizes = bucketed.groupBy("_bucket").agg(F.sum("_ties").alias("_size"))
-    # At most one row per bucket, so this window is bounded.
+    # One row per partition, so this window is bounded.
     before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(
         "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")

@@ -10,10 +10,17 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for checkpoints; where it names none, one in its warehouse.
 
-    Both are reachable by every executor. A folder that only one machine sees is never taken.
+    A folder that only one machine sees is never taken: a warehouse on a local disk, which is the default,
+    serves only where all of Spark runs on that machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and (warehouse.startswith("file:") or "://" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_shared"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -170,12 +170,20 @@ def test_report_heads_follow_their_run(spark):
     assert got == {("r1", "m"): (1, "one"), ("r2", "n"): (1, "two"), ("r2", "m"): (2, "two")}
 
 
-def test_ranks_do_not_depend_on_buckets(spark, monkeypatch):
+def test_ranks_do_not_depend_on_ranges(spark):
     values = [(float(v % 37), 1) for v in range(400)] + [(float("inf"), 2), (-5.0, 3)]
     df = spark.createDataFrame(values, "x double, n long")
-    whole = sorted(map(tuple, validation.average_ranks(df, "x", "n").collect()))
-    monkeypatch.setattr(validation, "BUCKET_VALUES", 5)
-    assert sorted(map(tuple, validation.average_ranks(df, "x", "n").collect())) == whole
+    found = []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for partitions in (1, 5, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(sorted(map(tuple, validation.average_ranks(df, "x", "n").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 39
 
 
 def test_text_queries_reach_every_branch(spark):

@@ -16,13 +16,13 @@ from scorelake.operators.summary import summarize
 from scorelake.plans import scoring
 
 SPANS = [
-    ({"line": 9}, (9, 9)),
-    ({"start_line": 8, "end_line": 10}, (8, 10)),
-    ({"start_line": 10, "end_line": 8}, (8, 10)),
-    ({"start_line": "8"}, (8, 8)),
+    ({"line": 23}, (23, 23)),
+    ({"start_line": 19, "end_line": 26}, (19, 26)),
+    ({"start_line": 31, "end_line": 17}, (17, 31)),
+    ({"start_line": "22"}, (22, 22)),
     ({"end_line": 4, "line": 1}, (4, 4)),
     ({"line": True}, (-1, -1)),
-    ({"line": 9.0}, (-1, -1)),
+    ({"line": 23.0}, (-1, -1)),
     ({"line": " 7 "}, (7, 7)),
     ({"line": "x"}, (-1, -1)),
     ({"line": -3}, (-3, -3)),
@@ -32,7 +32,7 @@ SPANS = [
 
 def test_spans(spark):
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(SPANS)], "i int, parsed string")
-    hits = localize.with_hits(localize.with_span(df), F.array(F.lit(9)))
+    hits = localize.with_hits(localize.with_span(df), F.array(F.lit(23)))
     got = {r.i: r for r in hits.collect()}
     assert [(got[i].predicted_line, got[i].predicted_end_line) for i in range(len(SPANS))] == [s for _, s in SPANS]
     assert got[0].localized and got[1].localized and not got[3].localized
@@ -46,7 +46,7 @@ PATCHES = [
     ({"line": 2, "proposed_fix": "  done()"}, "a\n  done()\nc\n"),
     ({"start_line": 2, "end_line": 3, "proposed_fix": "x\ny"}, "a\nx\ny\n"),
     ({"line": 2, "proposed_fix": ""}, "a\n    \nc\n"),
-    ({"line": 9, "proposed_fix": "x"}, None),
+    ({"line": 14, "proposed_fix": "x"}, None),
     ({"line": 2, "proposed_fix": 5}, None),
     ({"line": 2}, None),
 ]
@@ -84,7 +84,7 @@ def test_transient(spark):
 
 
 SCORES = [
-    ('{"score": 0.8, "rationale": "good"}', 0.8, "good"),
+    ('{"score": 0.375, "rationale": "fair"}', 0.375, "fair"),
     ('{"score": 7}', 1.0, ""),
     ('{"score": -1}', 0.0, ""),
     ('{"score": true}', 1.0, ""),
@@ -155,7 +155,7 @@ def _logs(spark):
 
 def _replies(spark, rows):
     requests = rejudge.judge_requests(rows, "j")
-    return requests.select("request_key", F.lit('{"score": 0.8, "rationale": "ok", "hallucinated": false, "readability": {"score": 1.0, "note": "n"}}').alias("reply"))
+    return requests.select("request_key", F.lit('{"score": 0.625, "rationale": "ok", "hallucinated": false, "readability": {"score": 1.0, "note": "n"}}').alias("reply"))
 
 
 def _parsed(spark):
@@ -173,9 +173,9 @@ def test_whole_flow(spark, rows):
     unit, bug, design = got["unit_test_gen"], got["bug_localization"], got["test_case_design"]
     assert unit["attempts"] == 1  # a zero becomes one
     assert unit["passed"] and unit["mutants_surviving"] == 1 and unit["static_parses"] is True
-    assert unit["design_judge"] == 0.8 and unit["hallucinated"] is False
+    assert unit["design_judge"] == 0.625 and unit["hallucinated"] is False
     assert bug["localized"] and bug["repair_passed"] and bug["passed"]
-    assert bug["explanation_judge"] == 0.8 and bug["design_judge"] is None
+    assert bug["explanation_judge"] == 0.625 and bug["design_judge"] is None
     assert design["passed"] is True and design["design_note"] == "ok"
     ui, advanced = got["e2e_ui"], got["e2e_advanced"]
     assert ui["e2e_ran"] and not ui["passed"] and ui["selectors_robust"] and ui["uses_network"] is None
@@ -204,6 +204,6 @@ def test_rejudge_refreshes_only_judges(spark, rows):
     fresh = scoring.refresh_judgements(stale, responses, _samples(spark), replies, "j")
     assert "score_design_error" not in fresh.columns
     got = {r["track"]: r for r in rows(fresh)}
-    assert got["unit_test_gen"]["design_judge"] == 0.8 and got["unit_test_gen"]["recall_kept"] == 0.5
+    assert got["unit_test_gen"]["design_judge"] == 0.625 and got["unit_test_gen"]["recall_kept"] == 0.5
     assert got["e2e_ui"]["design_judge"] is None
     assert got["test_case_design"]["passed"] is True
