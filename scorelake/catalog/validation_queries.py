@@ -11,6 +11,7 @@ from scorelake.catalog.bindings import with_bindings
 from scorelake.operators import validation
 from scorelake.plans import scoring
 from scorelake.sources import datasets, golden
+from scorelake.sources.workspace import new_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -281,12 +282,15 @@ _FILES = {
 }
 
 
-def assembled_shapes(spark, sf_dir):
-    """Samples of all six shapes assembled from their files, one per document."""
+def _shape_files(spark, sf_dir):
+    """The files of a sample per document, of all six shapes."""
     docs = bindings.table(spark, sf_dir, "documents").withColumn("track", bindings._track("doc_id"))
     named = F.array(*(F.struct(F.lit(t).alias("of"), F.lit(n).alias("relpath"), F.expr(text).alias("text")) for t, files in _FILES.items() for n, text in files))
-    files = docs.select("track", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.inline(named)).filter("of = track").drop("of")
-    samples = datasets.assemble_samples(files)
+    files = docs.select("track", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("sample_id"), F.inline(named))
+    return files.filter("of = track").drop("of")
+
+
+def _shown_shapes(samples):
     return samples.select(
         "track", "sample_id", "language", "payload.source", "payload.module_name", F.array_join("payload.mutants", "|").alias("mutants"),
         F.array_join(F.col("payload.fault_lines").cast("array<string>"), "|").alias("faults"), "payload.symptom", "payload.test", "payload.requirement",
@@ -295,6 +299,27 @@ def assembled_shapes(spark, sf_dir):
     )
 
 
+def assembled_shapes(spark, sf_dir):
+    """Samples of all six shapes assembled from their files, one per document."""
+    return _shown_shapes(datasets.assemble_samples(_shape_files(spark, sf_dir)))
+
+
+def sample_folders(spark, sf_dir):
+    """The same samples through a folder each: their files written, listed and read back."""
+    root = new_folder(spark, "samples")
+    datasets.write_sample_files(_shape_files(spark, sf_dir), root)
+    return _shown_shapes(datasets.read_samples(spark, root))
+
+
+def prompt_folder(spark, sf_dir):
+    """Prompt files, one per document, written and read back with name and hash."""
+    root = new_folder(spark, "prompts")
+    path = F.concat(F.lit("t"), F.col("doc_id").cast("string"), F.lit(".md"))
+    docs = bindings.table(spark, sf_dir, "documents")
+    datasets.write_texts(docs.select(path.alias("path"), F.concat(F.lit("\n"), "text", F.lit(" \n")).alias("text")), root)
+    return datasets.read_prompts(spark, root)
+
+
 _URLS = " ".join(f"WHEN '{t}' THEN '{url}'" for t, url in fixed.DEFAULT_BASE_URL.items())
 SQL["assembled_shapes"] = f"""
 WITH d AS (SELECT *, doc_id % 6 AS k, (['unit_test_gen','bug_localization','test_case_design','e2e_ui','e2e_advanced','e2e_repair'])[doc_id % 6 + 1] AS track FROM documents)
@@ -308,6 +333,9 @@ SELECT track, 'd' || doc_id AS sample_id, CASE WHEN k < 2 THEN 'python' WHEN k =
 FROM d"""
 
 
+SQL["sample_folders"] = SQL["assembled_shapes"]
+
+
 def assembled_samples(spark, sf_dir):
     """Unit-test samples assembled from dataset files, four files to a document."""
     docs = bindings.table(spark, sf_dir, "documents")
@@ -351,9 +379,11 @@ SQL["prompt_texts"] = r"""
 WITH t AS (SELECT 't' || doc_id AS track, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text FROM documents)
 SELECT track, text, left(sha256(text), 12) AS prompt_hash FROM t"""
 
+SQL["prompt_folder"] = SQL["prompt_texts"]
+
 for _fn in (
     labelled_verdicts, label_agreement, label_confusion, rank_correlation, event_rank_correlation,
     average_ranks, error_audit, captured_errors, prompt_usage, prompt_drift, leak_scan, short_leaks, prompt_leaks, label_sheets,
-    assembled_samples, assembled_shapes, key_sheets, prompt_texts,
+    assembled_samples, assembled_shapes, sample_folders, key_sheets, prompt_texts, prompt_folder,
 ):
     QUERIES[_fn.__name__] = _fn

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Datasets are folders of small files; at this cost a task opens up to 512 of them.
+    "spark.sql.files.openCostInBytes": "256k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # The JVM does not compile methods above 8000 bytes of bytecode. Wide projections

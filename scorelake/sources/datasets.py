@@ -2,18 +2,64 @@
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake import fixed_values as fixed
 from scorelake import schemas
 from scorelake.functions.values import decoded, strip
+from scorelake.sources.workspace import qualified
 
 _FILE = r"([^/]+)/([^/]+)/(mutants/[^/]+|[^/]+)$"
 
 
+def write_texts(rows: DataFrame, root: str) -> int:
+    """Writes a text file per row (path, text) below a folder that executors reach; returns how many.
+
+    A file is written under a hidden name, which no reader lists, and then renamed, so a task that is repeated
+    replaces whole files by the same ones. A path that leaves the folder is an error; a NULL text is an empty file.
+    """
+    uri = qualified(rows.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else f"file://{uri[5:]}")
+        attempt, made = TaskContext.get().taskAttemptId(), set()
+        for batch in batches:
+            for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = posixpath.normpath(name)
+                if path.startswith(("/", "..")):
+                    raise ValueError(f"{name} is outside the folder")
+                folder, file = posixpath.split(f"{base}/{path}")
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{folder}/.{file}.{attempt}") as out:
+                    out.write((text or "").encode())
+                if system.type_name != "local" and system.get_file_info(f"{folder}/{file}").type != pafs.FileType.NotFound:
+                    system.delete_file(f"{folder}/{file}")
+                system.move(f"{folder}/.{file}.{attempt}", f"{folder}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select("path", "text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_sample_files(files: DataFrame, root: str) -> int:
+    """Writes dataset files (track, sample_id, relpath, text), a folder per sample; returns how many."""
+    return write_texts(files.select(F.concat_ws("/", "track", "sample_id", "relpath").alias("path"), "text"), root)
+
+
 def read_sample_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every dataset file below ``root/<track>/<sample>/`` as (track, sample_id, relpath, text)."""
+    """Every dataset file below ``root/<track>/<sample>/`` as (track, sample_id, relpath, text).
+
+    A task reads as many files as ``spark.sql.files.openCostInBytes`` lets it: hundreds with the settings of
+    ``session``, for which small files are cheap to open.
+    """
     files = (
         spark.read.option("recursiveFileLookup", True)
         .text(root, wholetext=True)

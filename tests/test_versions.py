@@ -108,3 +108,17 @@ def test_late_rows_and_old_state_go(spark, tmp_path):
     assert deliver((1, day(1)), (2, day(2)), (2, day(2)), (3, day(10))) == 1  # days 1 and 2 are forgotten
     assert deliver((3, day(10)), (4, day(12)), (5, day(3))) == 2  # a repeat, a new one, a late one
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_text_files_are_replaced_whole(spark, tmp_path):
+    from scorelake.sources import datasets
+
+    root = str(tmp_path / "files")
+    rows = spark.createDataFrame([("a/b/x.md", "one"), ("a/c/ü y.md", None), ("z.md", "three")], "path string, text string")
+    assert datasets.write_texts(rows.repartition(2), root) == 3
+    assert datasets.write_texts(rows.where("path = 'z.md'").withColumn("text", F.lit("3")), root) == 1
+    found = sorted((str(p.relative_to(root)), p.read_text()) for p in (tmp_path / "files").rglob("*.md"))
+    assert found == [("a/b/x.md", "one"), ("a/c/ü y.md", ""), ("z.md", "3")]
+    with pytest.raises(Exception, match="outside"):
+        datasets.write_texts(spark.createDataFrame([("../x", "t")], "path string, text string"), root)
+    assert datasets.write_texts(rows.limit(0), root) == 0
