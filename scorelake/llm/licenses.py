@@ -9,6 +9,9 @@ the better priority, then the earlier rule, wins. What is left gives the documen
 
 Beside these, the base phrases are counted in every document whatever the rules suppress.
 
+A row is worked on in memory as one text with its matches; the work grows with the text, and with the matches
+times their root.
+
 Defined cases: NULL and empty texts have no words, no labels and score 0; repeated rows get equal
 results, as each row is treated alone; columns of docs that have an output's name are replaced.
 """
@@ -186,30 +189,75 @@ def written(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), f"{_APART}++", " "))
 
 
-def _matches(words: Column, rule: Column) -> Column:
-    """A rule's matches as (start, end, rule) in characters of the written words."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
+def _running(items: Column, zero: Column, advance, emit, out_type: str) -> Column:
+    """emit(state, item) of every item, where advance(state, item) carries a state of fixed size from item to item.
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("found"),
+    Items go in blocks of about the root of their number, so an array that grows is never longer than that:
+    the work is the number of items times its root, in one row without a shuffle.
+    """
+
+    def blocked(blocks: Column) -> Column:
+        empty = F.array().cast(f"array<{out_type}>")
+        whole = F.struct(zero.alias("at"), F.slice(F.array(zero), 1, 0).alias("starts"))
+        starts = F.aggregate(
+            blocks, whole,
+            lambda s, block: F.struct(
+                F.aggregate(block, s["at"], advance).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")
+            ),
+            lambda s: s["starts"],
         )
 
+        def inside(block: Column, start: Column) -> Column:
+            return F.aggregate(
+                block, F.struct(start.alias("at"), empty.alias("out")),
+                lambda s, x: F.struct(
+                    advance(s["at"], x).alias("at"), F.concat(s["out"], F.array(emit(s["at"], x)).cast(f"array<{out_type}>")).alias("out")
+                ),
+                lambda s: s["out"],
+            )
+
+        return F.flatten(F.zip_with(blocks, starts, inside))
+
+    def cut(values: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(values))).cast("int")
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(values) / side).cast("int") - 1)
+        return F.when(
+            F.size(values) > 0, let(F.transform(numbers, lambda k: F.slice(values, k * side + 1, side)), blocked)
+        ).otherwise(F.array().cast(f"array<{out_type}>"))
+
+    return let(items, cut)
+
+
+_PLACE = "struct<start:int,end:int,start_word:bigint,end_word:bigint>"
+
+
+def _matches(words: Column, rule: Column) -> Column:
+    """A rule's matches as (start, end) in characters of the written words, and (start_word, end_word) in words."""
+
+    def sized(piece: Column, name: str) -> list[Column]:
+        spaces = F.length(piece) - F.length(F.replace(piece, F.lit(" "), F.lit("")))
+        return [F.length(piece).alias(f"{name}_chars"), spaces.cast("long").alias(f"{name}_words")]
+
     def located(hits: Column) -> Column:
         gaps = F.slice(F.split(words, rule["pattern"], -1), 1, F.size(hits))
-        pairs = F.zip_with(gaps, hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-        return F.aggregate(pairs, start, step, lambda state: state["found"])
+        pairs = F.zip_with(gaps, hits, lambda gap, hit: F.struct(*sized(gap, "gap"), *sized(hit, "hit")))
+        return _running(
+            pairs, F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("word")),
+            lambda s, p: F.struct((s["at"] + p["gap_chars"] + p["hit_chars"]).alias("at"), (s["word"] + p["gap_words"] + p["hit_words"]).alias("word")),
+            lambda s, p: F.struct(
+                (s["at"] + p["gap_chars"]).alias("start"), (s["at"] + p["gap_chars"] + p["hit_chars"]).alias("end"),
+                (s["word"] + p["gap_words"]).alias("start_word"), (s["word"] + p["gap_words"] + p["hit_words"] + 1).alias("end_word"),
+            ),
+            _PLACE,
+        )
 
     return let(F.regexp_extract_all(words, rule["pattern"], F.lit(0)), located)
 
 
 def detections(words: Column) -> Column:
-    """What is left of all rules' matches in written words: array of (label, start, end, priority, confidence).
+    """What is left of all rules' matches in written words: array of (label, start_word, end_word, priority, confidence).
 
-    start and end are characters of the written words.
+    start_word and end_word (exclusive) count words from 0.
     """
     kinds: dict[str, list[Column]] = {}
     for i, r in enumerate(rules()):
@@ -228,32 +276,30 @@ def detections(words: Column) -> Column:
                 lambda m: F.struct(
                     m["start"].alias("start"), (-m["end"]).alias("minus_end"), r["priority"].alias("priority"),
                     r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"),
+                    m["start_word"].alias("start_word"), m["end_word"].alias("end_word"),
                 ),
             ),
         )
     )
     # In order of start, longest first, every interval that contains another comes before it: one pass is enough.
     # ends[p] is the furthest end so far among intervals of priority p or better.
-    kept_type = "array<struct<label:string,start:int,end:int,priority:int,confidence:double>>"
     levels = max(r.priority for r in rules()) + 1
-    first = F.struct(
-        F.array_repeat(F.lit(-1), levels).alias("ends"), F.array().cast(kept_type).alias("kept")
-    )
 
-    def step(state: Column, x: Column) -> Column:
-        end = -x["minus_end"]
-        inside = F.get(state["ends"], x["priority"]) >= end
-        ends = F.transform(
-            state["ends"], lambda e, level: F.when(level >= x["priority"], F.greatest(e, end)).otherwise(e)
-        )
-        one = F.struct(
-            x["label"].alias("label"), x["start"].alias("start"), end.alias("end"),
-            x["priority"].alias("priority"), x["confidence"].alias("confidence"),
+    def advance(ends: Column, x: Column) -> Column:
+        return F.transform(ends, lambda e, level: F.when(level >= x["priority"], F.greatest(e, -x["minus_end"])).otherwise(e))
+
+    def emit(ends: Column, x: Column) -> Column:
+        return F.struct(
+            x["label"].alias("label"), x["start_word"].alias("start_word"), x["end_word"].alias("end_word"),
+            x["priority"].alias("priority"), x["confidence"].alias("confidence"), (F.get(ends, x["priority"]) >= -x["minus_end"]).alias("inside"),
         )
-        kept = F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(one).cast(kept_type)))
-        return F.struct(ends.alias("ends"), kept.alias("kept"))
 
-    return F.aggregate(F.array_sort(found), first, step, lambda state: state["kept"])
+    kept_type = "struct<label:string,start_word:bigint,end_word:bigint,priority:int,confidence:double,inside:boolean>"
+    judged = _running(F.array_sort(found), F.array_repeat(F.lit(-1), levels), advance, emit, kept_type)
+    return F.transform(
+        F.filter(judged, lambda d: ~d["inside"]),
+        lambda d: F.struct(*(d[n].alias(n) for n in ("label", "start_word", "end_word", "priority", "confidence"))),
+    )
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -280,20 +326,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
 
-    def in_words(words: Column, found: Column) -> Column:
-        def place(at: Column) -> Column:
-            before = F.substring(words, F.lit(1), at)
-            return (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).cast("long")
-
-        return F.transform(
-            found,
-            lambda d: F.struct(
-                d["label"].alias("label"), place(d["start"]).alias("start_word"), (place(d["end"]) + 1).alias("end_word"),
-                d["priority"].alias("priority"), d["confidence"].alias("confidence"),
-            ),
-        )
-
-    spans = let(written(body), lambda w: in_words(w, detections(w)))
+    spans = let(written(body), detections)
     no_labels = F.array().cast("array<string>")
     mark = "__licenses"
     out = docs.withColumn(mark, F.struct(base.alias("base"), spans.alias("found"), n_words(body).alias("n")))

@@ -333,3 +333,23 @@ def test_no_pages(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     index = warc.normalise(warc.write_archives(warc.with_revisits(df), folder), folder)
     assert warc.read_records(index, folder).collect() == []
+
+
+def test_license_scan_of_many_matches_takes_little_time(spark):
+    import time
+
+    phrase = "This file is under the MIT License. Apache License 2.0 elsewhere; "
+    texts = [(0, phrase * 10), (1, phrase * 4000), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    licenses.scan(docs.where("doc_id = 0")).collect()
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert time.perf_counter() - start < 20
+    few, many = got[0].detections, got[1].detections
+    step = got[0].n_words // 10
+    assert len(many) == 400 * len(few) and got[1].n_base == 8000 and got[2].detections == []
+    for k in (0, 9, 1234, 3999):
+        for i in range(len(few) // 10):
+            a, b = few[i], many[k * (len(few) // 10) + i]
+            assert (b.label, b.start_word - k * step, b.end_word - k * step) == (a.label, a.start_word, a.end_word)
+    assert licenses.scan(docs.limit(0)).collect() == []
