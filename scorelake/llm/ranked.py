@@ -50,6 +50,8 @@ HASHES = 3
 PIECE, COUNTED = 1 << 22, 1 << 19
 #: Terms and queries of a block, about; cells of a matrix of looked-up coordinates.
 BLOCK_TERMS, BLOCK_QUERIES, CELLS = 1 << 14, 256, 1 << 21
+#: Bytes of an index that a task passes on, and that a writer holds, at a time.
+GIVEN, ROW_GROUP = 4 << 20, 32 << 20
 #: Bytes of packed tf of the candidates that are kept unpacked.
 OPENED = 4 << 20
 #: Groups that a query's finds are first merged in.
@@ -117,7 +119,7 @@ def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
                 holding.update(terms)
                 made.append((key.as_py(), int(tfs.sum()), sketch_of(terms, tfs).tobytes(), b" ".join(terms), tfs.tobytes()))
                 held += len(made[-1][2]) + len(made[-1][3]) + len(made[-1][4])
-                if held > 16 << 20:
+                if held > GIVEN:
                     yield _documents(made)
                     made, held = [], 0
             yield _documents(made)
@@ -127,7 +129,7 @@ def build_index(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
         yield _terms(holding)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows.mapInArrow(run, _PARTS).write.parquet(folder)
+    rows.mapInArrow(run, _PARTS).write.option("parquet.block.size", ROW_GROUP).parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
