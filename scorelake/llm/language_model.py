@@ -10,13 +10,15 @@ more, so the probabilities of all tokens add up to 1.
 
 Class vectors are trained with noise-contrastive estimation in numpy: in each round a task trains on
 every position of its texts, starting from the last round's parameters; the results are averaged
-by tokens. Counts cover all training texts, and what is trained on grows with them.
+by tokens. Texts are written once as a byte per token, its class, and the rounds read those. Counts cover all training texts, and what is trained on grows with them.
 
 The HEAVY most frequent tokens at most (a whole range of counts is taken or not) are sent to the
 tasks. Rarer tokens, each at most 1/HEAVY of all, meet their counts in a join.
 
 Defined cases: a NULL text is empty and has the end only; repeated rows are scored alike; without
-training texts every token has base probability 1. Only doc_id and text are read.
+training texts every token has base probability 1. Equally frequent words are ordered by their bytes.
+A very long text is a row like any other: its words are in its task's memory at once, with some 40
+bytes each. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ SMOOTHING = 0.1
 HEAVY = 1 << 17
 CLASSES, TAIL_CLASSES = 128, 32
 CONTEXT, WIDTH = 3, 24
-ROUNDS, NOISE, BATCH, RATE = 2, 25, 256, 0.1
+ROUNDS, NOISE, BATCH, RATE = 2, 25, 1024, 0.15
 #: Distinct tokens a task counts before it passes them on.
 COUNTED = 1 << 20
 #: The end's token, which no word equals, and its class, which also stands before the first word.
@@ -144,18 +146,45 @@ class Parameters:
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         return Parameters(small(CLASSES, WIDTH), np.full((CONTEXT, WIDTH), 0.5, np.float32), small(CLASSES, WIDTH), np.log(shares).astype(np.float32))
 
-    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logarithms, normalised over all classes; contexts has a column per position."""
+    def predicted(self, contexts: np.ndarray) -> np.ndarray:
+        """The weighted sum of the vectors before each target; contexts has a column per position."""
         placed = self.context[None] * self.position[:, None]
-        out = np.empty(len(targets), np.float32)
-        for at in range(0, len(targets), 8192):
-            rows = slice(at, at + 8192)
-            predicted = sum(placed[j][contexts[rows, j]] for j in range(CONTEXT))
-            scores = predicted @ self.output.T + self.bias
-            scores -= scores.max(axis=1, keepdims=True)
-            picked = scores[np.arange(len(scores)), targets[rows]]
-            out[rows] = picked - np.log(np.exp(scores).sum(axis=1))
-        return out
+        total = placed[0][contexts[:, 0]]
+        for j in range(1, CONTEXT):
+            total += placed[j][contexts[:, j]]
+        return total
+
+    def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Natural logarithms, normalised over all classes; contexts has a column per position.
+
+        known keeps each context's normaliser (see unknown()) for as long as the parameters stay the same.
+        """
+        known = unknown() if known is None else known
+        tables = [(self.context * self.position[j]) @ self.output.T for j in range(CONTEXT)]
+        steps = CLASSES ** np.arange(CONTEXT, dtype=np.int32)
+        codes = contexts.astype(np.int32) @ steps
+        fresh = np.unique(codes[np.isnan(known[codes])])
+        for at in range(0, len(fresh), 1024):
+            some = fresh[at : at + 1024]
+            scores = sum((tables[j][some // steps[j] % CLASSES] for j in range(CONTEXT)), self.bias)
+            most = scores.max(axis=1)
+            known[some] = most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+        return sum((tables[j][contexts[:, j], targets] for j in range(CONTEXT)), self.bias[targets]) - known[codes]
+
+
+def unknown() -> np.ndarray:
+    """A place per context for the logarithm of its normaliser, none known yet."""
+    return np.full(CLASSES**CONTEXT, np.nan, np.float32)
+
+
+def _by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Sums of rows by class, a row per class."""
+    order = np.argsort(classes, kind="stable")
+    placed = classes[order]
+    starts = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
+    sums = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    sums[placed[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return sums
 
 
 def train(start: Parameters, contexts: np.ndarray, targets: np.ndarray, shares: np.ndarray, state: list | None = None) -> list:
@@ -166,24 +195,22 @@ def train(start: Parameters, contexts: np.ndarray, targets: np.ndarray, shares:
     sums, rng = state
     noise = rng.choice(CLASSES, NOISE, p=shares)
     log_noise = np.log(NOISE * shares).astype(np.float32)
-    rows = np.arange(len(targets))
-    before = p.context[contexts]
-    predicted = (before * p.position).sum(axis=1)
-    of_target = (predicted * p.output[targets]).sum(axis=1) + p.bias[targets] - log_noise[targets]
-    of_noise = predicted @ p.output[noise].T + p.bias[noise] - log_noise[noise]
-    slope = np.zeros((len(targets), CLASSES), np.float32)
-    pick = np.zeros((NOISE, CLASSES), np.float32)
-    pick[np.arange(NOISE), noise] = 1
-    slope += (1 / (1 + np.exp(-np.clip(of_noise, -30, 30)))) @ pick
-    slope[rows, targets] += 1 / (1 + np.exp(-np.clip(of_target, -30, 30))) - 1
-    slope /= len(targets)
-    back = slope @ p.output
-    d_context = np.zeros_like(p.context)
-    for j in range(CONTEXT):
-        one = np.zeros((len(targets), CLASSES), np.float32)
-        one[rows, contexts[:, j]] = 1
-        d_context += one.T @ (back * p.position[j])
-    gradients = (d_context, (before * back[:, None]).sum(axis=0), slope.T @ predicted, slope.sum(axis=0))
+    predicted = p.predicted(contexts)
+    target_vectors = p.output[targets]
+    of_target = np.einsum("ij,ij->i", predicted, target_vectors) + (p.bias - log_noise)[targets]
+    of_noise = predicted @ p.output[noise].T + (p.bias - log_noise)[noise]
+    scale = np.float32(1 / len(targets))
+    at_target = (1 / (1 + np.exp(-np.clip(of_target, -30, 30))) - 1) * scale
+    at_noise = scale / (1 + np.exp(-np.clip(of_noise, -30, 30)))
+    back = at_noise @ p.output[noise] + at_target[:, None] * target_vectors
+    by_place = [_by_class(back, contexts[:, j]) for j in range(CONTEXT)]
+    d_output = _by_class(at_target[:, None] * predicted, targets)
+    np.add.at(d_output, noise, at_noise.T @ predicted)
+    d_bias = np.bincount(targets, at_target, CLASSES).astype(np.float32)
+    np.add.at(d_bias, noise, at_noise.sum(axis=0))
+    d_context = sum(some * p.position[j] for j, some in enumerate(by_place))
+    d_position = np.stack([(some * p.context).sum(axis=0) for some in by_place])
+    gradients = (d_context, d_position, d_output, d_bias)
     for x, total, gradient in zip((p.context, p.position, p.output, p.bias), sums, gradients, strict=True):
         total += gradient * gradient
         x -= RATE * gradient / np.sqrt(total)
@@ -200,11 +227,22 @@ def _windows(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([sequence[CONTEXT - 1 - j : CONTEXT - 1 - j + n] for j in range(CONTEXT)], axis=1), sequence[CONTEXT:]
 
 
-def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.ndarray) -> Parameters:
+def _encoded(docs: DataFrame, text: str, heavy) -> DataFrame:
+    """classes: a byte per word of each text, its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = (heavy.value.class_ids(tokens_of(value.as_py()))[1] for value in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([c.astype(np.uint8).tobytes() for c in classes], pa.binary())], names=["classes"])
+
+    return docs.select(text).mapInArrow(run, "classes binary")
+
+
+def _trained(encoded: DataFrame, start: Parameters, shares: np.ndarray) -> Parameters:
     """A round: parameters trained in each task from start, averaged by positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, p, state = heavy.value, Parameters.of(start.flat()), None
+        p, state = Parameters.of(start.flat()), None
         contexts, targets, held, seen = [], [], 0, 0
 
         def step() -> None:
@@ -216,7 +254,7 @@ def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.nd
 
         for batch in batches:
             for value in batch.column(0):
-                c, t = _windows(_sequence(words_of.class_ids(tokens_of(value.as_py()))[1]))
+                c, t = _windows(_sequence(np.frombuffer(value.as_buffer(), np.uint8)))
                 contexts.append(c)
                 targets.append(t)
                 held += len(t)
@@ -231,7 +269,7 @@ def _trained(docs: DataFrame, text: str, heavy, start: Parameters, shares: np.nd
                 names=["key", "vec", "weight"],
             )
 
-    totals, weights = summed(docs.select(text).mapInArrow(run, "key string, vec binary, weight double"), "float64")
+    totals, weights = summed(encoded.mapInArrow(run, "key string, vec binary, weight double"), "float64")
     return Parameters.of(totals["p"] / weights["p"]) if totals else start
 
 
@@ -279,8 +317,11 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     shares = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
     sent = spark.sparkContext.broadcast(heavy)
     parameters = Parameters.first(shares)
-    for _ in range(rounds if tokens else 0):
-        parameters = _trained(docs, text, sent, parameters, shares)
+    if tokens and rounds:
+        sequences = new_folder(spark, "class-sequences")
+        _encoded(docs, text, sent).write.parquet(sequences)
+        for _ in range(rounds):
+            parameters = _trained(spark.read.parquet(sequences), parameters, shares)
     return Model(folder, tokens, distinct, heavy, class_tokens, class_distinct, parameters)
 
 
@@ -298,7 +339,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     kind = kind.format(docs.schema["doc_id"].dataType.simpleString())
     rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
 
-    def block(texts: list) -> list[tuple]:
+    def block(texts: list, normalisers: np.ndarray) -> list[tuple]:
         heavy = sent.value
         log_counts = np.log10(heavy.counts + SMOOTHING)
         sequences, rows = [], []
@@ -315,7 +356,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             divided = float((inside * shared)[classes].sum())
             rows.append((len(words) + 1, int(hit.sum()) + (n_ends > 0), parts + math.log10(n_ends + SMOOTHING), -back - math.log10(n_ends + SMOOTHING) - divided, rare))
         whole = np.concatenate(sequences)
-        logs = parameters.log_probabilities(*_windows(whole)).astype(np.float64) / math.log(10)
+        logs = parameters.log_probabilities(*_windows(whole), normalisers).astype(np.float64) / math.log(10)
         ends = np.cumsum([len(s) for s in sequences])
         out, start = [], 0
         for end, (n, known, parts, rest, rare) in zip(ends, rows, strict=True):
@@ -324,7 +365,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = TaskContext.get().partitionId() << 40
+        key, normalisers = TaskContext.get().partitionId() << 40, unknown()
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -332,7 +373,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                 while at + len(texts) < batch.num_rows and size < 1 << 19:
                     texts.append(batch.column(2)[at + len(texts)].as_py())
                     size += len(texts[-1] or "")
-                some = block(texts)
+                some = block(texts, normalisers)
                 part = batch.slice(at, len(texts))
                 rare = [[{"token": t, "n": c} for t, c in row[4].items()] for row in some]
                 yield pa.RecordBatch.from_arrays(

@@ -127,6 +127,48 @@ def test_language_model(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_scores_equal_a_plain_computation(spark):
+    texts = [_text(lang, 1 + i % 50, i) for i, lang in enumerate(list(LETTERS) * 30)] + ["", None, "never seen words", "word " * 30000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model = language_model.fit(docs.where("doc_id % 7 <> 0 AND text <> 'never seen words'"))
+    p, counts = model.parameters, Counter({bytes(r.token): r.c for r in spark.read.parquet(model.counts).collect()})
+    own = {t: int(k) for t, k in zip(model.heavy.tokens, model.heavy.classes, strict=True) if t in model.heavy.own}
+
+    def plain(text):
+        words, total = [*language_model.tokens_of(text), language_model.END], 0.0
+        ids = [language_model.END_CLASS if w == language_model.END else own.get(w, language_model.tail_class(w)) for w in words]
+        for at, (word, k) in enumerate(zip(words, ids, strict=True)):
+            before = [ids[at - 1 - j] if at > j else language_model.END_CLASS for j in range(language_model.CONTEXT)]
+            scores = sum(p.context[b] * p.position[j] for j, b in enumerate(before)).astype(np.float64) @ p.output.T + p.bias
+            total += (scores[k] - np.log(np.exp(scores).sum())) / math.log(10)
+            if k >= language_model.CLASSES - language_model.TAIL_CLASSES:
+                mass, kinds = model.class_tokens[k], model.class_distinct[k]
+                total += math.log10((counts[word] + 0.1) / (mass + 0.1 * (kinds + 1)))
+        return total
+
+    got = {r.doc_id: r.score for r in language_model.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        if i % 5 == 0 or i >= len(texts) - 4:
+            assert math.isclose(got[i], plain(text), rel_tol=1e-4, abs_tol=1e-3), (i, got[i], plain(text))
+
+
+def test_language_model_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert language_model.score(none, language_model.fit(some)).collect() == []
+    got = language_model.score(some, language_model.fit(none)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got) == [(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)]
+
+
+def test_sums_by_class():
+    rng = np.random.default_rng(4)
+    rows, classes = rng.standard_normal((700, 5)).astype(np.float32), rng.integers(0, 90, 700).astype(np.int16)
+    want = np.zeros((language_model.CLASSES, 5))
+    np.add.at(want, classes, rows)
+    assert np.allclose(language_model._by_class(rows, classes), want, atol=1e-4)
+
+
 def test_every_position_is_trained_on(spark, monkeypatch):
     weights, summed = [], language_model.summed
     monkeypatch.setattr(language_model, "summed", lambda *a: weights.append(summed(*a)) or weights[-1])
