@@ -58,6 +58,11 @@ def tail_class(word: bytes) -> int:
     return CLASSES - TAIL_CLASSES + zlib.crc32(word[-3:]) % TAIL_CLASSES
 
 
+def tail_classes(words: list[bytes]) -> np.ndarray:
+    hashes = np.fromiter((zlib.crc32(word[-3:]) for word in words), np.uint32, len(words))
+    return CLASSES - TAIL_CLASSES + hashes % TAIL_CLASSES
+
+
 def _tail_class(token: Column) -> Column:
     last = F.substring(token, F.greatest(F.octet_length(token) - 2, F.lit(1)), F.lit(3))
     return (F.lit(CLASSES - TAIL_CLASSES) + F.crc32(last) % TAIL_CLASSES).cast("int")
@@ -113,8 +118,9 @@ class Heavy:
             self.index = _Index((t, i) for i, t in enumerate(self.tokens))
         places = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
         classes = self.classes[places] if len(self.tokens) else np.zeros(len(words), np.int16)
-        for i in np.flatnonzero(places < 0):
-            classes[i] = tail_class(words[i])
+        rare = np.flatnonzero(places < 0)
+        if len(rare):
+            classes[rare] = tail_classes([words[i] for i in rare.tolist()])
         return places, classes
 
 
@@ -149,9 +155,9 @@ class Parameters:
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The weighted sum of the vectors before each target; contexts has a column per position."""
         placed = self.context[None] * self.position[:, None]
-        total = placed[0][contexts[:, 0]]
+        total = placed[0].take(contexts[:, 0], axis=0)
         for j in range(1, CONTEXT):
-            total += placed[j][contexts[:, j]]
+            total += placed[j].take(contexts[:, j], axis=0)
         return total
 
     def log_probabilities(self, contexts: np.ndarray, targets: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
@@ -183,7 +189,7 @@ def _by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
     placed = classes[order]
     starts = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
     sums = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    sums[placed[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    sums[placed[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
     return sums
 
 
@@ -196,12 +202,14 @@ def train(start: Parameters, contexts: np.ndarray, targets: np.ndarray, shares:
     noise = rng.choice(CLASSES, NOISE, p=shares)
     log_noise = np.log(NOISE * shares).astype(np.float32)
     predicted = p.predicted(contexts)
-    target_vectors = p.output[targets]
+    target_vectors = p.output.take(targets, axis=0)
     of_target = np.einsum("ij,ij->i", predicted, target_vectors) + (p.bias - log_noise)[targets]
     of_noise = predicted @ p.output[noise].T + (p.bias - log_noise)[noise]
     scale = np.float32(1 / len(targets))
-    at_target = (1 / (1 + np.exp(-np.clip(of_target, -30, 30))) - 1) * scale
-    at_noise = scale / (1 + np.exp(-np.clip(of_noise, -30, 30)))
+    with np.errstate(over="ignore"):
+        at_target = (1 / (1 + np.exp(-of_target)) - 1) * scale
+        np.negative(of_noise, out=of_noise)
+        at_noise = scale / (1 + np.exp(of_noise, out=of_noise))
     back = at_noise @ p.output[noise] + at_target[:, None] * target_vectors
     by_place = [_by_class(back, contexts[:, j]) for j in range(CONTEXT)]
     d_output = _by_class(at_target[:, None] * predicted, targets)
@@ -337,7 +345,6 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     n_ends = int(mass[END_CLASS])
     kind = "key long, doc_id {}, mark boolean, n_tokens long, known long, parts double, classes double, rare array<struct<token:binary,n:int>>"
     kind = kind.format(docs.schema["doc_id"].dataType.simpleString())
-    rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
 
     def block(texts: list, normalisers: np.ndarray) -> list[tuple]:
         heavy = sent.value
@@ -348,7 +355,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
             places, classes = heavy.class_ids(words)
             sequences.append(_sequence(classes))
             hit = places >= 0
-            rare = Counter(words[i] for i in np.flatnonzero(~hit))
+            rare = Counter([words[i] for i in np.flatnonzero(~hit).tolist()])
             parts = float(log_counts[places[hit]].sum()) if hit.any() else 0.0
             # Within shared classes the numerators are those of the base; own words take theirs back.
             alone = hit & (shared[classes] == 0)
@@ -375,11 +382,18 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     size += len(texts[-1] or "")
                 some = block(texts, normalisers)
                 part = batch.slice(at, len(texts))
-                rare = [[{"token": t, "n": c} for t, c in row[4].items()] for row in some]
+                held = [row[4] for row in some]
+                rare = pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, held)]), pa.int32()),
+                    pa.StructArray.from_arrays(
+                        [pa.array([t for one in held for t in one], pa.binary()), pa.array([c for one in held for c in one.values()], pa.int32())],
+                        names=["token", "n"],
+                    ),
+                )
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(key, key + len(some)), pa.int64()), part.column(0), part.column(1),
                      *(pa.array([r[i] for r in some], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))),
-                     pa.array(rare, rare_type)],
+                     rare],
                     names=["key", "doc_id", "mark", "n_tokens", "known", "parts", "classes", "rare"],
                 )
                 key += len(some)
