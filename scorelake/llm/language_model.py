@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,13 +92,6 @@ def _counts(counts: Counter) -> pa.RecordBatch:
     )
 
 
-class _Index(dict):
-    """Heavy tokens to their places; -1 for any other."""
-
-    def __missing__(self, token: bytes) -> int:
-        return -1
-
-
 @dataclass
 class Heavy:
     """The tokens every task knows: places in descending order of count."""
@@ -110,13 +104,13 @@ class Heavy:
         own = [i for i, t in enumerate(self.tokens) if t != END][: CLASSES - TAIL_CLASSES - 1]
         self.classes[own] = np.arange(1, len(own) + 1)
         self.own = {self.tokens[i] for i in own}
-        self.index: _Index | None = None
+        self.index: dict[bytes, int] | None = None
 
     def class_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Place (-1 if rare) and class of each word."""
         if self.index is None:
-            self.index = _Index((t, i) for i, t in enumerate(self.tokens))
-        places = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+            self.index = {t: i for i, t in enumerate(self.tokens)}
+        places = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         classes = self.classes[places] if len(self.tokens) else np.zeros(len(words), np.int16)
         rare = np.flatnonzero(places < 0)
         if len(rare):
@@ -184,13 +178,16 @@ def unknown() -> np.ndarray:
 
 
 def _by_class(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Sums of rows by class, a row per class."""
-    order = np.argsort(classes, kind="stable")
-    placed = classes[order]
-    starts = np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1]]))
-    sums = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    sums[placed[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
-    return sums
+    """Sums of rows by class for each column of classes: a table with a row per class for each."""
+    n, kinds = classes.shape
+    codes = (classes.T + (np.arange(kinds, dtype=np.int16) * CLASSES)[:, None]).ravel()
+    order = np.argsort(codes, kind="stable")
+    placed = codes[order]
+    starts = np.flatnonzero(placed[1:] != placed[:-1]) + 1
+    starts = np.concatenate([[0], starts])
+    sums = np.zeros((kinds * CLASSES, rows.shape[1]), np.float32)
+    sums[placed[starts]] = np.add.reduceat(rows.take(order % n, axis=0), starts, axis=0)
+    return sums.reshape(kinds, CLASSES, -1)
 
 
 def train(start: Parameters, contexts: np.ndarray, targets: np.ndarray, shares: np.ndarray, state: list | None = None) -> list:
@@ -211,13 +208,13 @@ def train(start: Parameters, contexts: np.ndarray, targets: np.ndarray, shares:
         np.negative(of_noise, out=of_noise)
         at_noise = scale / (1 + np.exp(of_noise, out=of_noise))
     back = at_noise @ p.output[noise] + at_target[:, None] * target_vectors
-    by_place = [_by_class(back, contexts[:, j]) for j in range(CONTEXT)]
-    d_output = _by_class(at_target[:, None] * predicted, targets)
+    by_place = _by_class(back, contexts)
+    d_output = _by_class(at_target[:, None] * predicted, targets[:, None])[0]
     np.add.at(d_output, noise, at_noise.T @ predicted)
     d_bias = np.bincount(targets, at_target, CLASSES).astype(np.float32)
     np.add.at(d_bias, noise, at_noise.sum(axis=0))
-    d_context = sum(some * p.position[j] for j, some in enumerate(by_place))
-    d_position = np.stack([(some * p.context).sum(axis=0) for some in by_place])
+    d_context = (by_place * p.position[:, None]).sum(axis=0)
+    d_position = (by_place * p.context).sum(axis=1)
     gradients = (d_context, d_position, d_output, d_bias)
     for x, total, gradient in zip((p.context, p.position, p.output, p.bias), sums, gradients, strict=True):
         total += gradient * gradient

@@ -163,9 +163,10 @@ def test_language_model_of_empty_tables(spark):
 
 def test_sums_by_class():
     rng = np.random.default_rng(4)
-    rows, classes = rng.standard_normal((700, 5)).astype(np.float32), rng.integers(0, 90, 700).astype(np.int16)
-    want = np.zeros((language_model.CLASSES, 5))
-    np.add.at(want, classes, rows)
+    rows, classes = rng.standard_normal((700, 5)).astype(np.float32), rng.integers(0, 90, (700, 2)).astype(np.int16)
+    want = np.zeros((2, language_model.CLASSES, 5))
+    for j in range(2):
+        np.add.at(want[j], classes[:, j], rows)
     assert np.allclose(language_model._by_class(rows, classes), want, atol=1e-4)
 
 
