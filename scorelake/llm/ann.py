@@ -8,7 +8,8 @@ bound of their query in the tile are computed again from the original vectors in
 The best k of each tile are then merged by heaps, so the result is the exact one.
 
 Each candidate is sent once per query block and each query once per candidate block. Block sizes
-are parameters; nothing else depends on them.
+are parameters; nothing else depends on them. A block's rows are also bounded by its components, so
+a task's memory does not grow with the dimension until one vector alone is longer than a block.
 
 Defined cases: rows with a NULL id, and vectors that are NULL, empty, zero or hold NULL or
 non-finite components, take no part; nor do pairs of different dimension. Repeated rows (equal id
@@ -20,7 +21,6 @@ is never its own neighbour, whatever vector.
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 16384
-CANDIDATE_BLOCK = 2048
+#: Rows of a block at most, and components of a block at most: long vectors make blocks of fewer rows.
+QUERY_BLOCK, QUERY_VALUES = 16384, 1 << 23
+CANDIDATE_BLOCK, CANDIDATE_VALUES = 2048, 1 << 21
 #: Rows of a query block whose products are in memory at a time.
 STRIP = 512
 #: More than any rounding error of the bounds themselves, which are computed in single precision.
@@ -47,8 +48,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(values, lambda v: v != 0), F.lit(False))
 
 
-def _matrix(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in column.to_pylist()]
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A row per list of a column of equally long lists without NULLs."""
+    flat = [chunk.flatten().cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False) for chunk in column.chunks]
+    return np.concatenate(flat).reshape(len(column), -1)
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +115,7 @@ def _join_tiles(k: int):
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             q_ids, c_ids = (t.column("id").to_numpy() for t in (left, right))
-            q, c = np.stack(_matrix(left.column("v"))), np.stack(_matrix(right.column("v")))
+            q, c = _matrix(left.column("v")), _matrix(right.column("v"))
             found = list(_tile(q_ids, q, c_ids, c, k))
         columns = [np.concatenate([x[i] for x in found]) if found else [] for i in range(3)]
         return pa.table(
@@ -172,14 +175,19 @@ def nearest(
 
     q, c = prepared(queries), prepared(candidates)
     n_q, n_c = (df.select(F.count(F.lit(1))).first()[0] for df in (q, c))
-    q_blocks, c_blocks = max(1, math.ceil(n_q / query_block)), max(1, math.ceil(n_c / candidate_block))
+    def blocks(n: int, rows: int, values: int) -> Column:
+        """Blocks of the vectors of a row's dimension, as if all n had it."""
+        held = F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(F.lit(values) / F.col("dim"))))
+        return F.greatest(F.lit(1), F.ceil(F.lit(n) / held)).cast("long")
+
+    q_blocks, c_blocks = blocks(n_q, query_block, QUERY_VALUES), blocks(n_c, candidate_block, CANDIDATE_VALUES)
     slot = F.xxhash64("id", "v")
     q = q.groupBy("id").agg(F.min_by(F.struct("v", "dim"), F.struct("dim", "v")).alias("x")).select("id", "x.*")
-    q = q.withColumn("r", F.pmod(slot, F.lit(q_blocks))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    q = q.withColumn("r", F.pmod(slot, q_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), c_blocks - 1)))
     # Repeated rows meet before they are dealt out, so a tile never gets many of one.
     c = c.groupBy("id", "v", "dim").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    c = c.withColumn("c", F.pmod(slot, F.lit(c_blocks)).cast("int")).withColumn(
-        "r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
+    c = c.withColumn("c", F.pmod(slot, c_blocks)).withColumn(
+        "r", F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1))
     )
     keys = ("dim", "r", "c")
     tiles = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_join_tiles(k), _FOUND)

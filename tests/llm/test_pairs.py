@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,8 +129,11 @@ def _cosine(a, b):
     return max(-1.0, min(1.0, dot / (math.sqrt(na) * math.sqrt(nb))))
 
 
-@pytest.mark.parametrize("blocks", [(16384, 2048), (7, 16)])
-def test_nearest_equals_brute_force(spark, blocks):
+@pytest.mark.parametrize("blocks", [(16384, 2048), (7, 16), (16384, 2048, 100)])
+def test_nearest_equals_brute_force(spark, blocks, monkeypatch):
+    if len(blocks) == 3:  # five vectors of 20 components fill a block
+        monkeypatch.setattr(ann, "QUERY_VALUES", blocks[2])
+        monkeypatch.setattr(ann, "CANDIDATE_VALUES", blocks[2])
     rng = np.random.default_rng(3)
     vectors = {i: [float(np.float32(x)) for x in rng.standard_normal(20)] for i in range(120)}
     for i in range(40, 90):
@@ -148,6 +153,14 @@ def test_nearest_equals_brute_force(spark, blocks):
     assert [x[3] for x in found] == pytest.approx([x[3] for x in want], abs=1e-12)
 
 
+def test_vectors_become_a_matrix_without_objects():
+    x = np.random.default_rng(1).standard_normal((16384, 1024)).astype(np.float32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 1024), pa.int32()), pa.array(x.ravel()))
+    before = time.process_time()
+    got = ann._matrix(pa.chunked_array([lists.slice(0, 5000), lists.slice(5000)]))
+    assert time.process_time() - before < 2 and got.dtype == np.float64 and np.array_equal(got, x)
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df).collect() == []
