@@ -10,7 +10,9 @@ The fraction is 1/8: MD5 in hexadecimal below "2". A sketch keeps the first 12 d
 hash in ascending order; as text they are written one after the other.
 
 Defined cases: NULL is the empty text; a text without words has the empty sketch; two empty
-sketches are alike (1.0), an empty and another one are not (0.0).
+sketches are alike (1.0), an empty and another one are not (0.0). A very long text is a row like any
+other: its words and the hash of each of its runs are in its task's memory at once, some 100 bytes a
+word. Equal texts have equal sketches, whatever their ids.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ BELOW = "2"
 DIGITS = 12
 #: Documents of neighbouring ids that one task orders at a time, about.
 BLOCK_ROWS = 4096
-#: Ranges of ids at most, whatever the size of the table; their first ids are broadcast.
+#: Ranges of ids that a table is cut into first, at most; the first ids of ranges are broadcast.
 MAX_BLOCKS = 65536
+#: A range with over twice its rows is cut again, into so many times the ranges that its rows need.
+FINER = 4
+_WIDE = "decimal(20,0)"
 
 
 def sketch(text: Column) -> Column:
@@ -81,28 +86,66 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("sketch", sketch(F.col(text))).withColumn("fingerprint", as_text(F.col("sketch")))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Each row (doc_id, text, ...) with next_text: that of the next row, descending doc_id.
+def _top(ids: Column, top: Column, width: Column) -> Column:
+    """The greatest id that the range of ids can hold, of ranges of that width below top."""
+    return (top - F.floor((top - ids) / width).cast(_WIDE) * width).cast(_WIDE)
 
-    After the last row comes the first. Rows of equal id are ordered by text; NULL ids come last.
-    Rows are dealt by ranges of ids, and the first rows of a range are also sent, marked, to the
-    range before, so the texts are shuffled once and no task orders the whole table. Only the first
-    ids of the ranges, MAX_BLOCKS + 1 at most, are broadcast.
+
+def with_blocks(docs: DataFrame) -> DataFrame:
+    """docs with block, a range of doc_id that holds about BLOCK_ROWS rows; greater ids have greater blocks.
+
+    Ranges are of equal width first. Ranges with over twice their rows are cut again between their own
+    least and greatest id until none is left, or one id alone has that many rows. Each round reads
+    doc_id alone and broadcasts the ranges to be cut, of which there are at most MAX_BLOCKS / 2; a far id
+    costs a round or two. NULL ids have a block of their own below all others.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     low, high = (low or 0), (high or 0)
-    width = max(1, math.ceil((high - low + 1) / min(MAX_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))))
-    wide = "decimal(20,0)"
-    block = F.floor((F.lit(high).cast(wide) - F.col("doc_id").cast(wide)) / F.lit(width).cast(wide)).cast("long")
-    last = (high - low) // width + 1
-    rows = docs.withColumn("block", F.coalesce(block, F.lit(last)))
+    pieces = min(MAX_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))
+    held = max(BLOCK_ROWS, math.ceil(n / MAX_BLOCKS))
+    ids = F.col("doc_id").cast(_WIDE)
+    width = max(1, math.ceil((high - low + 1) / pieces))
+    block = _top(ids, F.lit(high).cast(_WIDE), F.lit(str(width)).cast(_WIDE))
+    cuts: list[DataFrame] = []
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("block", block)
+        for cut in cuts:
+            finer = F.when(F.col("cut_top").isNotNull(), _top(ids, F.col("cut_top"), F.col("cut_width")))
+            rows = rows.join(F.broadcast(cut), rows["block"] == cut["cut_block"], "left").withColumn("block", F.coalesce(finer, "block"))
+            rows = rows.drop("cut_block", "cut_top", "cut_width")
+        return rows.withColumn("block", F.coalesce("block", F.lit(str(low - 1)).cast(_WIDE)))
+
+    while n > 2 * held:
+        sizes = placed(docs.select("doc_id").where("doc_id IS NOT NULL")).groupBy("block").agg(
+            F.count(F.lit(1)).alias("n"), F.min(ids).alias("least"), F.max(ids).alias("cut_top")
+        )
+        span = (F.col("cut_top") - F.col("least") + 1).cast(_WIDE)
+        parts = F.ceil(F.col("n") * FINER / held).cast(_WIDE)
+        cut = sizes.where((F.col("n") > 2 * held) & (F.col("cut_top") > F.col("least"))).select(
+            F.col("block").alias("cut_block"), "cut_top", F.ceil(span / parts).cast(_WIDE).alias("cut_width")
+        )
+        if cut.isEmpty():
+            break
+        cuts.append(cut)
+    return placed(docs)
 
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each row (doc_id, text, ...) with next_text: that of the next row, descending doc_id.
+
+    After the last row comes the first. Rows of equal id are ordered by text; NULL ids come last.
+    Rows are dealt by ranges of ids (with_blocks), and the first rows of a range are also sent, marked,
+    to the range before, so the texts are shuffled once and no task orders the whole table. Only the
+    first ids of the ranges are broadcast, a few per BLOCK_ROWS rows or MAX_BLOCKS in all.
+    """
+    rows = with_blocks(docs)
     firsts = rows.groupBy("block").agg(F.max("doc_id").alias("doc_id"))
-    order = Window.partitionBy(F.lit(0)).orderBy("block")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("block"))
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sent = firsts.select(
         F.col("doc_id").alias("first_id"),
-        F.coalesce(F.lag("block").over(order), F.max("block").over(everything)).alias("before"),
+        F.coalesce(F.lag("block").over(order), F.min("block").over(everything)).alias("before"),
         F.lit(True).alias("is_first"),
     )
     dealt = rows.join(F.broadcast(sent), rows["doc_id"].eqNullSafe(sent["first_id"]), "left")

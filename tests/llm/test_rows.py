@@ -60,6 +60,30 @@ def test_fingerprints_equal_brute_force(spark, docs, monkeypatch, block_rows):
     assert sketch.compare_with_edit(docs.where("false")).collect() == []
 
 
+def test_blocks_of_ids_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "BLOCK_ROWS", 50)
+    far = [-(1 << 63), -(1 << 61), 1 << 45, (1 << 45) + 1, 1 << 60, (1 << 63) - 1, None]
+    ids = [*range(3000), *(10**12 + 7 * i for i in range(1500)), *far, *[77] * 400]
+    rows = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string").repartition(5)
+    blocks = {}
+    for row in sketch.with_blocks(rows).collect():
+        blocks.setdefault(row.block, []).append(row.doc_id)
+    assert max(len(held) for held in blocks.values() if 77 not in held) <= 100 and len(blocks) < 700
+    ranges = [blocks[b] for b in sorted(blocks)]
+    assert ranges[0] == [None]
+    assert all(max(one) < min(other) for one, other in zip(ranges[1:], ranges[2:], strict=False))
+    order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    want = sorted(((i, str(order[(at + 1) % len(order)])) for at, i in enumerate(order)), key=str)
+    assert sorted(((r.doc_id, r.next_text) for r in sketch.with_next(rows).collect()), key=str) == want
+
+
+def test_a_very_long_text_has_a_fingerprint(spark):
+    text = " ".join(map(str, range(300_000)))
+    row = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    got = {r.doc_id: r.sketch for r in sketch.fingerprints(row).collect()}
+    assert got[1] == _sketch(text) and got[2] == []
+
+
 def test_sketches_merge(spark):
     long, short = " ".join(map(str, range(4000))), " ".join(map(str, range(1000, 1100)))
     row = spark.createDataFrame([(long, short)], "a string, b string").select(
