@@ -17,7 +17,9 @@ ranges), so that no task orders a whole source.
 
 Defined cases: NULL is a source of its own; documents without tokens cost nothing, so they are kept
 once, in block 0, and play no part in the weights; repeated rows are documents of their own. A
-column of docs that has an output's name is replaced. An empty table gives an empty result.
+column of docs that has an output's name is replaced. An empty table gives an empty result. A text only
+counts by its number of tokens, so a very long one is a row like any other; it may overrun its source's
+quota by its own length. Rows of equal hash are ordered by id, then by tokens.
 """
 
 from __future__ import annotations

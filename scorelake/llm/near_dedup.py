@@ -17,7 +17,9 @@ group. Components of the links are found by alternating stars over written table
 Defined cases: a NULL text or one without words has no set, is linked with nothing and is its own
 component; a NULL doc_id never names a component unless all its documents have none. Repeated rows
 are equal documents: both get the same component, and kept is true for each of them if their id is
-the component's. Only doc_id and text are read.
+the component's. A very long text is one set in its task's memory. Between texts of equal collisions there
+is nothing to choose: every link counts, and a component has the smallest id. An empty table gives an
+empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -84,6 +84,13 @@ def test_a_very_long_text_has_a_fingerprint(spark):
     assert got[1] == _sketch(text) and got[2] == []
 
 
+def test_licenses_of_an_empty_table_and_a_long_text(spark):
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    text = "plain words " * 100_000 + "mit license"
+    row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_words == 200_002 and row.first_word == row.last_word == 200_000 and row.base_labels == ["mit"]
+
+
 def test_sketches_merge(spark):
     long, short = " ".join(map(str, range(4000))), " ".join(map(str, range(1000, 1100)))
     row = spark.createDataFrame([(long, short)], "a string, b string").select(
