@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of
 docs. Between stages, rows are written as Parquet and read again.
+
+Defined cases: NULL and empty texts are rejected by the first two stages, are documents of their own
+for near-duplicates and cost the mixture nothing; a NULL id or source is a value like any other. Repeated rows
+are judged alike, and of near-duplicates the rows of the smallest id stay. Very long texts are read whole by every
+stage. An empty table gives an empty result at every stage, and columns of docs whose names clash with a stage's own are kept.
 """
 
 from __future__ import annotations
