@@ -56,7 +56,9 @@ def opaque_table(scored: DataFrame, metrics: Mapping[str, Opaque]) -> DataFrame:
             for key, rows in batch.groupby(group, dropna=False, sort=False):
                 rows = rows.rename(columns=lambda c: c.removeprefix("in_"))
                 _merged(held, key, {n: m.update(rows[list(m.inputs)]) for n, m in known.items()}, known)
-        yield pd.DataFrame({"model_slug": [k[0] for k in held], "track": [k[1] for k in held], "states": [pickle.dumps(v) for v in held.values()]})
+        # A task without rows yields nothing: columns of an empty table have no Arrow type of their own.
+        if held:
+            yield pd.DataFrame({"model_slug": [k[0] for k in held], "track": [k[1] for k in held], "states": [pickle.dumps(v) for v in held.values()]})
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}

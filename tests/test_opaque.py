@@ -51,3 +51,10 @@ def test_missing_inputs_and_empty_tables(spark):
     table = opaque_table(rows.drop("latency_s"), {"median": MEDIAN})
     assert {r.median for r in table.collect()} == {None}
     assert opaque_table(rows.limit(0), {"median": MEDIAN}).collect() == []
+
+
+def test_tasks_without_rows(spark):
+    dealt = spark.range(8, numPartitions=8).where("id IN (1, 3)").selectExpr("'m' AS model_slug", "'t' AS track", "cast(id AS double) AS cost")
+    most = Opaque(("cost",), lambda g: g["cost"].max(), max, float)
+    assert {r.track: r.most for r in opaque_table(dealt, {"most": most}).collect()} == {"t": 3.0, "ALL": 3.0}
+    assert opaque_table(dealt.where("cost > 5"), {"most": most}).count() == 0
