@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 from collections.abc import Iterator
 
@@ -14,9 +15,118 @@ from pyspark.sql import functions as F
 from scorelake import fixed_values as fixed
 from scorelake import schemas
 from scorelake.functions.values import decoded, strip
-from scorelake.sources.workspace import qualified
+from scorelake.sources.workspace import new_folder, path_exists, qualified
 
 _FILE = r"([^/]+)/([^/]+)/(mutants/[^/]+|[^/]+)$"
+#: Listed names that one task reads, about; names and bytes of texts that travel as one batch.
+TASK_NAMES, BATCH_NAMES, BATCH_BYTES = 8192, 4096, 1 << 22
+#: File systems that tasks list and read themselves; folders elsewhere are listed by the driver.
+_IN_TASKS = ("file", "hdfs", "s3", "gs")
+
+
+def _system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path, and the path on it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _entries(system: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool]]:
+    """Path of each entry of a folder and whether it is a folder, without names that Spark's readers pass over."""
+    if system.type_name == "local":
+        with os.scandir(folder) as found:
+            for entry in found:
+                if not _hidden(entry.name):
+                    yield entry.path, entry.is_dir()
+    else:
+        for entry in system.get_file_info(pafs.FileSelector(folder)):
+            if not _hidden(entry.base_name):
+                yield entry.path, entry.type == pafs.FileType.Directory
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _files_below(system: pafs.FileSystem, path: str, folder: bool) -> Iterator[str]:
+    if not folder:
+        yield path
+        return
+    for inner, deeper in _entries(system, path):
+        yield from _files_below(system, inner, deeper)
+
+
+def _listing(folders: DataFrame, uri: str) -> DataFrame:
+    """The entries (path, folder) of each folder (path, folder) in tasks; files stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _system(uri)
+        names: list[tuple[str, bool]] = []
+        for batch in batches:
+            for path, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for entry in _entries(system, path) if folder else ((path, False),):
+                    names.append(entry)
+                    if len(names) == BATCH_NAMES:
+                        yield _batch(names)
+                        names = []
+        yield _batch(names)
+
+    def _batch(names: list[tuple[str, bool]]) -> pa.RecordBatch:
+        paths, kinds = [n for n, _ in names], [k for _, k in names]
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(kinds, pa.bool_())], names=["path", "folder"])
+
+    return folders.mapInArrow(run, "path string, folder boolean")
+
+
+def read_texts(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """The files of a folder as (path, text): those whose name matches a pattern, or all at any depth.
+
+    Tasks list the folders and read the files; the driver sees no names, only their number. Names are written down
+    once, and TASK_NAMES of them make a task. Empty files are left out, as Spark's readers do.
+    """
+    uri = qualified(spark, root)
+    if not path_exists(spark, root):
+        raise FileNotFoundError(root)
+    if uri.split(":")[0] not in _IN_TASKS:
+        reader = spark.read.option("recursiveFileLookup", pattern is None)
+        files = reader.text(root if pattern is None else f"{root}/*", wholetext=True)
+        found = files.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+        return found if pattern is None else found.where(F.col("path").rlike(pattern))
+    names = _listing(spark.createDataFrame([(_system(uri)[1], True)], "path string, folder boolean"), uri)
+    if pattern is None:
+        # The second level may be wide, so each folder of the first is listed by a task of its own.
+        names = _listing(names.repartition(max(8, spark.sparkContext.defaultParallelism)), uri)
+    else:
+        names = names.where(~F.col("folder") & F.col("path").rlike(pattern))
+    names.write.parquet(folder := new_folder(spark, "listing"))
+    names = spark.read.parquet(folder)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-names.count() // TASK_NAMES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _system(uri)
+        paths: list[str] = []
+        texts: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for path, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for file in _files_below(system, path, folder):
+                    with system.open_input_stream(file) as stream:
+                        text = stream.read()
+                    if not text:
+                        continue
+                    paths.append(file)
+                    texts.append(text)
+                    size += len(text)
+                    if size >= BATCH_BYTES or len(texts) == BATCH_NAMES:
+                        yield _batch(paths, texts)
+                        paths, texts, size = [], [], 0
+        yield _batch(paths, texts)
+
+    def _batch(paths: list[str], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.binary())], names=["path", "text"])
+
+    files = names.repartition(tasks).mapInArrow(run, "path string, text binary")
+    return files.select("path", F.col("text").cast("string").alias("text"))
 
 
 def write_texts(rows: DataFrame, root: str) -> int:
@@ -28,7 +138,7 @@ def write_texts(rows: DataFrame, root: str) -> int:
     uri = qualified(rows.sparkSession, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else f"file://{uri[5:]}")
+        system, base = _system(uri)
         attempt, made = TaskContext.get().taskAttemptId(), set()
         for batch in batches:
             for name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -57,18 +167,13 @@ def write_sample_files(files: DataFrame, root: str) -> int:
 def read_sample_files(spark: SparkSession, root: str) -> DataFrame:
     """Every dataset file below ``root/<track>/<sample>/`` as (track, sample_id, relpath, text).
 
-    A task reads as many files as ``spark.sql.files.openCostInBytes`` lets it: hundreds with the settings of
-    ``session``, for which small files are cheap to open.
+    Tasks list the folders of the tracks and read the samples; see ``read_texts``.
     """
-    files = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(root, wholetext=True)
-        .select("value", decoded(F.col("_metadata.file_path")).alias("_path"))
-    )
+    files = read_texts(spark, root)
     parts = {"track": 1, "sample_id": 2, "relpath": 3}
     return files.select(
-        *(F.regexp_extract("_path", _FILE, i).alias(n) for n, i in parts.items()),
-        F.col("value").alias("text"),
+        *(F.regexp_extract("path", _FILE, i).alias(n) for n, i in parts.items()),
+        "text",
     )
 
 
@@ -144,10 +249,7 @@ def read_samples(spark: SparkSession, root: str) -> DataFrame:
 
 def read_prompts(spark: SparkSession, root: str) -> DataFrame:
     """System prompts: one Markdown file per track, with its text and hash."""
-    files = spark.read.text(f"{root}/*.md", wholetext=True)
-    return prompt_rows(
-        files.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
-    )
+    return prompt_rows(read_texts(spark, root, r"\.md$"))
 
 
 def prompt_rows(files: DataFrame) -> DataFrame:
