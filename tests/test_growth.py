@@ -25,3 +25,11 @@ def test_folders_are_listed_in_tasks(spark, tmp_path):
     # The driver knows the files of the listing only.
     for df in (prompts, every):
         assert not [f for f in df.inputFiles() if f.endswith((".md", ".txt"))]
+
+
+def test_plan_is_dealt_by_samples(spark):
+    n = 4 * planning.TASK_SAMPLES
+    samples = spark.range(n, numPartitions=1).select(F.lit("e2e_ui").alias("track"), F.concat(F.lit("s"), "id").alias("sample_id"))
+    models = spark.range(2).select(F.concat(F.lit("m"), "id").alias("slug"))
+    sizes = planning.plan_tasks(models, samples, trials=2).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 4 * n and max(r["count"] for r in sizes) <= n * 1.2
