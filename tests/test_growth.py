@@ -27,6 +27,23 @@ def test_folders_are_listed_in_tasks(spark, tmp_path):
         assert not [f for f in df.inputFiles() if f.endswith((".md", ".txt"))]
 
 
+def test_requests_are_counted_without_sorting_prompts(spark):
+    payload = schemas.PAYLOAD.simpleString()
+    data = [("m", t, str(i), 0, parsed) for i, (t, parsed) in enumerate([
+        ("e2e_ui", "x"), ("e2e_repair", "x"), ("unit_test_gen", "x"), ("unit_test_gen", "y"), ("unit_test_gen", None), ("e2e_ui", None), ("test_case_design", None),
+        ("bug_localization", '{"root_cause": "c", "line": 1}'), ("bug_localization", '{"root_cause": "c", "line": 2}'),
+    ])]
+    rows = spark.createDataFrame(data, "model_slug string, track string, sample_id string, trial int, parsed string").withColumn("payload", F.lit(None).cast(payload))
+    asked = rejudge.judge_requests(rows, "j")
+    assert "SortAggregate" not in _plan(asked)
+    found = {r.request_key: r for r in asked.collect()}
+    assert len(found) == asked.count()
+    # x is reviewed twice; design sees x and y, as does the other judge of unit tests; one cause; no artifact: one per system message.
+    assert sorted(r.n_rows for r in found.values()) == [1, 1, 1, 1, 1, 2, 2, 3]
+    keyed = rejudge.with_request_keys(rows, "j").selectExpr("explode(array(_main_key, _side_key)) AS k").where("k NOT LIKE 'none:%'")
+    assert {r.k for r in keyed.collect()} == set(found)
+
+
 def test_plan_is_dealt_by_samples(spark):
     n = 4 * planning.TASK_SAMPLES
     samples = spark.range(n, numPartitions=1).select(F.lit("e2e_ui").alias("track"), F.concat(F.lit("s"), "id").alias("sample_id"))
