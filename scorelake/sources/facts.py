@@ -10,6 +10,8 @@ from scorelake.functions.values import nan_to_null
 from scorelake.sources.workspace import path_exists
 
 CORRUPT = "_corrupt_record"
+#: JSON repeats its names in every line, so lines are packed; a packed file is read by one task and is kept small.
+_LINES = {"compression": "gzip", "maxRecordsPerFile": 500_000}
 
 
 def read_jsonl(
@@ -33,17 +35,17 @@ def read_jsonl(
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
-    """Append rows to a JSON-lines folder; gaps are written as null."""
-    nan_to_null(rows).write.mode("append").option("ignoreNullFields", False).json(path)
+    """Append rows to a folder of gzipped JSON lines; gaps are written as null."""
+    nan_to_null(rows).write.mode("append").options(**_LINES, ignoreNullFields=False).json(path)
 
 
 def write_sparse(rows: DataFrame, path: str) -> None:
-    """Write rows to a new JSON-lines folder without their empty fields.
+    """Write rows to a new folder of gzipped JSON lines without their empty fields.
 
     The path must not exist: a table that is being read is never overwritten, its
     successor is written beside it.
     """
-    nan_to_null(rows).write.mode("error").option("ignoreNullFields", True).json(path)
+    nan_to_null(rows).write.mode("error").options(**_LINES, ignoreNullFields=True).json(path)
 
 
 def write_partitioned(rows: DataFrame, path: str, by=("run_id", "track")) -> None:

@@ -50,3 +50,14 @@ def test_plan_is_dealt_by_samples(spark):
     models = spark.range(2).select(F.concat(F.lit("m"), "id").alias("slug"))
     sizes = planning.plan_tasks(models, samples, trials=2).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 4 * n and max(r["count"] for r in sizes) <= n * 1.2
+
+
+def test_lines_are_packed(spark, tmp_path):
+    rows = spark.range(5000, numPartitions=1).select(
+        *(F.lit("m").alias("model_slug") if f.name == "model_slug" else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.RESPONSES.fields)
+    )
+    facts.append_jsonl(rows, str(tmp_path / "r"))
+    facts.write_sparse(rows, str(tmp_path / "s"))
+    for name, each in (("r", 200), ("s", 20)):
+        assert sum(f.stat().st_size for f in (tmp_path / name).glob("part-*")) < 5000 * each / 10
+        assert facts.read_jsonl(spark, str(tmp_path / name), schemas.RESPONSES).where("model_slug = 'm'").count() == 5000
