@@ -49,3 +49,36 @@ def test_candidates_are_near_the_hits(spark):
         frames = _tables(spark, prompts, terms)
         hits, candidates = len(_brute(prompts, terms)), validation.leak_candidates(*frames).count()
         assert hits <= candidates <= 1.2 * hits
+
+
+@pytest.mark.parametrize("bound", ["SENT", "FEW"])
+def test_terms_too_many_to_send_or_compare(spark, monkeypatch, bound):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "bet", "a", "gamma", "mma-x", "été"]
+    prompts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(50)] + [None, "", "a"]
+    terms = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 1, 2, 2, 3, 4, 5) for _ in range(4)] + ["lph", "et", "mm"]
+    monkeypatch.setattr(validation, bound, 0)
+    assert sorted(map(tuple, validation.leak_scan(*_tables(spark, prompts, terms)).collect())) == _brute(prompts, terms)
+
+
+def test_words_do_not_carry_their_text(spark, monkeypatch):
+    plans, written = [], validation._written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(validation, "_written", kept)
+    terms = ["one two three four", "two three", "four"]
+    prompts, rows = _tables(spark, ["one two three four five"], terms)
+    found = validation.leak_scan(prompts, rows)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 3
+    rows = [line for plan in plans for line in plan.splitlines() if "Generate" in line and "prompt_id" in line]
+    assert rows and not any("_words#" in line.split("), [")[1].split("]")[0] for line in rows if "), [" in line)
+
+
+def test_one_id_of_two_terms(spark):
+    prompts, _ = _tables(spark, ["see the red cat here", "see the big dog here", "none"], [])
+    terms = spark.createDataFrame([(7, "the red cat"), (7, "the big dog"), (8, "THE RED CAT"), (None, "none")], "term_id int, term string")
+    assert sorted(map(tuple, validation.leak_scan(prompts, terms).collect())) == [(0, 7), (0, 8), (1, 7)]
