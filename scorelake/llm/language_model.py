@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +44,8 @@ HEAVY = 1 << 17
 CLASSES, TAIL_CLASSES = 128, 32
 CONTEXT, WIDTH = 3, 24
 ROUNDS, NOISE, BATCH, RATE = 2, 25, 1024, 0.15
-#: Distinct tokens a task counts before it passes them on.
-COUNTED = 1 << 20
+#: Bytes of texts whose tokens are counted, or looked up, at a time.
+COUNTED, LOOKED_UP = 1 << 25, 1 << 21
 #: The end's token, which no word equals, and its class, which also stands before the first word.
 END, END_CLASS = b"", 0
 
@@ -59,9 +59,35 @@ def tail_class(word: bytes) -> int:
     return CLASSES - TAIL_CLASSES + zlib.crc32(word[-3:]) % TAIL_CLASSES
 
 
-def tail_classes(words: list[bytes]) -> np.ndarray:
-    hashes = np.fromiter((zlib.crc32(word[-3:]) for word in words), np.uint32, len(words))
-    return CLASSES - TAIL_CLASSES + hashes % TAIL_CLASSES
+def _blocks(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Where runs of texts begin and how many they are: of about size bytes, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        taken, held = 0, 0
+        while at + taken < len(sizes) and held < size:
+            held += sizes[at + taken]
+            taken += 1
+        yield at, taken
+        at += taken
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary) one after another, and where each text's words begin and the last ones end."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    starts, words = parts.offsets.to_numpy(), parts.values.cast(pa.large_binary())
+    # Space at an end of a text gives an empty word there.
+    real = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate([[0], np.cumsum(real)])
+    return words.filter(pa.array(real)), before[starts]
+
+
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """tail_class() of each word: one call per different end of three bytes."""
+    ends = pc.dictionary_encode(pc.binary_slice(words, -3))
+    classes = np.fromiter((tail_class(e) for e in ends.dictionary.to_pylist()), np.int16, len(ends.dictionary))
+    return classes[ends.indices.to_numpy()] if len(words) else np.zeros(0, np.int16)
 
 
 def _tail_class(token: Column) -> Column:
@@ -73,25 +99,15 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """token (binary) and c: occurrences over all rows of docs, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for value in batch.column(0):
-                counts.update(tokens_of(value.as_py()))
-                if len(counts) > COUNTED:
-                    yield _counts(counts)
-                    counts.clear()
-            counts[END] += batch.num_rows
-        yield _counts(counts)
+            for at, taken in _blocks(batch.column(0), COUNTED):
+                counts = split(batch.column(0).slice(at, taken))[0].value_counts()
+                tokens = pa.concat_arrays([counts.field(0).cast(pa.binary()), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays([tokens, pa.concat_arrays([counts.field(1), pa.array([taken])])], names=["token", "c"])
 
     return docs.select(text).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _counts(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"]
-    )
-
-
 @dataclass
 class Heavy:
     """The tokens every task knows: places in descending order of count."""
@@ -104,17 +120,18 @@ class Heavy:
         own = [i for i, t in enumerate(self.tokens) if t != END][: CLASSES - TAIL_CLASSES - 1]
         self.classes[own] = np.arange(1, len(own) + 1)
         self.own = {self.tokens[i] for i in own}
-        self.index: dict[bytes, int] | None = None
+        self.known: pa.Array | None = None
 
-    def class_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def class_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Place (-1 if rare) and class of each word."""
-        if self.index is None:
-            self.index = {t: i for i, t in enumerate(self.tokens)}
-        places = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        if self.known is None:
+            self.known = pa.array(self.tokens, pa.large_binary())
+        found = pc.index_in(words, self.known)
+        places = pc.fill_null(found, -1).to_numpy()
         classes = self.classes[places] if len(self.tokens) else np.zeros(len(words), np.int16)
         rare = np.flatnonzero(places < 0)
         if len(rare):
-            classes[rare] = tail_classes([words[i] for i in rare.tolist()])
+            classes[rare] = tail_classes(words.take(pa.array(rare)))
         return places, classes
 
 
@@ -237,8 +254,10 @@ def _encoded(docs: DataFrame, text: str, heavy) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes = (heavy.value.class_ids(tokens_of(value.as_py()))[1] for value in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([c.astype(np.uint8).tobytes() for c in classes], pa.binary())], names=["classes"])
+            for at, taken in _blocks(batch.column(0), LOOKED_UP):
+                words, starts = split(batch.column(0).slice(at, taken))
+                classes = heavy.value.class_ids(words)[1].astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([classes[i:j].tobytes() for i, j in pairwise(starts.tolist())], pa.binary())], names=["classes"])
 
     return docs.select(text).mapInArrow(run, "classes binary")
 
@@ -343,50 +362,47 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     kind = "key long, doc_id {}, mark boolean, n_tokens long, known long, parts double, classes double, rare array<struct<token:binary,n:int>>"
     kind = kind.format(docs.schema["doc_id"].dataType.simpleString())
 
-    def block(texts: list, normalisers: np.ndarray) -> list[tuple]:
+    def block(texts: pa.Array, normalisers: np.ndarray) -> tuple[list[tuple], pa.ListArray]:
         heavy = sent.value
         log_counts = np.log10(heavy.counts + SMOOTHING)
+        every, starts = split(texts)
+        all_places, all_classes = heavy.class_ids(every)
+        # Different rare words of each text, with their counts.
+        at = np.flatnonzero(all_places < 0)
+        coded = pc.dictionary_encode(every.take(pa.array(at)).cast(pa.binary()))
+        kinds = max(len(coded.dictionary), 1)
+        texts_of = np.searchsorted(starts, at, "right") - 1
+        pairs, times = np.unique(texts_of * kinds + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+        listed = pa.StructArray.from_arrays(
+            [coded.dictionary.take(pa.array(pairs % kinds)), pa.array(times.astype(np.int32))], names=["token", "n"]
+        )
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // kinds, np.arange(len(texts) + 1)), pa.int32()), listed)
         sequences, rows = [], []
-        for text in texts:
-            words = tokens_of(text)
-            places, classes = heavy.class_ids(words)
+        for i, j in pairwise(starts.tolist()):
+            places, classes = all_places[i:j], all_classes[i:j]
             sequences.append(_sequence(classes))
             hit = places >= 0
-            rare = Counter([words[i] for i in np.flatnonzero(~hit).tolist()])
             parts = float(log_counts[places[hit]].sum()) if hit.any() else 0.0
             # Within shared classes the numerators are those of the base; own words take theirs back.
             alone = hit & (shared[classes] == 0)
             back = float(log_counts[places[alone]].sum()) if alone.any() else 0.0
             divided = float((inside * shared)[classes].sum())
-            rows.append((len(words) + 1, int(hit.sum()) + (n_ends > 0), parts + math.log10(n_ends + SMOOTHING), -back - math.log10(n_ends + SMOOTHING) - divided, rare))
+            rows.append((j - i + 1, int(hit.sum()) + (n_ends > 0), parts + math.log10(n_ends + SMOOTHING), -back - math.log10(n_ends + SMOOTHING) - divided))
         whole = np.concatenate(sequences)
         logs = parameters.log_probabilities(*_windows(whole), normalisers).astype(np.float64) / math.log(10)
         ends = np.cumsum([len(s) for s in sequences])
         out, start = [], 0
-        for end, (n, known, parts, rest, rare) in zip(ends, rows, strict=True):
-            out.append((n, known, parts, rest + float(logs[start : end - CONTEXT].sum()), rare))
+        for end, (n, known, parts, rest) in zip(ends, rows, strict=True):
+            out.append((n, known, parts, rest + float(logs[start : end - CONTEXT].sum())))
             start = end
-        return out
+        return out, rare
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, normalisers = TaskContext.get().partitionId() << 40, unknown()
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, size = [], 0
-                while at + len(texts) < batch.num_rows and size < 1 << 19:
-                    texts.append(batch.column(2)[at + len(texts)].as_py())
-                    size += len(texts[-1] or "")
-                some = block(texts, normalisers)
-                part = batch.slice(at, len(texts))
-                held = [row[4] for row in some]
-                rare = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, held)]), pa.int32()),
-                    pa.StructArray.from_arrays(
-                        [pa.array([t for one in held for t in one], pa.binary()), pa.array([c for one in held for c in one.values()], pa.int32())],
-                        names=["token", "n"],
-                    ),
-                )
+            for at, taken in _blocks(batch.column(2), LOOKED_UP):
+                part = batch.slice(at, taken)
+                some, rare = block(part.column(2), normalisers)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(key, key + len(some)), pa.int64()), part.column(0), part.column(1),
                      *(pa.array([r[i] for r in some], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))),
@@ -394,7 +410,6 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
                     names=["key", "doc_id", "mark", "n_tokens", "known", "parts", "classes", "rare"],
                 )
                 key += len(some)
-                at += len(texts)
 
     return docs.mapInArrow(run, kind)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scorelake.llm import language_id, language_model, quality
@@ -208,3 +209,15 @@ def test_tail_class_is_the_same_in_spark(spark):
     got = [r[0] for r in df.select(language_model._tail_class(df["token"])).collect()]
     first = language_model.CLASSES - language_model.TAIL_CLASSES
     assert got == [language_model.tail_class(w) for w in words] == [first + zlib.crc32(w[-3:]) % language_model.TAIL_CLASSES for w in words]
+
+
+def test_words_of_many_texts_and_their_classes():
+    texts = ["", None, " a  B\tc\x0b\x0cd\r\n", "É\x1cx y", "oneword", "ab bc", "  "]
+    split = [language_model.tokens_of(t) for t in texts]
+    words, starts = language_model.split(pa.array(["before", *texts]).slice(1))
+    assert [words.to_pylist()[i:j] for i, j in zip(starts, starts[1:])] == split  # noqa: B905
+    heavy = language_model.Heavy([b"c", language_model.END, b"ab"], np.array([3, 2, 1]))
+    places, classes = heavy.class_ids(words)
+    flat = [w for one in split for w in one]
+    assert places.tolist() == [heavy.tokens.index(w) if w in heavy.tokens else -1 for w in flat]
+    assert classes.tolist() == [heavy.classes[p] if p >= 0 else language_model.tail_class(w) for p, w in zip(places, flat)]  # noqa: B905
