@@ -221,3 +221,14 @@ def test_words_of_many_texts_and_their_classes():
     flat = [w for one in split for w in one]
     assert places.tolist() == [heavy.tokens.index(w) if w in heavy.tokens else -1 for w in flat]
     assert classes.tolist() == [heavy.classes[p] if p >= 0 else language_model.tail_class(w) for p, w in zip(places, flat)]  # noqa: B905
+
+
+def test_words_of_a_block_inside_a_batch():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(("Été", "aB", "ß", "xyz", "日本")) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    column, found = pa.array(texts), []
+    blocks = list(language_model._blocks(column, 2000))
+    for at, taken in blocks:
+        words, starts = language_model.split(column.slice(at, taken))
+        found += [words.to_pylist()[i:j] for i, j in zip(starts, starts[1:])]  # noqa: B905
+    assert len(blocks) > 2 and found == [language_model.tokens_of(t) for t in texts]
